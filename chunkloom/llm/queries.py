@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import decontaminate, packing, quality, secret_scan, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_curve_packing": packing.op1_curve_packing,
+    "op4_compression_bands": quality.op4_compression_bands,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_secret_scan": secret_scan.op6_secret_scan,
     "op10_simhash_near_dup": simhash.op10_simhash_near_dup,
 }
 

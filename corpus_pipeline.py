@@ -6,7 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkloom.llm import common, simhash
+from chunkloom.llm import common, decontaminate, packing, quality, secret_scan, simhash
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents outside the compression bands go."""
+    return quality.compression_bands(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,8 +19,27 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.deduplicated(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the texts."""
+    return secret_scan.redact(docs)
+
+
+def curve_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts cut into packs along the curve: a row for each piece."""
+    return packing.packed(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality_rules),
     ("simhash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_scans),
+    ("packing", curve_packing),
 ]
 
 #: zstandard ratios, fingerprints and automata are beyond SQL; the tests hold the stages against brute force.
@@ -23,6 +47,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to ``documents``, each result written as Parquet and read again."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
