@@ -89,9 +89,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 WORD_BYTE = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
-def word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(text: pa.Array, places: bool = False) -> tuple[np.ndarray, ...]:
     """(row, hash) of each word of lower-cased ``text``, in order; null rows have none.
 
+    With ``places`` also each word's first byte, and the lower-cased bytes, of all rows on end.
+
     Words are runs of WORD_BYTE. The hash is a polynomial over a word's bytes, taken from
     prefix sums, so there is no Python loop over words or characters.
     """
@@ -100,7 +102,7 @@ def word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = low.buffers()[2]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     begin, end = int(off[0]), int(off[-1])
-    rows, hashes, at = [], [], begin
+    rows, hashes, first_bytes, at = [], [], [], begin
     while at < end:
         stop = min(end, at + _BLOCK)
         while stop < end:  # cut between words
@@ -125,10 +127,10 @@ def word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         np.cumsum((buf.astype(np.uint64) + _U(1)) * up[:n], out=sums[1:])
         hashes.append(mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)))
         rows.append(np.searchsorted(off, s + at, side="right") - 1)
+        first_bytes.append(s + (at - begin))
         at = stop
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(rows), np.concatenate(hashes)
+    out = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((rows, np.int64), (hashes, np.uint64), (first_bytes, np.int64))]
+    return (*out, raw[begin:end], off - begin) if places else tuple(out[:2])
 
 
 BUCKET_BITS = 16
