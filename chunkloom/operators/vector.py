@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+#: Digits to which scores are compared.
+DIGITS = 12
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -22,15 +30,51 @@ def search(vectors: DataFrame, query: list[float], k: int = 5, id_: str = "vec_i
     return vectors.select(id_, cosine(F.col(vector), q).alias("score")).where("score is not null").orderBy(F.desc("score"), id_).limit(k)
 
 
-def search_many(vectors: DataFrame, queries: DataFrame, k: int = 5, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, id, rank, score) for a table of queries (query_id, query).
+def _best(k: int):
+    """Of each pair of blocks, the best ``k`` of the vectors for each query."""
 
-    Each pair is compared, which no index avoids when exact; ranks are cut in each partition
-    before anything is exchanged.
-    """
-    from pyspark.sql.window import Window
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            ids, rows = column.flatten().field(0), column.flatten().field(1)
+            m = np.asarray(rows.flatten(), np.float64).reshape(len(ids), -1)
+            norm = np.sqrt((m * m).sum(axis=1))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                return np.asarray(ids), np.where(norm[:, None] > 0, m / norm[:, None], np.nan)
+
+        for b in batches:
+            for i in range(b.num_rows):
+                (ids, v), (qs, q) = unit(b.column("vs").slice(i, 1)), unit(b.column("qs").slice(i, 1))
+                if v.shape[1] != q.shape[1]:
+                    continue
+                score = np.round(q @ v.T, DIGITS)
+                order = np.argsort(ids, kind="stable")
+                score, ids = score[:, order], ids[order]
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]  # NaN comes last
+                s = np.take_along_axis(score, best, axis=1)
+                ok = ~np.isnan(s)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qs, ok.sum(axis=1))), pa.array(ids[best][ok]), pa.array(s[ok])], ["query_id", "id", "score"])
+
+    return run
 
-    pairs = vectors.select(F.col(id_).alias("id"), F.col(vector).alias("v")).crossJoin(queries.select("query_id", "query"))
-    scored = pairs.select("query_id", "id", cosine(F.col("v"), F.col("query")).alias("score")).where("score is not null")
+
+def _blocks(rows: DataFrame, id_: str, vector: str, name: str, size: int) -> DataFrame:
+    """Blocks of about ``size`` vectors of one dimension."""
+    n = max(1, -(-rows.count() // size))
+    sound = F.col(id_).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())
+    few = rows.where(sound).select(F.col(id_).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    return few.groupBy(F.size("v").alias("d"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias(name)).select("d", name)
+
+
+def search_many(vectors: DataFrame, queries: DataFrame, k: int = 5, id_: str = "vec_id", vector: str = "embedding", size: int = 2048) -> DataFrame:
+    """(query_id, id, score, rank) for a table of queries (query_id, query).
+
+    Each pair is compared, which no index avoids when exact: blocks of vectors meet blocks of
+    queries, a pair of blocks is one matrix product, and only its best ``k`` for each query go on.
+    Scores that agree to DIGITS digits are ties, ordered by id. Rows without an id or with a null
+    in the vector are ignored; vectors of length zero and of another dimension match nothing.
+    """
+    pairs = _blocks(vectors, id_, vector, "vs", size).join(_blocks(queries, "query_id", "query", "qs", size), "d")
+    pairs = pairs.select("vs", "qs").repartition(F.xxhash64(F.transform("vs", lambda x: x["id"]), F.transform("qs", lambda x: x["id"])))
+    few = pairs.mapInArrow(_best(k), "query_id bigint, id bigint, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return few.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
