@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _U = np.uint64
 _MASK64 = (1 << 64) - 1
@@ -48,6 +49,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def with_text(docs: DataFrame) -> DataFrame:
+    """``docs`` whose text is a string; the column keeps its place, so no further column can clash with it."""
+    return docs.withColumn("text", F.col("text").cast("string"))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose ``column`` holds about ``limit`` bytes at most, or one row."""
     for batch in batches:

@@ -153,9 +153,9 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 def _clean(key: str, shared, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = _automaton(key, shared.value)
-        for b in C.slices(batches, "_text"):
+        for b in C.slices(batches, "text"):
             keep = np.ones(b.num_rows, bool)
-            keep[[s[0] for s in spans(a, b.column("_text").to_pylist())]] = False
+            keep[[s[0] for s in spans(a, b.column("text").to_pylist())]] = False
             yield b.select(columns).filter(pa.array(keep))
 
     return run
@@ -163,9 +163,10 @@ def _clean(key: str, shared, columns: list[str]):
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a window of an item, all columns kept."""
+    docs = C.with_text(docs)
     for part in _parts(items):
         shared = docs.sparkSession.sparkContext.broadcast(part)
-        docs = docs.withColumn("_text", F.col("text").cast("string")).mapInArrow(_clean(uuid.uuid4().hex, shared, docs.columns), docs.schema)
+        docs = docs.mapInArrow(_clean(uuid.uuid4().hex, shared, docs.columns), docs.schema)
     return docs
 
 

@@ -81,8 +81,8 @@ def verdict(n: np.ndarray, ratio: np.ndarray, chunks: np.ndarray, bad: np.ndarra
 
 def _kept(columns: list[str], scores: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in C.slices(batches, "_text"):
-            found = ratios(b.column("_text"))
+        for b in C.slices(batches, "text"):
+            found = ratios(b.column("text"))
             keep = pa.array(verdict(*found))
             out = [b.column(c).filter(keep) for c in columns]
             names = list(columns)
@@ -96,13 +96,13 @@ def _kept(columns: list[str], scores: bool):
 
 def compression_bands(docs: DataFrame) -> DataFrame:
     """``docs`` without the rejected documents, all columns kept."""
-    odd = docs.withColumn("_text", F.col("text").cast("string"))
-    return odd.mapInArrow(_kept(docs.columns, False), docs.schema)
+    docs = C.with_text(docs)
+    return docs.mapInArrow(_kept(docs.columns, False), docs.schema)
 
 
 def compression_scores(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, ratio, n_chunks, bad_chunks) of each document that stays."""
-    few = docs.select("doc_id", F.col("text").cast("string").alias("_text"))
+    few = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     schema = T.StructType([few.schema["doc_id"], *(T.StructField(f, T.LongType() if t == pa.int64() else T.DoubleType() if t == pa.float64() else T.IntegerType()) for f, t in _FIELDS)])
     return few.mapInArrow(_kept(["doc_id"], True), schema)
 

@@ -334,6 +334,7 @@ def _masked(shared):
 def redact(docs: DataFrame, model: dict[str, Automaton] | None = None) -> DataFrame:
     """``docs`` with each secret replaced by MASK, and n_chars, if there, counted again."""
     shared = docs.sparkSession.sparkContext.broadcast(model or learn(labelled()))
+    docs = C.with_text(docs)
     out = docs.mapInArrow(_masked(shared), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 

@@ -16,7 +16,8 @@ keeps what it says of its original, if anything.
 name and renamed, so a repeated task replaces an archive by the same records.
 
 Defined results: a response with a null payload counts as one with an empty payload; records without a digest
-(null) are never the same as another; repeated rows with one record_id are one record; an
+(null) are never the same as another; repeated rows with one record_id are one record, and
+records without an id are left out; an
 empty table gives no archive and an empty result; further columns are ignored. The test tables
 have no archives, so ``captures`` makes records of ``pages``: a response for each page, and for
 each a later visit that found the same payload.
@@ -60,7 +61,7 @@ def captures(pages: DataFrame) -> DataFrame:
 
 def resolved(records: DataFrame) -> DataFrame:
     """Fresh headers: (record_id, old_id, record_type, url, date, digest, refers_to, refers_to_url, refers_to_date)."""
-    h = records.select(*_HEADERS).dropDuplicates(["record_id"])
+    h = records.where("record_id is not null").select(*_HEADERS).dropDuplicates(["record_id"])
     first = h.where("record_type = 'response' and digest is not null").groupBy("digest").agg(F.min(F.struct("date", "record_id", "url")).alias("o"))
     both = h.join(first, "digest", "left")
     original = (F.col("record_type") == "response") & (F.col("digest").isNull() | (F.col("o.record_id") == F.col("record_id")))
