@@ -45,7 +45,8 @@ _INDEX = "record_id string, file string, offset bigint, length bigint"
 
 def _urn(c: Column) -> Column:
     h = F.md5(c)
-    return F.concat(F.lit("urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))))
+    parts = F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    return F.when(c.isNotNull(), F.concat(F.lit("urn:uuid:"), parts))  # concat_ws skips nulls
 
 
 def captures(pages: DataFrame) -> DataFrame:

@@ -1,0 +1,360 @@
+"""Operators 1, 4, 5, 6, 8 and 10 against brute force, and on odd input."""
+
+from __future__ import annotations
+
+import os
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import zstandard
+
+from chunkloom.llm import common as C
+from chunkloom.llm import decontaminate as D
+from chunkloom.llm import packing as P
+from chunkloom.llm import quality as Q
+from chunkloom.llm import secret_scan as S
+from chunkloom.llm import simhash as H
+from chunkloom.llm import token_files as T
+
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+WORDS = [a + b + c for a in ("ba", "ko", "ti", "re", "mu") for b in ("lan", "mer", "sto", "vi", "gu") for c in ("", "ne", "sar", "ti", "dou")]
+
+
+def prose(r: random.Random, n: int) -> str:
+    return " ".join(r.choice(WORDS) + r.choice(WORDS) + r.choice(["", "", "", ",", "."]) for _ in range(n))
+
+
+def read(spark, name):
+    return C.table(spark, DATA, name)
+
+
+# --- shared
+
+
+def test_word_hashes_do_not_depend_on_neighbours():
+    texts = ["One two, three", "", None, "two", "a" * 3 + " Ünï tWo", "x " * 700_000]
+    rows, h = C.word_hashes(pa.array(texts))
+    per = {i: h[rows == i].tolist() for i in range(len(texts))}
+    for i, t in enumerate(texts):
+        assert per[i] == C.word_hashes(pa.array([t], pa.string()))[1].tolist()
+    assert per[0][1] == per[3][0] == per[4][2] and per[1] == per[2] == [] and len(set(per[5])) == 1 and len(per[5]) == 700_000
+    assert len(per[0]) == len(set(per[0])) == 3
+
+
+def test_slices_hold_all_rows():
+    b = pa.RecordBatch.from_pydict({"text": ["a" * 10, None, "b" * 100, "", "c"]})
+    for limit in (1, 10, 50, 1000):
+        assert [x for s in C.slices([b], "text", limit) for x in s.column("text").to_pylist()] == b.column("text").to_pylist()
+
+
+# --- 10
+
+
+def groups(pairs, nodes):
+    of = {n: n for n in nodes}
+
+    def root(x):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        of[max(a, b)] = min(a, b)
+    return {n: root(n) for n in nodes}
+
+
+def test_manhattan_is_a_lower_bound():
+    r = np.random.default_rng(3)
+    a, b = (r.integers(0, 1 << 63, (2000, 4), dtype=np.uint64) * np.uint64(2) + r.integers(0, 2, (2000, 4), dtype=np.uint64) for _ in range(2))
+    ones = lambda x: np.stack([np.bitwise_count((x >> np.uint64(2 * k)) & np.uint64(3)) for k in range(32)], -1).astype(int)
+    manhattan = np.abs(ones(a) - ones(b)).sum((1, 2))
+    assert (np.bitwise_count(H.sorted_segments(a) ^ H.sorted_segments(b)).sum(1) == manhattan).all()
+    assert (manhattan <= np.bitwise_count(a ^ b).sum(1)).all()
+
+
+def test_cells_yield_the_components_of_all_their_pairs():
+    r = np.random.default_rng(4)
+    centres = r.integers(0, 1 << 63, (12, 4), dtype=np.uint64)
+    for n in (2, 5, 40, 300):
+        fp = centres[r.integers(0, 12, n)].copy()
+        for i in range(n):
+            for _ in range(r.integers(0, 30)):
+                fp[i, r.integers(0, 4)] ^= np.uint64(1) << np.uint64(r.integers(0, 63))
+        ids = np.arange(n) * 3
+        a, b = H.cell_edges(np.zeros(n, np.int64), ids, fp, H.LIMIT)
+        d = np.bitwise_count(fp[:, None] ^ fp[None]).sum(-1)
+        assert all(d[i // 3, j // 3] <= H.LIMIT for i, j in zip(a, b))
+        every = [(int(i) * 3, int(j) * 3) for i, j in zip(*np.nonzero(np.triu(d <= H.LIMIT, 1)))]
+        assert groups(zip(a.tolist(), b.tolist()), ids.tolist()) == groups(every, ids.tolist())
+
+
+def test_components(spark):
+    r = random.Random(6)
+    pairs = {tuple(sorted(r.sample(range(120), 2))) for _ in range(70)} | {(i, i + 1) for i in range(200, 260)}
+    got = {x.node: x.least for x in H.components(spark.createDataFrame(sorted(pairs), "a bigint, b bigint")).collect()}
+    nodes = {n for p in pairs for n in p}
+    assert got == groups(pairs, nodes)
+    assert H.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_near_duplicates_recall_over_all_pairs(spark, sf_dir):
+    docs = read(spark, "documents")
+    rows = docs.select("doc_id", "text").collect()
+    fp, some = H.fingerprint_array(pa.array([x.text for x in rows]))
+    d = np.bitwise_count(fp[:, None] ^ fp[None]).sum(-1)
+    ok = some[:, None] & some[None] & (d <= H.LIMIT)
+    ids = [x.doc_id for x in rows]
+    want = groups([(ids[i], ids[j]) for i, j in zip(*np.nonzero(np.triu(ok, 1)))], ids)
+    want = {k: v for k, v in want.items() if k != v}
+    got = {x.doc_id: x.duplicate_of for x in H.near_duplicates(docs).collect()}
+    assert len(want) > 10 and len(set(got.items()) & set(want.items())) >= 0.9 * len(want) and set(got) <= set(want)
+
+
+def test_near_copies_are_found_and_clean_documents_stay(spark):
+    r = random.Random(8)
+    rows, copies = [], set()
+    for i in range(60):
+        t = prose(r, 200 + 10 * i)
+        rows.append((2 * i, t))
+        if i % 2:
+            w = t.split()
+            for _ in range(len(w) // 25):
+                w[r.randrange(len(w))] = r.choice(WORDS) + r.choice(WORDS)
+            rows.append((2 * i + 1, " ".join(w)))
+            copies.add(2 * i + 1)
+    gone = {x.doc_id for x in H.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(gone & copies) >= 0.9 * len(copies) and not gone - copies
+
+
+def test_near_dedup_on_odd_rows(spark, odd):
+    out = H.deduplicated(odd)
+    assert out.columns == odd.columns
+    ids = sorted((x.doc_id if x.doc_id is not None else -1) for x in out.collect())
+    assert ids == [-1, -1, 1, 1, 3, 4, 5, 6, 7]  # 2 copies 1; rows of one id are one document
+    assert H.deduplicated(odd.limit(0)).count() == 0
+
+
+# --- 4
+
+
+def test_bands_equal_direct_compression(spark, sf_dir):
+    press = zstandard.ZstdCompressor(level=3, write_content_size=False).compress
+    rows = read(spark, "documents").select("doc_id", "text").collect()
+    want = {}
+    for x in rows:
+        data = (x.text or "").encode()
+        if not data:
+            continue
+        ratio = len(press(data)) / len(data)
+        low, high = next((lo, hi) for at, lo, hi in reversed(Q.BANDS) if len(data) >= at)
+        parts = [data[i : i + Q.CHUNK] for i in range(0, len(data) - Q.CHUNK + 1, Q.CHUNK)]
+        bad = sum(not Q.CHUNK_BAND[0] <= len(press(p)) / Q.CHUNK <= Q.CHUNK_BAND[1] for p in parts)
+        if low <= ratio <= high and bad <= Q.CHUNK_SHARE * len(parts):
+            want[x.doc_id] = (len(data), ratio, len(parts), bad)
+    got = {x.doc_id: tuple(x)[1:] for x in Q.op4_compression_bands(spark, sf_dir).collect()}
+    assert got == want and 0 < len(got) < len(rows)
+
+
+def test_bands_reject_and_keep(spark):
+    r = random.Random(2)
+    prose = lambda r, n: " ".join("".join(r.choice("eeeettaaooiinnsshhrrddlucm") for _ in range(r.randint(2, 8))) for _ in range(n))
+    rows = [(1, "the same words again " * 100), (2, "".join(chr(r.randrange(33, 127)) for _ in range(6000))), (3, prose(r, 600))]
+    rows += [(4, prose(r, 3000) + " again and" * 4000)]
+    assert {x.doc_id for x in Q.compression_bands(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == {3}
+
+
+def test_bands_on_odd_rows(odd):
+    out = Q.compression_bands(odd)
+    assert out.columns == odd.columns and out.schema["text"].dataType == odd.schema["text"].dataType
+    rows = out.collect()
+    assert all(x.text for x in rows) and {x.doc_id for x in rows} <= {1, 2, 5, 6, 7, None}
+    assert all(x._text == "v" for x in rows if x.doc_id in (1, 2, 6))
+    assert Q.compression_bands(odd.limit(0)).count() == 0
+
+
+# --- 5
+
+
+def naive(text: str | None) -> list[str]:
+    return "".join(c.lower()[0] if c.isalnum() else " " for c in text or "").split()
+
+
+def test_spans_equal_naive_search(spark, sf_dir):
+    docs, items = read(spark, "documents"), read(spark, "benchmark")
+    got = {}
+    for x in D.contaminated(docs, items).collect():
+        got.setdefault((x.doc_id, x.item_id), []).append((x.start, x.end, x.n_windows))
+    item_windows = [(i.item_id, {tuple(w[k : k + D.WINDOW]) for k in range(max(1, len(w) - D.WINDOW + 1))}) for i in items.collect() if len(w := naive(i.text)) >= D.SHORTEST]
+    want = set()
+    for x in docs.select("doc_id", "text").collect():
+        w = naive(x.text)
+        for item, wins in item_windows:
+            if any(tuple(w[k : k + len(win)]) == win for win in wins for k in range(len(w) - len(win) + 1)):
+                want.add((x.doc_id, item))
+    assert set(got) == want and want
+    texts = {x.doc_id: x.text for x in docs.select("doc_id", "text").collect()}
+    words = {i.item_id: " ".join(naive(i.text)) for i in items.collect()}
+    for (doc, item), spans in got.items():
+        for a, b, n in spans:
+            assert " ".join(naive(texts[doc][a:b])) in words[item] and n >= 1
+            assert texts[doc][a].isalnum() and texts[doc][b - 1].isalnum()
+
+
+def test_offsets_and_parts(spark, monkeypatch):
+    item = "Which of the following seven very old rivers runs through the green city of Lome today?"
+    docs = spark.createDataFrame([(1, "Ünd — " + item.upper().replace(" ", " -- ") + " yes"), (2, item[:40]), (3, "Was it so?"), (4, (item + " ") * 3), (5, None)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, item), (2, "Was it so?"), (3, None), (4, item), (None, item), (5, "one two three four five")], "item_id bigint, text string")
+    rows = lambda: sorted(tuple(x) for x in D.contaminated(docs, items).collect())
+    one = rows()
+    assert {(r[0], r[1]) for r in one} == {(1, 1), (1, 4), (4, 1), (4, 4)}
+    first = next(r for r in one if r[:2] == (1, 1))
+    assert (first[2], first[3]) == (6, 6 + len(item.replace(" ", " -- ")) - 1)
+    assert sum(r[:2] == (4, 1) for r in one) == 3
+    monkeypatch.setattr(D, "PART_CHARS", 500)
+    assert rows() == one
+    assert sorted(x.doc_id for x in D.clean(docs, items).collect()) == [2, 3, 5]
+
+
+def test_decontamination_on_odd_rows(spark, odd):
+    items = spark.createDataFrame([(1, "nothing that any of these texts holds"), (2, "")], "item_id bigint, text string")
+    assert D.clean(odd, items).columns == odd.columns and D.clean(odd, items).count() == odd.count()
+    assert D.clean(odd, items.limit(0)).count() == odd.count() and D.clean(odd.limit(0), items).count() == 0
+    assert D.contaminated(odd, items.limit(0)).count() == 0
+
+
+# --- 6
+
+
+@pytest.fixture(scope="module")
+def model():
+    return S.learn(S.labelled())
+
+
+def test_held_out_strings(model):
+    held = S.labelled(per_kind=150, seed=77)
+    secret = [(k, s) for k, s in held if not k.startswith(S.ORDINARY)]
+    plain = [s for k, s in held if k.startswith(S.ORDINARY)]
+    hit = [S.judge(model, s)[1] >= S.THRESHOLD for _, s in secret]
+    false = [s for s in plain if S.judge(model, s)[1] >= S.THRESHOLD]
+    assert np.mean(hit) >= 0.95 and len(false) <= 0.02 * len(plain)
+
+
+def test_automata_are_distributions(model):
+    for a in model.values():
+        for i in range(len(a.visits)):
+            assert sum(a.taken[i].values()) + a.ends[i] == a.visits[i]
+
+
+def test_secret_places_and_redaction(spark, odd, model):
+    key = "AKIA" + "QZ3XW7LKJ2HGF5DP"
+    token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    docs = spark.createDataFrame([(1, f'Ärger: token = "{token}", {key}.', 9), (2, "plain words here", 16), (3, None, None), (4, f"{key} {key}", 1)], "doc_id bigint, text string, n_chars int")
+    texts = {x.doc_id: x.text for x in docs.collect()}
+    found = S.secrets(docs, model).collect()
+    assert sorted((x.doc_id, texts[x.doc_id][x.start : x.end]) for x in found) == sorted([(1, key), (1, token), (4, key), (4, key)])
+    out = {x.doc_id: (x.text, x.n_chars) for x in S.redact(docs, model).collect()}
+    assert out[1][0] == f'Ärger: token = "{S.MASK}", {S.MASK}.' and out[1][1] == len(out[1][0]) and out[2][0] == texts[2] and out[3] == (None, None)
+    same = S.redact(odd, model)
+    assert same.columns == odd.columns and same.count() == odd.count() and S.redact(odd.limit(0), model).count() == 0
+
+
+def test_all_tokens_of_the_tables_are_found(spark, model):
+    from pathlib import Path
+
+    if not Path("/root/testdata/sf0.01").exists():
+        pytest.skip("no test tables")
+    docs = C.table(spark, "/root/testdata/sf0.01", "documents")
+    want = {(x.doc_id, s) for x in docs.select("doc_id", "text").collect() for s in re.findall(r"(?<![A-Za-z0-9+/_-])(?:[0-9a-f]{40}|AKIA[A-Z0-9]{16})(?![A-Za-z0-9+/_-])", x.text or "")}
+    texts = {x.doc_id: x.text for x in docs.select("doc_id", "text").collect()}
+    got = {(x.doc_id, texts[x.doc_id][x.start : x.end]) for x in S.secrets(docs, model).collect()}
+    assert want and want <= got and len(got - want) <= 0.1 * len(want)
+
+
+# --- 1
+
+
+def test_hilbert_curve_visits_every_cell_by_single_steps():
+    for d, bits in ((2, 4), (3, 3), (4, 2)):
+        axes = np.stack(np.meshgrid(*[np.arange(1 << bits)] * d, indexing="ij"), -1).reshape(-1, d)
+        key = P.hilbert(axes, bits)
+        assert sorted(key.tolist()) == list(range(len(axes)))
+        steps = np.abs(np.diff(axes[np.argsort(key)], axis=0)).sum(1)
+        assert (steps == 1).all()
+
+
+def test_packs_equal_a_loop(spark, sf_dir):
+    docs = read(spark, "documents")
+    rows = [(x.doc_id, x.text) for x in docs.select("doc_id", "text").collect()]
+    key, n = P.keys_of(pa.array([t for _, t in rows]))
+    at, want = 0, set()
+    for _, row, i in sorted((int(key[i]), rows[i][0], i) for i in range(len(rows)) if n[i]):
+        m = int(n[i])
+        for p in range(at // P.CAPACITY, (at + m - 1) // P.CAPACITY + 1):
+            a, b = max(at, p * P.CAPACITY), min(at + m, (p + 1) * P.CAPACITY)
+            want.add((p, a - p * P.CAPACITY, row, a - at, b - at))
+        at += m
+    got = [tuple(x) for x in P.op1_curve_packing(spark, sf_dir).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_packs_are_full_and_texts_rejoin(spark, odd):
+    rows = P.packed(odd, capacity=64).collect()
+    per = {}
+    for x in rows:
+        per.setdefault(x.pack_id, []).append((x.pack_start, x.pack_start + x.doc_end - x.doc_start))
+    for p, spans in per.items():
+        spans.sort()
+        assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+        assert spans[-1][1] == 64 or p == max(per)
+    texts = {}
+    for x in sorted(rows, key=lambda x: (x.doc_id is None, x.doc_id or 0, x.pack_id, x.pack_start)):
+        texts[x.doc_id] = texts.get(x.doc_id, "") + x.text
+    for x in odd.collect():
+        if x.doc_id in (2, 6, 7) or x.doc_id is None and x.text:
+            assert texts[x.doc_id] == x.text
+    one = next(x.text for x in odd.collect() if x.doc_id == 1)
+    assert texts[1] == one * 2 and not {3, 4, 5} & set(texts)
+    assert P.pack(odd.limit(0)).count() == 0 and P.packed(odd.limit(0)).count() == 0
+
+
+def test_neighbours_on_the_curve_are_alike(spark):
+    r = random.Random(12)
+    topics = [[r.choice(WORDS) + str(k) for _ in range(30)] for k in range(8)]
+    rows = [(i, " ".join(r.choice(topics[i % 8]) for _ in range(120))) for i in range(160)]
+    packs = {}
+    for x in P.pack(spark.createDataFrame(rows, "doc_id bigint, text string"), capacity=600).collect():
+        packs.setdefault(x.pack_id, []).append(x.doc_id % 8)
+    alike = np.mean([max(v.count(t) for t in v) / len(v) for v in packs.values()])
+    assert alike > 0.6
+
+
+# --- 8
+
+
+def test_token_files_round_trip(spark, sf_dir, tmp_path):
+    docs = read(spark, "documents").select("doc_id", "text").repartition(5)
+    index, folder = T.write_tokens(docs, str(tmp_path / "tokens"))
+    files, enc = T.TokenFiles(folder), T.encoder(T.VOCABULARY)
+    texts = {x.doc_id: x.text for x in docs.collect()}
+    rows = index.collect()
+    assert len(files) == len(rows) == len(texts)
+    at = 0
+    for x in sorted(rows, key=lambda x: (x.part, x.row)):
+        ids = files.document(x.part, x.row)
+        assert x.start == at and len(ids) == x.n_tokens
+        at += x.n_tokens
+        if texts[x.doc_id]:
+            assert ids[-1] == T.SEPARATOR and enc.decode(ids[:-1].tolist()) == texts[x.doc_id]
+    assert ids.dtype == np.dtype("<u2")
+
+
+def test_token_files_on_odd_rows(odd, tmp_path):
+    index, folder = T.write_tokens(odd, str(tmp_path / "a"))
+    rows = index.collect()
+    assert len(rows) == 10 and {x.doc_id: x.n_tokens for x in rows}[3] == 0 and {x.doc_id: x.n_tokens for x in rows}[4] == 0
+    index, folder = T.write_tokens(odd.limit(0), str(tmp_path / "b"))
+    assert index.count() == 0 and len(T.TokenFiles(folder)) == 0
