@@ -42,7 +42,7 @@ def not_blank(parts: Column) -> Column:
 def sentences(c: Column) -> Column:
     """Split at white space after . ! or ?; the whole text where nothing else is left."""
     parts = not_blank(F.split(c, rf"(?<=[.!?]){WHITE}+"))
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(c))
+    return F.when(F.size(parts) > 0, parts).when(c.isNotNull(), F.array(c))
 
 
 def lines(c: Column) -> Column:

@@ -77,3 +77,7 @@ def bpe(c: Column, ranks_file: str) -> Column:
             yield s.map(lambda t: len(encode(t)) if t is not None else None).astype("Int32")
 
     return count(c)
+
+
+def count(c: Column, ranks_file: str | None) -> Column:
+    return bpe(c, ranks_file) if ranks_file else heuristic(c)

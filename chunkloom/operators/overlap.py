@@ -28,7 +28,8 @@ def add_overlap(chunks: DataFrame, o: ChunkOptions = DEFAULTS, key: str = "doc_i
     before = F.lag("content").over(document(key))
     tail = trailing_sentences(F.col("_before"), o.overlap_sentences)
     longer = F.concat(F.col("_tail"), F.lit(" "), F.col("content"))
-    take = F.col("_before").isNotNull() & (F.col("_tail") != "") & (K.heuristic(longer) <= o.max_tokens)
-    rows = chunks.withColumn("_before", before).withColumn("_tail", tail).withColumn("_take", F.coalesce(take, F.lit(False)))
+    rows = chunks.withColumn("_before", before).withColumn("_tail", tail).withColumn("_n", K.count(longer, o.ranks_file))
+    take = F.col("_before").isNotNull() & (F.col("_tail") != "") & (F.col("_n") <= o.max_tokens)
+    rows = rows.withColumn("_take", F.coalesce(take, F.lit(False)))
     rows = rows.withColumn("content", F.when(F.col("_take"), longer).otherwise(F.col("content")))
-    return rows.withColumn("tokens", F.when(F.col("_take"), K.heuristic(F.col("content"))).otherwise(F.col("tokens"))).drop("_before", "_tail", "_take")
+    return rows.withColumn("tokens", F.when(F.col("_take"), F.col("_n")).otherwise(F.col("tokens"))).drop("_before", "_tail", "_take", "_n")

@@ -15,7 +15,7 @@ def estimate_chunks(tokens: Column, o: ChunkOptions = DEFAULTS) -> Column:
 
 
 def count(c: Column, o: ChunkOptions) -> Column:
-    return K.bpe(c, o.ranks_file) if o.ranks_file else K.heuristic(c)
+    return K.count(c, o.ranks_file)
 
 
 def source_metrics(docs: DataFrame, o: ChunkOptions = DEFAULTS, text: str = "text") -> DataFrame:

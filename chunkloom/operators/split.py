@@ -7,6 +7,7 @@ from the top.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -55,3 +56,33 @@ def split_oversized(c: Column, max_tokens: int) -> Column:
 def split_blocks(docs: DataFrame, max_tokens: int, text: str = "text") -> DataFrame:
     """(doc_id, block_no, text): each document as one block, oversized ones in parts."""
     return docs.where(F.col(text).isNotNull()).select("doc_id", F.posexplode(split_oversized(F.col(text), max_tokens)).alias("block_no", "text"))
+
+
+def split_counted(text: str, max_tokens: int, count: Callable[[str], int]) -> list[str]:
+    """``split_oversized`` for any token counter."""
+    trim = lambda t: re.sub(rf"\A{X.WHITE_PY}+|{X.WHITE_PY}+\Z", "", t)
+    cut = lambda pattern: lambda t: [p for p in re.split(pattern, t) if trim(p)]
+    rungs = [cut("\n\n"), cut(rf"(?<=[.!?]){X.WHITE_PY}+"), cut("\n")]
+
+    def words(t: str) -> list[str]:
+        out, cur = [], ""
+        for w in re.split(X.WHITE_PY + "+", t):
+            test = f"{cur} {w}" if cur else w
+            if count(test) <= max_tokens:
+                cur = test
+            elif cur:
+                out.append(cur)
+                cur = w
+            else:
+                out.append(w)
+        return [*out, cur] if cur else out or [t]
+
+    def go(t: str, k: int) -> list[str]:
+        if count(t) <= max_tokens:
+            return [t]
+        if k == len(rungs):
+            return [trim(p) for p in words(t)]
+        parts = rungs[k](t)
+        return [q for p in parts for q in go(trim(p), k + 1)] if len(parts) > 1 else go(t, k + 1)
+
+    return [text] if count(text) <= max_tokens else [p for p in go(text, 0) if p]

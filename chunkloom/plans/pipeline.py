@@ -57,6 +57,7 @@ def _pack_counted(docs: DataFrame, o: ChunkOptions) -> DataFrame:
         count = K.counter(o.ranks_file)
         return texts.map(lambda t: pack.starts_with_counter(list(t), o, count))
 
+    at = at.asNondeterministic()  # else the optimiser moves the call into a lambda, where Python can't run
     own = [c for c in docs.columns if c != "blocks"]
     rows = docs.withColumn("_at", at(F.transform("blocks", lambda b: b["text"])))
     rows = rows.select(*own, F.posexplode(pack.chunk_arrays(F.col("blocks"), F.col("_at"))).alias("chunk_no", "_b"))

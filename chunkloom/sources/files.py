@@ -22,7 +22,7 @@ def text_files(spark: SparkSession, path: str | list[str], suffix: str = ".md")
 
     The id is a hash of the path, so it doesn't depend on the order of files.
     """
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", True).text(path)
+    rows = spark.read.option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", True).text(path, wholetext=True)
     name = F.col("_metadata.file_name")
     return rows.select(
         F.xxhash64("_metadata.file_path").alias("doc_id"),
