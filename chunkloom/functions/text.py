@@ -6,6 +6,8 @@ goes away from zero; the functions here follow the language the chunking rules w
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ WHITE_RE2 = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{
 WHITE_PY = "[\t\n\x0b\x0c\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once and stands once in the plan, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim(c: Column) -> Column:
     return F.regexp_replace(c, rf"\A{WHITE}+|{WHITE}+\z", "")
 
@@ -42,7 +49,7 @@ def not_blank(parts: Column) -> Column:
 def sentences(c: Column) -> Column:
     """Split at white space after . ! or ?; the whole text where nothing else is left."""
     parts = not_blank(F.split(c, rf"(?<=[.!?]){WHITE}+"))
-    return F.when(F.size(parts) > 0, parts).when(c.isNotNull(), F.array(c))
+    return let(parts, lambda p: F.when(F.size(p) > 0, p).when(c.isNotNull(), F.array(c)))
 
 
 def lines(c: Column) -> Column:

@@ -27,10 +27,10 @@ def fenced(lines: Column) -> Column:
         row = F.struct(x.alias("line"), fence.alias("fence"), (s["inside"] & ~fence).alias("inside"))
         return F.struct((s["inside"] != fence).alias("inside"), F.concat(s["out"], F.array(row)).alias("out"))
 
-    marked = F.aggregate(lines, init, step, lambda s: s["out"])
-    plain = F.transform(lines, lambda x: F.struct(x.alias("line"), F.lit(False).alias("fence"), F.lit(False).alias("inside")))
+    marked = lambda ls: F.aggregate(ls, init, step, lambda s: s["out"])
+    plain = lambda ls: F.transform(ls, lambda x: F.struct(x.alias("line"), F.lit(False).alias("fence"), F.lit(False).alias("inside")))
     # the fold copies its array at each line; texts without a fence don't need it
-    return F.when(F.exists(lines, lambda x: x.rlike(_FENCE)), marked).otherwise(plain)
+    return X.let(lines, lambda ls: F.when(F.exists(ls, lambda x: x.rlike(_FENCE)), marked(ls)).otherwise(plain(ls)))
 
 
 def _free(m: Column) -> Column:
@@ -45,10 +45,10 @@ def collapse_inner_spaces(c: Column) -> Column:
 
 def dedent(c: Column) -> Column:
     """Takes the least indent of the free lines from each of them."""
-    marked = fenced(F.split(c, "\n"))
     indent = lambda x: F.length(F.regexp_extract(x, rf"\A({X.WHITE}*)", 1))
-    least = F.coalesce(F.array_min(F.transform(F.filter(marked, _free), lambda m: indent(m["line"]))), F.lit(0))
-    return F.array_join(F.transform(marked, lambda m: F.when(_free(m), F.substr(m["line"], least + 1)).otherwise(m["line"])), "\n")
+    least = lambda ms: F.coalesce(F.array_min(F.transform(F.filter(ms, _free), lambda m: indent(m["line"]))), F.lit(0))
+    cut = lambda ms, n: F.array_join(F.transform(ms, lambda m: F.when(_free(m), F.substr(m["line"], n + 1)).otherwise(m["line"])), "\n")
+    return X.let(fenced(F.split(c, "\n")), lambda ms: X.let(least(ms), lambda n: cut(ms, n)))
 
 
 def normalize(c: Column) -> Column:

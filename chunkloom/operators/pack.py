@@ -64,7 +64,7 @@ def pack_arrays(docs: DataFrame, blocks: str = "blocks", o: ChunkOptions = DEFAU
     """
     own = [c for c in docs.columns if c != blocks]
     lengths = F.transform(F.col(blocks), lambda b: X.length(b["text"]))
-    packed = docs.withColumn("_at", starts(lengths, o))
+    packed = docs.withColumn("_at", X.let(lengths, lambda ns: starts(ns, o)))
     rows = packed.select(*own, (F.size("_at") == 1).alias("_one"), F.posexplode(chunk_arrays(F.col(blocks), F.col("_at"))).alias("chunk_no", "_b"))
     b = F.col("_b")
     closed = F.when(F.col("_one"), b).otherwise(_unmerged(b, o))

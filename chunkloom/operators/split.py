@@ -39,9 +39,9 @@ def hard_cut(c: Column, max_tokens: int) -> Column:
 
 
 def _rung(c: Column, cut: Callable[[Column], Column], below: Callable[[Column], Column], max_tokens: int) -> Column:
-    parts = cut(c)
-    more = F.flatten(F.transform(F.transform(parts, X.trim), below))
-    return F.when(K.heuristic(c) <= max_tokens, F.array(c)).otherwise(F.when(F.size(parts) > 1, more).otherwise(below(c)))
+    # one part is the text itself: ``below`` stands once in the plan, or the ladder would double at each rung
+    whole = lambda parts: F.when(F.size(parts) > 1, F.transform(parts, X.trim)).otherwise(F.array(c))
+    return F.when(K.heuristic(c) <= max_tokens, F.array(c)).otherwise(F.flatten(F.transform(X.let(cut(c), whole), below)))
 
 
 def split_oversized(c: Column, max_tokens: int) -> Column:
