@@ -30,7 +30,8 @@ def trim(c: Column) -> Column:
 
 def length(c: Column) -> Column:
     """Number of UTF-16 units, as int."""
-    return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
+    units = (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
+    return F.when(F.octet_length(c) == F.length(c), F.length(c)).otherwise(units)  # ASCII needs no encoding
 
 
 def half_up(c: Column) -> Column:

@@ -24,7 +24,7 @@ _no = lambda c: F.lit(None).cast(c)
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
-    return Y.table(s, d, "documents").select("doc_id", "text", "source")
+    return Y.spread(Y.table(s, d, "documents").select("doc_id", "text", "source"), "doc_id")
 
 
 def sentence_blocks(docs: DataFrame) -> DataFrame:

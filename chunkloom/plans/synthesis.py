@@ -18,6 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores where it has fewer files than these, as a small file is one task.
+
+    Tables of many files stay as they are scanned, without a shuffle. Where there is one, it is by
+    the key that later windows and groups need, so they add none.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, key) if len(df.inputFiles()) < n else df
+
+
 def conversation_blocks(conversations: DataFrame) -> DataFrame:
     """(doc_id, block_no, type, text, depth): a conversation as H1, each turn as H2 and a paragraph."""
     k = lambda n: (F.col("turn") * 2 + n).cast("int").alias("block_no")
