@@ -307,15 +307,14 @@ def extracted(pages: DataFrame, small: int = SMALL) -> DataFrame:
     """(page_id, host, title, content, n_template, n_content): a row for each page."""
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), host_of("url").alias("host"), F.col("html").cast("string").alias("html"), F.lit(False).alias("ref"), F.lit(None).cast("array<int>").alias("template"))
+    # the longest page is kept in each task before anything is exchanged, so a hot host sends one page for each task
     longest = (
         rows.where("host is not null and html is not null")
         .groupBy("host")
-        .agg(F.max(F.struct(F.length("html").alias("length"), F.xxhash64("html").alias("hash"))).alias("m"), F.count("*").alias("pages"))
+        .agg(F.max_by("html", F.struct(F.length("html"), F.xxhash64("html"))).alias("html"), F.count("*").alias("pages"))
         .where("pages > 1")
-        .select("host", "m.length", "m.hash")
     )
-    ref = rows.join(longest.withColumnRenamed("host", "of"), (F.col("host") == F.col("of")) & (F.length("html") == F.col("length")) & (F.xxhash64("html") == F.col("hash")))
-    refs = C.written(ref.dropDuplicates(["host"]).select("page_id", "host", "html", "ref", "template"), "longest")
+    refs = C.written(longest.select(F.lit(None).cast("bigint").alias("page_id"), "host", "html", F.lit(False).alias("ref"), F.lit(None).cast("array<int>").alias("template")), "longest")
     fits = (refs.agg(F.sum(F.length("html"))).first()[0] or 0) <= small
 
     def run(function, schema: str, template: DataFrame | None) -> DataFrame:
