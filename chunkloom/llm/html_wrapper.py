@@ -2,19 +2,21 @@
 
 Pages of a host are aligned with the host's longest page by simple tree matching: the largest
 mapping of two DOM trees that keeps labels, order and parents. Text nodes matched to one node
-of the longest page fill one slot. A slot whose values repeat over the host's pages (share of
-repeats, (values - distinct) / (values - 1), of at least ``REPEATS``) is constant and belongs to the
-template; the other slots vary and are content, as are texts that no slot takes.
+of the longest page fill one slot. Template is decided by slot and value: a value belongs to the
+template where it fills its slot on at least ``SHARE`` of the host's distinct pages and on ``PAGES``
+of them at least, so the figure is one of the site and not of how many of its pages are given, and
+a value of a single page is always content, as are texts that no slot takes. Pages are distinct
+where their texts differ.
 
 Two passes over the pages, both without a shuffle of HTML while the longest pages of all hosts
 fit ``SMALL`` bytes, which is checked; beyond it pages and their host's longest page are brought
-together by a shuffle on (host, salt), the salt splitting hosts with very many pages. Only slot
-counts are grouped in between.
+together by a shuffle on (host, salt), the salt splitting hosts with very many pages. Only hashes
+of slots, values and pages are grouped in between; the template counts for the bytes that must fit.
 
 Defined results: a null or empty page has an empty content; a page without a host (null or
 relative URL) stands alone; the only page of a host has no template, so all its text is
-content; copies of a page repeat each other's slots, so a host of nothing but copies is all
-template; script, style and comments are dropped and broken markup is repaired as browsers do
+content; copies of a page count as one page, so a host of nothing but copies is all
+content; script, style and comments are dropped and broken markup is repaired as browsers do
 for p, li, table rows and options; an empty table gives an empty result; further columns are
 ignored; a null page_id stays null.
 """
@@ -23,7 +25,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,9 +34,9 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-REPEATS, SMALL, SALTS = 0.3, 64 << 20, 32
+SHARE, PAGES, SMALL, SALTS = 0.01, 2, 64 << 20, 32
 _OUT = "page_id bigint, host string, title string, content string, n_template int, n_content int"
-_COUNTS = "host string, slot int, value bigint, n bigint"
+_COUNTS = "host string, key bigint, page bigint"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I
 )
@@ -211,12 +212,17 @@ def value_of(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def key_of(n: Node, slot_of: dict[int, int]) -> int | None:
+    """Hash of a text node's slot and value; none without a slot."""
+    return value_of(f"{slot_of[n.number]}\0{n.text}") if n.number in slot_of else None
+
+
 def extract(page: Node, slot_of: dict[int, int], template: frozenset[int]) -> tuple[str, str, int, int]:
     title, content, constant = [], [], 0
     for n, head in texts(page):
         if head:
             title.append(n.text)
-        elif slot_of.get(n.number) in template:
+        elif key_of(n, slot_of) in template:
             constant += 1
         else:
             content.append(n.text)
@@ -227,7 +233,7 @@ def extract(page: Node, slot_of: dict[int, int], template: frozenset[int]) -> tu
 
 
 class _Refs:
-    """The longest pages of hosts, parsed when first needed, and their template slots."""
+    """The longest pages of hosts, parsed when first needed, and the keys of their template."""
 
     def __init__(self, pages: dict[str, str], template: dict[str, list[int]]) -> None:
         self.pages, self.template, self.trees = pages, {h: frozenset(s) for h, s in template.items()}, {}
@@ -260,23 +266,23 @@ def _rows(batches: Iterator[pa.RecordBatch], shared) -> Iterator[tuple[list[tupl
 
 def _count(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter = Counter()
+        found: set[tuple[str, int | None, int]] = set()
 
         def flush() -> pa.RecordBatch:
-            keys = list(n)
-            out = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int64()), pa.array([n[k] for k in keys], pa.int64())]
-            n.clear()
-            return pa.RecordBatch.from_arrays(out, ["host", "slot", "value", "n"])
+            out = [pa.array([k[i] for k in found], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
+            found.clear()
+            return pa.RecordBatch.from_arrays(out, ["host", "key", "page"])
 
         for rows, refs in _rows(batches, shared):
             for _, host, page in rows:
                 if page and (ref := refs.tree(host)) is not None:
                     tree = parse(page)
                     slot_of = slots(ref, tree)
-                    for node, head in texts(tree):
-                        if not head and node.number in slot_of:
-                            n[host, slot_of[node.number], value_of(node.text)] += 1
-            if len(n) > 100_000:
+                    nodes = list(texts(tree))
+                    mark = value_of("\0".join(node.text for node, _ in nodes))
+                    found.add((host, None, mark))
+                    found.update((host, key, mark) for node, head in nodes if not head and (key := key_of(node, slot_of)) is not None)
+            if len(found) > 100_000:
                 yield flush()
         yield flush()
 
@@ -306,7 +312,7 @@ def host_of(url: str):
 def extracted(pages: DataFrame, small: int = SMALL) -> DataFrame:
     """(page_id, host, title, content, n_template, n_content): a row for each page."""
     spark = pages.sparkSession
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), host_of("url").alias("host"), F.col("html").cast("string").alias("html"), F.lit(False).alias("ref"), F.lit(None).cast("array<int>").alias("template"))
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), host_of("url").alias("host"), F.col("html").cast("string").alias("html"), F.lit(False).alias("ref"), F.lit(None).cast("array<bigint>").alias("template"))
     # the longest page is kept in each task before anything is exchanged, so a hot host sends one page for each task
     longest = (
         rows.where("host is not null and html is not null")
@@ -314,24 +320,24 @@ def extracted(pages: DataFrame, small: int = SMALL) -> DataFrame:
         .agg(F.max_by("html", F.struct(F.length("html"), F.xxhash64("html"))).alias("html"), F.count("*").alias("pages"))
         .where("pages > 1")
     )
-    refs = C.written(longest.select(F.lit(None).cast("bigint").alias("page_id"), "host", "html", F.lit(False).alias("ref"), F.lit(None).cast("array<int>").alias("template")), "longest")
-    fits = (refs.agg(F.sum(F.length("html"))).first()[0] or 0) <= small
+    refs = C.written(longest.select(F.lit(None).cast("bigint").alias("page_id"), "host", "html", F.lit(False).alias("ref"), F.lit(None).cast("array<bigint>").alias("template")), "longest")
+    bytes_ = refs.agg(F.sum(F.length("html"))).first()[0] or 0
 
     def run(function, schema: str, template: DataFrame | None) -> DataFrame:
-        if fits:
-            chosen = {r.host: list(r.slots) for r in template.collect()} if template is not None else {}
+        if bytes_ + (8 * (template.agg(F.sum(F.size("keys"))).first()[0] or 0) if template is not None else 0) <= small:
+            chosen = {r.host: r["keys"] for r in template.collect()} if template is not None else {}
             shared = spark.sparkContext.broadcast(({r.host: r.html for r in refs.collect()}, chosen))
             return rows.mapInArrow(function(shared), schema)
-        with_ = refs.drop("template").join(template, "host", "left").withColumnRenamed("slots", "template") if template is not None else refs
+        with_ = refs.drop("template").join(template, "host", "left").withColumnRenamed("keys", "template") if template is not None else refs
         salted = with_.select("page_id", "host", "html", F.lit(True).alias("ref"), "template", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         both = rows.withColumn("salt", F.pmod(F.xxhash64("html", "page_id"), F.lit(SALTS)).cast("int")).unionByName(salted)
         together = both.repartition("host", "salt").sortWithinPartitions("host", "salt", F.col("ref").desc())
         return together.drop("salt").mapInArrow(function(None), schema)
 
-    counts = run(_count, _COUNTS, None).groupBy("host", "slot", "value").agg(F.sum("n").alias("n"))
-    per_slot = counts.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.count("*").alias("distinct"))
-    constant = per_slot.where((F.col("n") > 1) & (F.col("n") - F.col("distinct") >= REPEATS * (F.col("n") - 1)))
-    template = C.written(constant.groupBy("host").agg(F.array_sort(F.collect_list("slot")).alias("slots")), "template")
+    counts = C.written(run(_count, _COUNTS, None).groupBy("host", "key").agg(F.count_distinct("page").alias("n")), "counts")
+    total = counts.where("key is null").select("host", F.col("n").alias("pages"))
+    constant = counts.where((F.col("n") >= PAGES) & F.col("key").isNotNull()).join(total, "host").where(F.col("n") >= SHARE * F.col("pages"))
+    template = C.written(constant.groupBy("host").agg(F.collect_list("key").alias("keys")), "template")
     return run(_extract, _OUT, template)
 
 

@@ -82,6 +82,20 @@ def test_template_goes_and_content_stays(spark, small):
     assert W.extracted(pages.limit(0), small).count() == 0
 
 
+def test_template_is_decided_by_slot_and_value_at_every_size(spark):
+    """Three menus in one slot; one headline on two pages of many, as of an update, and copies of a page."""
+    page = "<body><nav>{}</nav><h1>{}</h1><p>Body {}.</p></body>"
+    for n in (9, 400):
+        rows = [(i, f"http://x.example/{i}", page.format(f"Menu {i % 3}", f"Story {i}", i)) for i in range(n)]
+        rows += [(n + k, f"http://x.example/copy{k}", page.format("Menu 0", "Copied", "of one page")) for k in range(n)]
+        if n == 400:
+            rows += [(2 * n + k, f"http://x.example/e{k}", page.format("Menu 1", "Update", f"late {k}")) for k in range(2)]
+        got = W.extracted(spark.createDataFrame(rows, PAGE)).collect()
+        assert len(got) == len(rows) and all(x.n_template == 1 and x.n_content == 2 and "Menu" not in x.content for x in got)
+    copies = [(k, f"http://c.example/{k}", page.format("Menu", "One", "page")) for k in range(5)]
+    assert {x.n_template for x in W.extracted(spark.createDataFrame(copies, PAGE)).collect()} == {0}
+
+
 def test_broadcast_and_shuffle_agree(spark, sf_dir):
     pages = C.table(spark, sf_dir, "pages")
     rows = lambda small: sorted(map(tuple, W.extracted(pages, small).collect()))
