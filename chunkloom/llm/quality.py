@@ -3,13 +3,17 @@
 A document's UTF-8 bytes are compressed as a whole and in fixed chunks of 2048 bytes with
 zstandard (level 3, no content size in the frame). The ratio compressed / raw falls with
 length, so the allowed band depends on it (``BANDS``): below the band a text repeats itself,
-above it it is incompressible (keys, encoded data, noise). A document is rejected when its
-whole ratio leaves its band, or when over ``CHUNK_SHARE`` of its full chunks leave
-``CHUNK_BAND``; the second rule sees a repetitive or random part of a long text whose whole
-ratio looks ordinary.
+above it it is incompressible (keys, encoded data, noise). The upper limits lie between prose and
+random alphanumerics of the same length (0.52 and 0.755 at most and at least from 2048 bytes on,
+by the tables of sf0.1). A document is rejected when its whole ratio leaves its band, when over
+``CHUNK_SHARE`` of its full chunks leave ``CHUNK_BAND``, or when over ``CHUNK_SHARE`` of its bytes
+lie in chunks that do, the last partial chunk held against the upper limit of its own length; these
+rules see a repetitive or random part of a long text whose whole ratio looks ordinary.
 
 Defined results: null and empty texts are rejected (there is nothing to keep); texts under 64
-bytes have no band and stay; texts under 2048 bytes have no full chunk; copies get the same
+bytes have no band and stay, and last chunks under 64 bytes are not judged; under 192 bytes keys
+and prose overlap, so the limit there is loose; hexadecimal digits compress like prose and are not
+told from it; texts under 2048 bytes have no full chunk; copies get the same
 verdict; an empty table gives an empty result; a document with a null id is judged like any
 other; further columns pass through unchanged.
 """
@@ -34,33 +38,36 @@ BANDS = [
     (0, 0.0, 99.0),
     (64, 0.45, 1.40),
     (128, 0.42, 1.10),
-    (256, 0.42, 0.95),
-    (512, 0.45, 0.88),
-    (1024, 0.452, 0.82),
-    (2048, 0.435, 0.78),
-    (4096, 0.413, 0.75),
-    (8192, 0.400, 0.72),
-    (16384, 0.380, 0.70),
-    (40000, 0.365, 0.70),
-    (131072, 0.330, 0.70),
-    (1048576, 0.280, 0.70),
+    (192, 0.42, 0.87),
+    (256, 0.42, 0.79),
+    (512, 0.45, 0.74),
+    (1024, 0.452, 0.69),
+    (2048, 0.435, 0.65),
+    (4096, 0.413, 0.63),
+    (8192, 0.400, 0.61),
+    (16384, 0.380, 0.60),
+    (40000, 0.365, 0.60),
+    (131072, 0.330, 0.60),
+    (1048576, 0.280, 0.60),
 ]
-CHUNK_BAND = (0.40, 0.80)
+CHUNK_BAND = (0.40, 0.65)
 CHUNK_SHARE = 0.25
+LAST = 64  # bytes that a last partial chunk must have to be judged
 _FROM = np.array([b[0] for b in BANDS])
 _LOW = np.array([b[1] for b in BANDS])
 _HIGH = np.array([b[2] for b in BANDS])
 _FIELDS = [("n_bytes", pa.int64()), ("ratio", pa.float64()), ("n_chunks", pa.int32()), ("bad_chunks", pa.int32())]
 
 
-def ratios(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, ratio, full chunks, chunks outside CHUNK_BAND) of each text; null counts as empty."""
+def ratios(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, ratio, full chunks, chunks outside CHUNK_BAND, bytes of a bad last partial chunk) of each text; null counts as empty."""
     press = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False).compress
     whole = pc.fill_null(text, "").cast(pa.large_string())
     off = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1].tolist()
     data = memoryview(whole.buffers()[2] or b"")
     n, ratio = np.zeros(len(text), np.int64), np.zeros(len(text))
     chunks, bad = np.zeros(len(text), np.int32), np.zeros(len(text), np.int32)
+    last = np.zeros(len(text), np.int64)
     for i, (a, b) in enumerate(zip(off, off[1:])):
         if b == a:
             continue
@@ -70,13 +77,17 @@ def ratios(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         for c in range(a, b - CHUNK + 1, CHUNK):
             r = len(press(data[c : c + CHUNK])) / CHUNK
             bad[i] += not CHUNK_BAND[0] <= r <= CHUNK_BAND[1]
-    return n, ratio, chunks, bad
+        rest = (b - a) % CHUNK
+        if chunks[i] and rest >= LAST:
+            r = len(press(data[b - rest : b])) / rest
+            last[i] = 0 if CHUNK_BAND[0] <= r <= _HIGH[np.searchsorted(_FROM, rest, side="right") - 1] else rest
+    return n, ratio, chunks, bad, last
 
 
-def verdict(n: np.ndarray, ratio: np.ndarray, chunks: np.ndarray, bad: np.ndarray) -> np.ndarray:
+def verdict(n: np.ndarray, ratio: np.ndarray, chunks: np.ndarray, bad: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Which documents stay."""
     k = np.searchsorted(_FROM, n, side="right") - 1
-    return (n > 0) & (ratio >= _LOW[k]) & (ratio <= _HIGH[k]) & (bad <= CHUNK_SHARE * chunks)
+    return (n > 0) & (ratio >= _LOW[k]) & (ratio <= _HIGH[k]) & (bad <= CHUNK_SHARE * chunks) & (bad.astype(np.int64) * CHUNK + last <= CHUNK_SHARE * np.maximum(n, 1))
 
 
 def _kept(columns: list[str], scores: bool):

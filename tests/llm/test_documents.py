@@ -167,6 +167,28 @@ def test_bands_reject_and_keep(spark):
     assert {x.doc_id for x in Q.compression_bands(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == {3}
 
 
+def test_bands_reject_encoded_data():
+    """Base64 and alphanumerics of several sizes, alone, inside prose and as its end; prose of the same sizes stays."""
+    import base64
+    import string
+
+    r = random.Random(11)
+    vocabulary = ["".join(r.choices("etaoinshrdlu", k=r.randint(2, 8))) for _ in range(4000)]
+    prose = lambda n: " ".join(r.choices(vocabulary, weights=[1 / (k + 100) for k in range(4000)], k=n))[:n]
+    base = lambda n: base64.b64encode(r.randbytes(n)).decode()[:n]
+    plain = lambda n: "".join(r.choices(string.ascii_letters + string.digits, k=n))
+    kept_ = lambda texts: Q.verdict(*Q.ratios(pa.array(texts))).tolist()
+    for data in (base, plain):
+        for n in (200, 300, 600, 1000, 2048, 3000, 4095, 9000, 60_000):
+            assert kept_([data(n)]) == [False], n
+        for n in (4096, 8000, 17_000):
+            assert kept_([prose(n)]) == [True], n
+            assert kept_([prose(n // 3) + data(n // 3 * 2)]) == [False], n
+            assert kept_([prose(n // 4) + data(n // 2) + prose(n // 4)]) == [False], n
+        assert kept_([prose(2048) + data(1900)]) == [False]
+        assert kept_([prose(2048) + prose(1900)]) == [True]
+
+
 def test_bands_on_odd_rows(odd):
     out = Q.compression_bands(odd)
     assert out.columns == odd.columns and out.schema["text"].dataType == odd.schema["text"].dataType
