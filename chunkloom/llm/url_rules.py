@@ -3,10 +3,11 @@
 A URL's tokens are its scheme, host, each label of the host, the path's segments (numbers as
 #) with the extension apart, query keys and pairs, and whether there is a fragment. A labelled
 URL is bad when its label says so. Spark's FP-growth mines token sets that are frequent among
-the labelled URLs together with the mark BAD; a set of up to ``LENGTH`` tokens becomes a rule
+the labelled URLs together with the mark BAD; a set of any number of tokens becomes a rule
 when it occurs with BAD in at least ``SUPPORT`` of the labelled URLs, and at least
 ``CONFIDENCE`` of the labelled URLs that hold it are bad. A rule that holds a shorter rule of no
-less confidence is dropped.
+less confidence is dropped. ``SQL`` joins a page's tokens with themselves and so stops at sets of
+three tokens: where a longer rule is found, it has less than the query.
 
 Rules are matched through an inverted index: each rule is filed under the one of its tokens
 that is least frequent among the labelled URLs, so a URL is compared only with rules filed
@@ -30,7 +31,7 @@ from pyspark.sql.window import Window
 
 from . import common as C
 
-SUPPORT, CONFIDENCE, LENGTH = 0.004, 0.5, 3
+SUPPORT, CONFIDENCE = 0.004, 0.5
 BAD = "BAD"
 
 
@@ -55,8 +56,11 @@ def tokens(url: Column) -> Column:
     return F.coalesce(F.array_sort(F.array_distinct(all_)), F.array().cast("array<string>"))
 
 
-def mined(pages: DataFrame, bad: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, length: int = LENGTH) -> DataFrame:
-    """(rule, items, filed, confidence, support): the rules; ``bad`` has page_id and a flag for each labelled page."""
+def mined(pages: DataFrame, bad: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, length: int | None = None) -> DataFrame:
+    """(rule, items, filed, confidence, support): the rules; ``bad`` has page_id and a flag for each labelled page.
+
+    ``length`` keeps sets of so many tokens only; without it none is left out.
+    """
     one = bad.where("page_id is not null").groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
     few = pages.where("url is not null and page_id is not null").select(F.col("page_id"), tokens(F.col("url")).alias("t"))
     known = C.written(few.join(one, "page_id").select("t", "bad"), "labelled-urls")
@@ -68,7 +72,8 @@ def mined(pages: DataFrame, bad: DataFrame, support: float = SUPPORT, confidence
     # FP-growth over the bad URLs alone gives how often a set occurs with BAD; what it occurs
     # in all is then counted for these sets only, over all labelled URLs
     model = FPGrowth(itemsCol="t", minSupport=max((least - 0.5) / n_bad, 1e-12), minConfidence=1.0).fit(known.where("bad = 1"))
-    sets = model.freqItemsets.where(F.size("items").between(1, length)).select(F.array_sort("items").alias("items"), F.col("freq").alias("with_bad"))
+    frequent = model.freqItemsets if length is None else model.freqItemsets.where(F.size("items") <= length)
+    sets = frequent.select(F.array_sort("items").alias("items"), F.col("freq").alias("with_bad"))
     frequency = known.select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     kept = C.written(_filed(sets.where(F.col("with_bad") >= least).withColumn("rule", F.array_join("items", " & ")), frequency), "sets")
     seen = _matches(known.select(F.monotonically_increasing_id().alias("id"), "t"), kept).groupBy("rule").agg(F.count("*").alias("n"))

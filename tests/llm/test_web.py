@@ -176,6 +176,26 @@ def test_rules_equal_brute_force(spark):
     assert all(x.blocked == (x.rule is not None) for x in out)
 
 
+def test_long_rules_equal_brute_force(spark):
+    """Only four path segments together tell bad URLs: each three of them occur in good ones too."""
+    r = random.Random(5)
+    urls = [f"http://h.example/{'/'.join(s for s in 'abcd' if r.random() < 0.8)}" for _ in range(120)] + ["http://h.example/a/b/c/d/e?k=1"] * 3
+    bad = [int("a/b/c/d" in u) for u in urls]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    marks = spark.createDataFrame(list(enumerate(bad)), "page_id bigint, bad int").withColumn("bad", F.col("bad") == 1)
+    n, w = Counter(), Counter()
+    for t, b in zip((x.t for x in pages.select(U.tokens(F.col("url")).alias("t")).collect()), bad):
+        for c in (c for k in range(1, len(t) + 1) for c in combinations(t, k)):
+            n[c] += 1
+            w[c] += b
+    every = {c: (w[c] / n[c], w[c] / len(urls)) for c in n if w[c] >= 0.02 * len(urls) and w[c] / n[c] >= 0.5}
+    want = {c: v for c, v in every.items() if not any(set(d) < set(c) and every[d][0] >= v[0] for d in every)}
+    rules = U.mined(pages, marks, 0.02, 0.5).collect()
+    got = {tuple(x["items"]): (x.confidence, x.support) for x in rules}
+    assert set(got) == set(want) and all(got[c] == pytest.approx(want[c]) for c in got)
+    assert ("path:a", "path:b", "path:c", "path:d") in want
+
+
 def test_rules_without_labels_or_pages(spark):
     pages = spark.createDataFrame([(1, "http://a.example/x"), (None, None)], "page_id bigint, url string")
     none = spark.createDataFrame([], "page_id bigint, bad boolean")
