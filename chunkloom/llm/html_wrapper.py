@@ -5,8 +5,11 @@ mapping of two DOM trees that keeps labels, order and parents. Text nodes matche
 of the longest page fill one slot. Template is decided by slot and value: a value belongs to the
 template where it fills its slot on at least ``SHARE`` of the host's distinct pages and on ``PAGES``
 of them at least, so the figure is one of the site and not of how many of its pages are given, and
-a value of a single page is always content, as are texts that no slot takes. Pages are distinct
-where their texts differ.
+a value of a single page is always content. Pages are distinct where their texts differ.
+
+A text that the longest page has no node for (a longer menu, a second layout) takes the slot of its
+path, the labels from the root down to it. Paths are counted over all pages and all their texts,
+aligned or not, so every node that recurs has a slot and its pages are not split between two.
 
 Two passes over the pages, both without a shuffle of HTML while the longest pages of all hosts
 fit ``SMALL`` bytes, which is checked; beyond it pages and their host's longest page are brought
@@ -35,6 +38,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SHARE, PAGES, SMALL, SALTS = 0.01, 2, 64 << 20, 32
+DEEP = 500  # characters of a path from which it is hashed, so deep pages take no square time
 _OUT = "page_id bigint, host string, title string, content string, n_template int, n_content int"
 _COUNTS = "host string, key bigint, page bigint"
 _TOKEN = re.compile(
@@ -197,32 +201,34 @@ def slots(ref: Node, page: Node) -> dict[int, int]:
     return {y.number: x.number for x, y in align(ref, page) if x.label == "#text"}
 
 
-def texts(page: Node) -> Iterator[tuple[Node, bool]]:
-    """Text nodes in order, and whether each lies in the title or head."""
-    todo = [(page, False)]
+def texts(page: Node) -> Iterator[tuple[Node, bool, str]]:
+    """Text nodes in order, whether each lies in the title or head, and the labels above it."""
+    todo = [(page, False, "")]
     while todo:
-        n, head = todo.pop()
+        n, head, path = todo.pop()
         if n.label == "#text":
-            yield n, head
-        head = head or n.label in ("head", "title")
-        todo.extend((c, head) for c in reversed(n.children))
+            yield n, head, path
+        elif n.children:
+            head = head or n.label in ("head", "title")
+            path = f"{path}/{n.label}" if len(path) < DEEP else f"{value_of(path)}/{n.label}"
+            todo.extend((c, head, path) for c in reversed(n.children))
 
 
 def value_of(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def key_of(n: Node, slot_of: dict[int, int]) -> int | None:
-    """Hash of a text node's slot and value; none without a slot."""
-    return value_of(f"{slot_of[n.number]}\0{n.text}") if n.number in slot_of else None
+def key_of(slot: int | str, n: Node) -> int:
+    """Hash of a slot (a node's number in the longest page, or a path) and a text node's value."""
+    return value_of(f"{slot}\0{n.text}")
 
 
 def extract(page: Node, slot_of: dict[int, int], template: frozenset[int]) -> tuple[str, str, int, int]:
     title, content, constant = [], [], 0
-    for n, head in texts(page):
+    for n, head, path in texts(page):
         if head:
             title.append(n.text)
-        elif key_of(n, slot_of) in template:
+        elif template and key_of(slot_of.get(n.number, path), n) in template:
             constant += 1
         else:
             content.append(n.text)
@@ -279,9 +285,13 @@ def _count(shared):
                     tree = parse(page)
                     slot_of = slots(ref, tree)
                     nodes = list(texts(tree))
-                    mark = value_of("\0".join(node.text for node, _ in nodes))
+                    mark = value_of("\0".join(node.text for node, _, _ in nodes))
                     found.add((host, None, mark))
-                    found.update((host, key, mark) for node, head in nodes if not head and (key := key_of(node, slot_of)) is not None)
+                    for node, head, path in nodes:
+                        if not head:
+                            found.add((host, key_of(path, node), mark))
+                            if node.number in slot_of:
+                                found.add((host, key_of(slot_of[node.number], node), mark))
             if len(found) > 100_000:
                 yield flush()
         yield flush()

@@ -96,6 +96,18 @@ def test_template_is_decided_by_slot_and_value_at_every_size(spark):
     assert {x.n_template for x in W.extracted(spark.createDataFrame(copies, PAGE)).collect()} == {0}
 
 
+@pytest.mark.parametrize("small", [W.SMALL, 0])
+def test_template_of_nodes_that_the_longest_page_lacks(spark, small):
+    """The longest page has a short menu; other pages have a longer one, or another layout altogether."""
+    rows = [(0, "http://x.example/0", f"<body><nav><ul><li>Home</ul></nav><p>{'long ' * 300}</p></body>")]
+    rows += [(i, f"http://x.example/{i}", f"<body><nav><ul><li>Home<li>About<li>Press</ul></nav><p>Body {i}</p></body>") for i in range(1, 8)]
+    rows += [(i, f"http://x.example/{i}", f"<body><table><tr><td>Menu<td>Shop</table><section><b>Item {i}</b></section><aside>Legal</aside></body>") for i in range(8, 14)]
+    got = {x.page_id: x for x in W.extracted(spark.createDataFrame(rows, PAGE), small).collect()}
+    assert got[0].content == ("long " * 300).strip()
+    assert all((got[i].content, got[i].n_template) == (f"Body {i}", 3) for i in range(1, 8))
+    assert all((got[i].content, got[i].n_template) == (f"Item {i}", 3) for i in range(8, 14))
+
+
 def test_broadcast_and_shuffle_agree(spark, sf_dir):
     pages = C.table(spark, sf_dir, "pages")
     rows = lambda small: sorted(map(tuple, W.extracted(pages, small).collect()))
