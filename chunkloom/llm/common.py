@@ -21,28 +21,75 @@ _BLOCK = 1 << 19  # bytes of text hashed at once
 _pow_cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether one machine runs all: a path of its own is then seen by every task."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a single machine) is one made and set.
+    Only a local session that names none (tests) gets one made and set; on a cluster it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             base = current.get()
-        else:
+        elif is_local(spark):
             base = "file://" + tempfile.mkdtemp(prefix="chunkloom-")
             spark.sparkContext.setCheckpointDir(base)
+            _on_exit(spark, base)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def uri(spark: SparkSession, folder: str) -> str:
+    """``folder`` with a scheme; a bare path is a local one only where one machine runs all."""
+    if "://" in folder or folder.startswith("file:"):
+        return folder
+    if is_local(spark):
+        return "file://" + os.path.abspath(folder)
+    base = spark._jsc.hadoopConfiguration().get("fs.defaultFS")
+    if base.startswith("file:"):
+        raise ValueError(f"{folder}: name the file system, as every executor must see the folder")
+    return base.rstrip("/") + "/" + folder.lstrip("/")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _on_exit(spark: SparkSession, path: str) -> None:
+    """The folder goes when the driver ends."""
+    where, p = _hadoop(spark, path)
+    where.deleteOnExit(p)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: lineage ends here."""
+    """``df`` written as Parquet to the shared folder and read again: lineage ends here. It is deleted when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}-{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _on_exit(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def delete(df: DataFrame) -> None:
+    """Deletes a table of ``written`` that nothing reads any more."""
+    where, p = _hadoop(df.sparkSession, df._written)
+    where.delete(p, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until ``df`` has no such column."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

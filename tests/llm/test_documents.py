@@ -79,7 +79,7 @@ def test_manhattan_is_a_lower_bound():
 def test_cells_yield_the_components_of_all_their_pairs():
     r = np.random.default_rng(4)
     centres = r.integers(0, 1 << 63, (12, 4), dtype=np.uint64)
-    for n in (2, 5, 40, 300):
+    for n in (2, 5, 40, 300, 700):
         fp = centres[r.integers(0, 12, n)].copy()
         for i in range(n):
             for _ in range(r.integers(0, 30)):
@@ -134,8 +134,41 @@ def test_near_dedup_on_odd_rows(spark, odd):
     out = H.deduplicated(odd)
     assert out.columns == odd.columns
     ids = sorted((x.doc_id if x.doc_id is not None else -1) for x in out.collect())
-    assert ids == [-1, -1, 1, 1, 3, 4, 5, 6, 7]  # 2 copies 1; rows of one id are one document
+    assert ids == [-1, 1, 3, 4, 5, 6, 7]  # one row of the group of 1, 1, 2 and the null id's near copy; the other null id has no text
     assert H.deduplicated(odd.limit(0)).count() == 0
+    assert sorted(map(tuple, H.near_duplicates(odd).collect())) == [(2, 1, 4)]
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Null ids, repeated rows, and an id that has a duplicate and a text of its own; a column named like an inner one."""
+    r = random.Random(18)
+    a, b, c = prose(r, 150), prose(r, 150), prose(r, 150)
+    rows = [(None, a, 1), (None, a, 2), (3, b, 3), (3, b, 4), (5, c, 5), (7, c, 6), (7, prose(r, 150), 7), (8, "", 8), (8, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _row int").repartition(3)
+    kept_ = sorted((x.doc_id or 0, x.text) for x in H.deduplicated(docs).collect())
+    assert kept_ == sorted([(0, a), (3, b), (5, c), (7, rows[6][1]), (8, ""), (8, "")])
+    assert sorted(map(tuple, H.near_duplicates(docs).collect())) == [(7, 5, 2)]
+
+
+def test_divided_cells_give_the_same(spark, sf_dir):
+    docs = read(spark, "documents")
+    rows = lambda **o: sorted(map(tuple, H.near_duplicates(docs, **o).collect()))
+    assert rows() == rows(hot=5)
+
+
+def test_large_groups_of_unrelated_fingerprints():
+    r = np.random.default_rng(9)
+    fp = r.integers(0, 1 << 63, (6000, 4), dtype=np.uint64)
+    fp[1::2] = fp[::2]
+    fp[1::2, 0] ^= np.uint64(0xFFFFFFFF)
+    a, b = H.cell_edges(np.zeros(6000, np.int64), np.arange(6000), fp, H.LIMIT)
+    found = {(min(i, j), max(i, j)) for i, j in zip(a.tolist(), b.tolist())}
+    assert all(j == i + 1 and i % 2 == 0 for i, j in found) and len(found) >= 0.98 * 3000
+
+
+def test_cells_follow_the_number_of_fingerprints():
+    assert H.cells_for(0) == H.cells_for(10_000_000) == 12 and H.cells_for(26_000_000) == 13 and H.cells_for(10**9) == 17
+    assert all(1 - (1 - H.meeting(H.LIMIT, c)) ** H.tables_for(c) >= 0.91 for c in (12, 15, 17))
 
 
 # --- 4
