@@ -7,18 +7,31 @@ each next symbol, applied to all futures of both states; red-blue order): a prob
 finite automaton. Symbols are characters in a string's first ``LITERAL`` places and character
 classes after it, so that prefixes count and random bodies generalise.
 
-Every candidate of a text, a run of at least ``LEAST`` characters of [A-Za-z0-9+/_-], is
-scored: the greatest log likelihood under an automaton of a credential format less the greatest
-under one of ordinary strings. From ``THRESHOLD`` on it is a secret.
+A text's runs are its maximal runs of at least ``LEAST`` characters of [A-Za-z0-9+/_-] (the shortest
+labelled credential has 20). Candidates are all parts of a run that begin at the run's begin or behind a
+separator (+ / _ -), end at the run's end or before a separator, and have ``LEAST`` characters,
+inside the run with a letter or digit at either end. A
+candidate's score is its log likelihood under the best automaton of a credential format less that
+under the best one of ordinary strings, which reads the whole run, so that a part of a path, a
+name or encoded data is held against what it is a part of. Runs of over ``ENCODED`` characters are also
+held against an automaton of encoded data, as a part of such data looks like a credential
+without a prefix. From ``THRESHOLD`` on a candidate is a secret; of those that overlap the one with the
+highest score counts.
+
+Every begin is followed through the run until its score is ``DROP`` below the best it had, which
+happens after a few characters where a format's prefix is missing, so the work is in
+proportion to the run's length, and its middle is read like its ends.
 
 The automata are learned on the driver from ``per_kind`` strings of each kind (a parameter)
-and are a few hundred states; candidates are found with NumPy on the bytes of a slice of
+and are a few hundred states; runs are found with NumPy on the bytes of a slice of
 documents, and only they are looked at one by one.
 
 Defined results: null and empty texts hold no secret; a secret that repeats has a row for each
-place; a run of over ``MOST`` characters (embedded data) is scored by its first and last
-``MOST`` / 2 characters, whichever scores more, and reported whole; an empty table gives an
-empty result; further columns are ignored, and kept by ``redact``; a null doc_id stays null.
+place; very long texts and runs are read whole; of candidates with one score the first counts; encoded
+data as a whole is no secret; a credential without a prefix of its own (aws_secret) inside a
+run of over ``ENCODED`` characters can't be told from encoded data and is left; an empty table gives an
+empty result; further columns are ignored, and kept by ``redact``; repeated rows give repeated
+results; a null doc_id stays null.
 """
 
 from __future__ import annotations
@@ -28,6 +41,7 @@ import hashlib
 import math
 import random
 import string
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,12 +52,13 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-LEAST, MOST, LITERAL, THRESHOLD = 16, 512, 4, 8.0
+LEAST, LITERAL, THRESHOLD, DROP, ENCODED = 16, 4, 8.0, 30.0, 80
 ORDINARY = "ordinary "
+SEPARATORS = frozenset("+/_-")
 MASK = "[SECRET]"
 _SCHEMA = "doc_id bigint, start int, end int, kind string, score double, sha string"
 _RUN = np.array([chr(b) in string.ascii_letters + string.digits + "+/_-" if b < 128 else False for b in range(256)])
-_SMOOTH, _ALPHABET = 0.05, 80
+_SMOOTH, _ALPHABET, _RARE = 0.05, 80, 1e-5
 
 
 # --- labelled strings
@@ -87,6 +102,7 @@ def labelled(per_kind: int = 300, seed: int = 11) -> list[tuple[str, str]]:
         "rule": lambda: r.choice("-=_+/") * r.randint(LEAST, 60),
         "dated": lambda: f"{r.randint(1990, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}-{word(6)}-{word(5)}",
         "numbers": lambda: r.choice("-_/").join(some(string.digits, r.randint(2, 6)) for _ in range(r.randint(3, 6))),
+        "encoded": lambda: some(b62 + r.choice(["+/", "-_"]), r.randint(ENCODED, 2 * ENCODED)),
     }
     out = [(kind, make()) for kind, make in formats.items() for _ in range(per_kind)]
     out += [(ORDINARY + kind, make()) for kind, make in ordinary.items() for _ in range(per_kind)]
@@ -118,11 +134,16 @@ def symbols(s: str) -> list[str]:
     return out
 
 
+_SIZE = {"digit": 10, "hex": 6, "vowel": 3, "lower": 17, "HEX": 6, "UPPER": 20}
+
+
 class Automaton:
     """A probabilistic automaton: counts of visits, of endings and of each next symbol at each state."""
 
     def __init__(self) -> None:
         self.visits, self.ends, self.next, self.taken, self.body = [0], [0], [{}], [{}], 0
+        self.lengths: Counter[int] = Counter()
+        self._of_length: dict[int, float] = {}
 
     def add(self, seq: list[str]) -> None:
         at = 0
@@ -138,14 +159,14 @@ class Automaton:
             at = self.next[at][c]
         self.visits[at] += 1
         self.ends[at] += 1
+        self.lengths[len(seq)] += 1
 
-    def score(self, seq: list[str]) -> float:
-        """Log likelihood; after a symbol never seen at a state it goes on at the most visited one."""
-        at, total, log, rest = 0, 0.0, math.log, self.body
-        for c in seq:
-            total += log((self.taken[at].get(c, 0) + _SMOOTH) / (self.visits[at] + _SMOOTH * _ALPHABET))
-            at = self.next[at].get(c, rest)
-        return total + log((self.ends[at] + _SMOOTH) / (self.visits[at] + _SMOOTH * _ALPHABET))
+    def of_length(self, n: int) -> float:
+        """Log probability of a string of about ``n`` symbols; merged states forget how long the strings were."""
+        if n not in self._of_length:
+            d = n // 20
+            self._of_length[n] = math.log((sum(self.lengths[k] for k in range(n - d, n + d + 1)) / (2 * d + 1) + _RARE) / (self.lengths.total() + _RARE * _ALPHABET))
+        return self._of_length[n]
 
 
 def _differ(f1: int, n1: int, f2: int, n2: int, bound: float) -> bool:
@@ -187,6 +208,7 @@ def _fold(a: Automaton, red: int, blue: int) -> None:
 def _compact(a: Automaton, red: list[int]) -> Automaton:
     """The automaton of the states that are left."""
     out, at = Automaton(), {s: i for i, s in enumerate(red)}
+    out.lengths = a.lengths
     out.visits, out.ends = [a.visits[s] for s in red], [a.ends[s] for s in red]
     out.taken = [dict(a.taken[s]) for s in red]
     out.next = [{c: at[t] for c, t in a.next[s].items()} for s in red]
@@ -224,25 +246,75 @@ def learn(rows: list[tuple[str, str]]) -> dict[str, Automaton]:
     return {kind: infer(strings) for kind, strings in sorted(kinds.items())}
 
 
-def judge(model: dict[str, Automaton], s: str) -> tuple[str, float]:
-    """(best credential kind, log likelihood ratio against ordinary strings)."""
-    parts = [s] if len(s) <= MOST else [s[: MOST // 2], s[-MOST // 2 :]]
-    best = ("", -math.inf)
-    for part in parts:
-        seq = symbols(part)
-        scores = {kind: a.score(seq) for kind, a in model.items()}
-        base = max(x for kind, x in scores.items() if kind.startswith(ORDINARY))
-        for kind, x in scores.items():
-            if not kind.startswith(ORDINARY) and x - base > best[1]:
-                best = (kind, x - base)
-    return best
+def _followed(a: Automaton, literal: str, seq: list[str]) -> list[float]:
+    """Log likelihood of each prefix of a string, without the chance of its ending."""
+    at, total, out, log = 0, 0.0, [0.0], math.log
+    for i, c in enumerate(seq):
+        c = literal[i] if i < LITERAL else c
+        total += log((a.taken[at].get(c, 0) + _SMOOTH) / (a.visits[at] + _SMOOTH * _ALPHABET))
+        at = a.next[at].get(c, a.body)
+        out.append(total)
+    return out
+
+
+def candidates(model: dict[str, Automaton], s: str) -> list[tuple[float, int, int, str]]:
+    """(score, begin, end, kind) of each part of the run ``s`` that scores over 0 under a format, best first."""
+    n, log = len(s), math.log
+    classes = symbols(" " * LITERAL + s)[LITERAL:]
+    plain = [kind for kind in model if kind.startswith(ORDINARY) and (n > ENCODED or kind != ORDINARY + "encoded")]
+    base = np.array([_followed(model[kind], s, classes) for kind in plain])
+    # a part's first characters are read as such, where the run's are known by class alone
+    spelt = np.cumsum([0.0] * (min(n, LITERAL) + 1) + [-log(_SIZE.get(c, 1)) for c in classes[LITERAL:]])
+    cuts = [i for i in range(1, n) if s[i - 1] in SEPARATORS and s[i] not in SEPARATORS and n - i >= LEAST]
+    formats = [(kind, a) for kind, a in model.items() if not kind.startswith(ORDINARY)]
+    out = []
+    for begin in [0, *cuts]:
+        low: list[float] = []  # ordinary log likelihood of the part, by its length
+        for kind, a in formats:
+            at, total, best, rest = 0, 0.0, 0.0, a.body
+            taken, visits, nxt = a.taken, a.visits, a.next
+            for i in range(begin, n):
+                c = s[i] if i - begin < LITERAL else classes[i]
+                total += log((taken[at].get(c, 0) + _SMOOTH) / (visits[at] + _SMOOTH * _ALPHABET))
+                at = nxt[at].get(c, rest)
+                k = i - begin
+                if k >= len(low):
+                    stop = min(n, begin + max(16, 2 * k + 2))
+                    more = (base[:, begin + len(low) + 1 : stop + 1] - base[:, begin, None]).max(0)
+                    low += (more + spelt[np.minimum(np.arange(begin + len(low) + 1, stop + 1), begin + LITERAL)] - spelt[begin]).tolist()
+                ratio = total - low[k]
+                if ratio < best - DROP:
+                    break
+                best = max(best, ratio)
+                if k + 1 >= LEAST and (i + 1 == n or s[i + 1] in SEPARATORS and s[i] not in SEPARATORS):
+                    score = ratio + a.of_length(k + 1)
+                    if score > 0:
+                        out.append((float(score), begin, i + 1, kind))
+    return sorted(out, key=lambda c: (-c[0], c[1], -c[2], c[3]))
+
+
+def judge(model: dict[str, Automaton], s: str) -> list[tuple[int, int, str, float]]:
+    """(begin, end, kind, score) of the secrets in a run, in order."""
+    out: list[tuple[int, int, str, float]] = []
+    for score, begin, end, kind in candidates(model, s):
+        if score < THRESHOLD:
+            break
+        if all(end <= b or begin >= e for b, e, _, _ in out):
+            out.append((begin, end, kind, score))
+    return sorted(out)
+
+
+@functools.lru_cache(1)
+def standard() -> dict[str, Automaton]:
+    """The automata of ``labelled``."""
+    return learn(labelled())
 
 
 # --- scan
 
 
 def _places(text: pa.Array) -> Iterator[tuple[int, int, int, memoryview]]:
-    """(row, first byte, end byte, bytes of the text) of all candidates, bytes counted from the text's begin."""
+    """(row, first byte, end byte, bytes of the text) of all runs, bytes counted from the text's begin."""
     whole = pc.fill_null(text, "").cast(pa.large_string())
     off = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
     if whole.buffers()[2] is None or off[0] == off[-1]:
@@ -275,10 +347,9 @@ def found(model: dict[str, Automaton], text: pa.Array, judged=None) -> list[tupl
     out = []
     for row, a, b, data in _places(text):
         s = bytes(data[a:b]).decode("ascii")
-        kind, score = judged(s)
-        if score >= THRESHOLD:
+        for begin, end, kind, score in judged(s):
             start = _characters(data, a)
-            out.append((row, start, start + b - a, kind, score, s))
+            out.append((row, start + begin, start + end, kind, score, s[begin:end]))
     return out
 
 
@@ -304,7 +375,7 @@ def _find(shared):
 
 def secrets(docs: DataFrame, model: dict[str, Automaton] | None = None) -> DataFrame:
     """(doc_id, start, end, kind, score, sha): a row for each secret; ``sha`` instead of the secret."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or learn(labelled()))
+    shared = docs.sparkSession.sparkContext.broadcast(model or standard())
     few = docs.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return few.mapInArrow(_find(shared), _SCHEMA)
 
@@ -333,7 +404,7 @@ def _masked(shared):
 
 def redact(docs: DataFrame, model: dict[str, Automaton] | None = None) -> DataFrame:
     """``docs`` with each secret replaced by MASK, and n_chars, if there, counted again."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or learn(labelled()))
+    shared = docs.sparkSession.sparkContext.broadcast(model or standard())
     docs = C.with_text(docs)
     out = docs.mapInArrow(_masked(shared), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
