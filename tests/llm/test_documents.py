@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -235,7 +236,16 @@ def test_bands_on_odd_rows(odd):
 
 
 def naive(text: str | None) -> list[str]:
-    return "".join(c.lower()[0] if c.isalnum() else " " for c in text or "").split()
+    plain = "".join(c for c in unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", text or "").lower()) if not unicodedata.combining(c))
+    return "".join(c if c.isalnum() else " " for c in plain).split()
+
+
+def brute_hits(text: str | None, item: str | None) -> int:
+    """Places in a text where a window of the item begins."""
+    t, w = naive(text), naive(item)
+    n = min(D.WINDOW, len(w))
+    wins = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set()
+    return sum(tuple(t[k : k + n]) in wins for k in range(len(t) - n + 1)) if wins else 0
 
 
 def test_spans_equal_naive_search(spark, sf_dir):
@@ -243,39 +253,56 @@ def test_spans_equal_naive_search(spark, sf_dir):
     got = {}
     for x in D.contaminated(docs, items).collect():
         got.setdefault((x.doc_id, x.item_id), []).append((x.start, x.end, x.n_windows))
-    item_windows = [(i.item_id, {tuple(w[k : k + D.WINDOW]) for k in range(max(1, len(w) - D.WINDOW + 1))}) for i in items.collect() if len(w := naive(i.text)) >= D.SHORTEST]
-    want = set()
-    for x in docs.select("doc_id", "text").collect():
-        w = naive(x.text)
-        for item, wins in item_windows:
-            if any(tuple(w[k : k + len(win)]) == win for win in wins for k in range(len(w) - len(win) + 1)):
-                want.add((x.doc_id, item))
-    assert set(got) == want and want
     texts = {x.doc_id: x.text for x in docs.select("doc_id", "text").collect()}
     words = {i.item_id: " ".join(naive(i.text)) for i in items.collect()}
+    want = {(d, i): n for d, t in texts.items() for i, w in words.items() if (n := brute_hits(t, w))}
+    assert {k: sum(n for _, _, n in v) for k, v in got.items()} == want and want
     for (doc, item), spans in got.items():
         for a, b, n in spans:
             assert " ".join(naive(texts[doc][a:b])) in words[item] and n >= 1
             assert texts[doc][a].isalnum() and texts[doc][b - 1].isalnum()
 
 
+def test_spans_of_random_texts_equal_brute_force():
+    """Few different words, so anchors repeat within items and texts; short items; items that hold one another."""
+    r = random.Random(21)
+    some = lambda n: " ".join(r.choice(["Für", "fu\u0308r", "a", "B", "ﬁn", "c1", "ß"]) for _ in range(n))
+    for _ in range(60):
+        items = [(i, some(r.choice([1, 2, 3, 6, 12, 13, 14, 20, 40]))) for i in range(6)]
+        items += [(9, items[5][1]), (10, None), (11, " - ")]
+        texts = [some(r.randint(0, 120)) + r.choice(["", " ", "."]) + items[r.randrange(6)][1] + " " + some(5) for _ in range(8)] + [None, ""]
+        got: dict = {}
+        for row, item, a, b, n, k in D.spans(D.Items(items), texts):
+            got[row, item] = got.get((row, item), 0) + n
+            assert k == len(naive(dict(items)[item])) and naive(texts[row][a:b])
+        assert got == {(x, i): n for x, t in enumerate(texts) for i, w in items if (n := brute_hits(t, w))}
+
+
+def test_normal_form():
+    for a in ("café", "Straße", "ﬁn", "Ünï", "İstanbul", "Ångström", "한국어", "１２", "x²", "\U0001d400b", "\udc80x", "\ue000y"):
+        for b in (a, unicodedata.normalize("NFD", a), unicodedata.normalize("NFC", a), a.upper() if a != "Straße" else a):
+            if b.isprintable() or a == b:
+                assert D.words(b) == naive(b), a
+    assert D.words("cafe\u0301 CAFÉ") == ["cafe", "cafe"]
+
+
 def test_offsets_and_parts(spark, monkeypatch):
     item = "Which of the following seven very old rivers runs through the green city of Lome today?"
     docs = spark.createDataFrame([(1, "Ünd — " + item.upper().replace(" ", " -- ") + " yes"), (2, item[:40]), (3, "Was it so?"), (4, (item + " ") * 3), (5, None)], "doc_id bigint, text string")
     items = spark.createDataFrame([(1, item), (2, "Was it so?"), (3, None), (4, item), (None, item), (5, "one two three four five")], "item_id bigint, text string")
     rows = lambda: sorted(tuple(x) for x in D.contaminated(docs, items).collect())
     one = rows()
-    assert {(r[0], r[1]) for r in one} == {(1, 1), (1, 4), (4, 1), (4, 4)}
+    assert {(r[0], r[1], r[5]) for r in one} == {(1, 1, 16), (1, 4, 16), (3, 2, 3), (4, 1, 16), (4, 4, 16)}
     first = next(r for r in one if r[:2] == (1, 1))
     assert (first[2], first[3]) == (6, 6 + len(item.replace(" ", " -- ")) - 1)
     assert sum(r[:2] == (4, 1) for r in one) == 3
-    monkeypatch.setattr(D, "PART_CHARS", 500)
+    monkeypatch.setattr(D, "PART_CHARS", 50)
     assert rows() == one
     assert sorted(x.doc_id for x in D.clean(docs, items).collect()) == [2, 3, 5]
 
 
 def test_decontamination_on_odd_rows(spark, odd):
-    items = spark.createDataFrame([(1, "nothing that any of these texts holds"), (2, "")], "item_id bigint, text string")
+    items = spark.createDataFrame([(1, "nothing that any of these texts holds"), (2, ""), (3, None)], "item_id bigint, text string")
     assert D.clean(odd, items).columns == odd.columns and D.clean(odd, items).count() == odd.count()
     assert D.clean(odd, items.limit(0)).count() == odd.count() and D.clean(odd.limit(0), items).count() == 0
     assert D.contaminated(odd, items.limit(0)).count() == 0

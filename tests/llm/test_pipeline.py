@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,13 @@ from chunkloom.llm import quality as Q
 from chunkloom.llm import secret_scan as S
 from chunkloom.llm import simhash as H
 
+
+
+def naive(text: str) -> list[str]:
+    plain = "".join(c for c in unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", text).lower()) if not unicodedata.combining(c))
+    return "".join(c if c.isalnum() else " " for c in plain).split()
+
+
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -48,10 +56,9 @@ def test_run_equals_brute_force(spark, sf_dir):
                     todo.append(j)
         seen |= group
         stay.append(ids[min(group, key=lambda j: ids[j])])
-    items = [" ".join("".join(c.lower()[0] if c.isalnum() else " " for c in x.text).split()) for x in C.table(spark, sf_dir, "benchmark").collect()]
-    windows = {" ".join(w[i : i + D.WINDOW]) for t in items if len(w := t.split()) >= D.SHORTEST for i in range(max(1, len(w) - D.WINDOW + 1))}
-    flat = lambda t: " " + " ".join("".join(c.lower()[0] if c.isalnum() else " " for c in t).split()) + " "
-    stay = [i for i in stay if not any(f" {w} " in flat(rows[i]) for w in windows)]
+    items = [naive(x.text) for x in C.table(spark, sf_dir, "benchmark").collect()]
+    windows = {" ".join(w[i : i + D.WINDOW]) for w in items if len(w) >= D.SHORTEST for i in range(max(1, len(w) - D.WINDOW + 1))}
+    stay = [i for i in stay if not any(f" {w} " in f" {' '.join(naive(rows[i]))} " for w in windows)]
     model = S.learn(S.labelled())
     texts = {}
     for i in stay:
