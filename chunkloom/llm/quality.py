@@ -10,11 +10,15 @@ by the tables of sf0.1). A document is rejected when its whole ratio leaves its
 lie in chunks that do, the last partial chunk held against the upper limit of its own length; these
 rules see a repetitive or random part of a long text whose whole ratio looks ordinary.
 
-Defined results: null and empty texts are rejected (there is nothing to keep); texts under 64
-bytes have no band and stay, and last chunks under 64 bytes are not judged; under 192 bytes keys
-and prose overlap, so the limit there is loose; hexadecimal digits compress like prose and are not
-told from it; texts under 2048 bytes have no full chunk; copies get the same
-verdict; an empty table gives an empty result; a document with a null id is judged like any
+A text of under 2048 bytes is itself one partial chunk, judged by the band of its length, so every byte
+of every text lies in a judged chunk, but for rests of under 24 bytes.
+
+Defined results: null and empty texts are rejected (there is nothing to keep); texts under 24
+bytes have no band and stay, as a frame's overhead is more than repetition saves, and last chunks under 24
+bytes are not judged; under 64 bytes only the lower limit holds and under 192 bytes keys
+and prose overlap, so the upper limit there is loose; hexadecimal digits compress like prose and are not
+told from it; very long texts are read whole, chunk by chunk; repeated rows and copies get the same
+verdict, so there are no ties to settle; an empty table gives an empty result; a document with a null id is judged like any
 other; further columns pass through unchanged.
 """
 
@@ -36,6 +40,9 @@ LEVEL, CHUNK = 3, 2048
 #: (bytes from, least ratio, greatest ratio)
 BANDS = [
     (0, 0.0, 99.0),
+    (24, 0.80, 99.0),
+    (32, 0.85, 99.0),
+    (48, 0.70, 99.0),
     (64, 0.45, 1.40),
     (128, 0.42, 1.10),
     (192, 0.42, 0.87),
@@ -52,7 +59,7 @@ BANDS = [
 ]
 CHUNK_BAND = (0.40, 0.65)
 CHUNK_SHARE = 0.25
-LAST = 64  # bytes that a last partial chunk must have to be judged
+LAST = 24  # bytes that a last partial chunk must have to be judged
 _FROM = np.array([b[0] for b in BANDS])
 _LOW = np.array([b[1] for b in BANDS])
 _HIGH = np.array([b[2] for b in BANDS])
