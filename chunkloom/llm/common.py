@@ -39,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
         elif is_local(spark):
             base = "file://" + tempfile.mkdtemp(prefix="chunkloom-")
             spark.sparkContext.setCheckpointDir(base)
-            _on_exit(spark, base)
+            on_exit(spark, base)
         else:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -62,7 +62,7 @@ def _hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def _on_exit(spark: SparkSession, path: str) -> None:
+def on_exit(spark: SparkSession, path: str) -> None:
     """The folder goes when the driver ends."""
     where, p = _hadoop(spark, path)
     where.deleteOnExit(p)
@@ -73,7 +73,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}-{name}"
     df.write.parquet(path)
-    _on_exit(spark, path)
+    on_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
@@ -107,7 +107,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
         n = batch.num_rows
         if not n:
             continue
-        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)) + 1
         edges = np.cumsum(sizes.astype(np.int64)) // limit
         cuts = [0, *(np.flatnonzero(np.diff(edges)) + 1).tolist(), n]
         for a, b in zip(cuts, cuts[1:]):

@@ -11,7 +11,8 @@ Every file is written under another name and renamed, so a repeated task replace
 same bytes; the index between the two steps is a written table, so no token file is written
 twice because of a lost executor later.
 
-Defined results: null and empty texts are documents of no tokens; every other document ends
+Defined results: very long texts are tokenised whole; a partition's order is that of its scan, so rows are never
+compared and there are no ties; null and empty texts are documents of no tokens; every other document ends
 with the separator id; copies are written as often as they occur; a document keeps its place
 in its partition; an empty table gives no files and an empty result; further columns are
 ignored; a null doc_id stays null in the index.
@@ -21,7 +22,6 @@ from __future__ import annotations
 
 import base64
 import json
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -35,7 +35,8 @@ from pyspark.sql.window import Window
 
 from . import common as C
 
-VOCABULARY = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+#: Where ``vocabulary`` is unset; every executor must see the file.
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEPARATOR = 50256
 _encoders: dict = {}
@@ -127,9 +128,7 @@ def _write_offsets(folder: str):
 def write_tokens(docs: DataFrame, folder: str | None = None, vocabulary: str = VOCABULARY, separator: int = SEPARATOR) -> tuple[DataFrame, str]:
     """Writes the files; gives the index (doc_id, part, row, start, n_tokens) and the folder."""
     spark = docs.sparkSession
-    folder = folder or C.shared_dir(spark) + "-tokens"
-    if "://" not in folder:
-        folder = "file://" + os.path.abspath(folder)
+    folder = C.uri(spark, folder or C.shared_dir(spark) + "-tokens")
     kind = width(max(encoder(vocabulary).n_vocab, separator + 1))
     few = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id bigint, part int, row bigint, start bigint, n_tokens bigint"
@@ -147,7 +146,10 @@ def write_tokens(docs: DataFrame, folder: str | None = None, vocabulary: str = V
 
 
 class TokenFiles:
-    """Reads what ``write_tokens`` wrote through memory maps; documents are numbered over all files."""
+    """Reads what ``write_tokens`` wrote through memory maps; documents are numbered over all files.
+
+    Memory maps need a folder that this machine mounts.
+    """
 
     def __init__(self, folder: str) -> None:
         self.folder = folder.removeprefix("file://")
@@ -173,5 +175,5 @@ class TokenFiles:
         return np.memmap(f"{self.folder}/tokens-{p['part']:06d}.bin", self.meta["dtype"], "r")[a:b]
 
 
-def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return write_tokens(C.table(spark, sf_dir, "documents"))[0]
+def op8_token_files(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    return write_tokens(C.table(spark, sf_dir, "documents"), vocabulary=vocabulary)[0]

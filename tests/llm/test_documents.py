@@ -223,6 +223,19 @@ def test_bands_reject_encoded_data():
         assert kept_([prose(2048) + prose(1900)]) == [True]
 
 
+def test_bands_of_short_texts_and_rests():
+    """Repetition is rejected from 24 bytes on, prose stays; what follows the last full chunk is judged, too."""
+    r = random.Random(4)
+    kept_ = lambda t: Q.verdict(*Q.ratios(pa.array([t], pa.string())))[0]
+    for n in (24, 31, 32, 40, 48, 63, 64, 100):
+        assert not kept_("a" * n) and not kept_("ab" * (n // 2)) and kept_(prose(r, 40)[:n]), n
+    assert kept_("a" * 23) and not kept_("") and not kept_(None)
+    body = lambda n: " ".join("".join(r.choices("etaoinshrdlu", k=r.randint(2, 8))) for _ in range(n))[:n]
+    assert kept_(body(2048)) and not kept_(body(2048) + "x" * 2000) and not kept_(body(2048) + "again and " * 190)
+    for rest in (800, 2047):
+        assert kept_(body(2048 + rest)) and not kept_(body(2048) + "".join(r.choices("".join(map(chr, range(33, 127))), k=rest)))
+
+
 def test_bands_on_odd_rows(odd):
     out = Q.compression_bands(odd)
     assert out.columns == odd.columns and out.schema["text"].dataType == odd.schema["text"].dataType

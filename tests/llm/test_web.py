@@ -219,31 +219,38 @@ def test_rules_without_labels_or_pages(spark):
 
 # --- 9
 
-RECORD = "record_id string, record_type string, url string, date string, digest string, payload string, o string, refers_to string"
+RECORD = "record_id string, record_type string, url string, date string, digest string, refers_to string, content_type string, http_head string, payload binary, o string, k string, part int"
+JPEG = bytes(range(256)) * 40
+HEAD = "HTTP/1.1 404 Not Found\r\nServer: x\r\nSet-Cookie: a=b"
 
 
 def test_archives_round_trip(spark, tmp_path):
+    http = "application/http; msgtype=response"
     rows = [
-        ("urn:1", "response", "http://a/", "2020-01-02T00:00:00Z", "sha1:A", "<p>ä</p>"), ("urn:2", "response", "http://b/", "2020-01-01T00:00:00Z", "sha1:A", "<p>ä</p>"),
-        ("urn:3", "revisit", "http://a/", "2020-02-01T00:00:00Z", "sha1:A", None), ("urn:4", "revisit", "http://q/", "2020-02-01T00:00:00Z", "sha1:none", None),
-        ("urn:5", "response", None, None, None, None), ("urn:6", "response", "http://e/", "2020-01-01T00:00:00Z", None, ""), ("urn:6", "response", "http://e/", "2020-01-01T00:00:00Z", None, ""),
-        ("urn:7", "response", "http://l/", "2020-01-01T00:00:00Z", "sha1:L", "x" * 3_000_000), (None, "response", "http://n/", "2020", "sha1:N", "lost"),
+        ("urn:1", "response", "http://a/", "2020-01-02T00:00:00Z", "sha1:A", None, http, HEAD, "<p>ä</p>".encode()), ("urn:2", "response", "http://b/", "2020-01-01T00:00:00Z", "sha1:A", None, http, "HTTP/1.1 200 OK", "<p>ä</p>".encode()),
+        ("urn:3", "revisit", "http://a/", "2020-02-01T00:00:00Z", "sha1:A", "urn:gone", http, HEAD, None), ("urn:4", "revisit", "http://q/", "2020-02-01T00:00:00Z", "sha1:none", "urn:elsewhere", None, None, None),
+        ("urn:5", "response", None, None, None, None, None, None, None), ("urn:6", "response", "http://e/", "2020-01-01T00:00:00Z", None, None, http, HEAD, b""), ("urn:6", "response", "http://e/", "2020-01-01T00:00:00Z", None, None, http, HEAD, b""),
+        ("urn:7", "response", "http://l/", "2020-01-01T00:00:00Z", "sha1:L", None, http, HEAD, b"x" * 3_000_000), (None, "response", "http://n/", "2020", "sha1:N", None, http, HEAD, b"lost"),
+        ("urn:8", "request", "http://a/", "2020-01-02T00:00:00Z", None, "urn:1", "application/http; msgtype=request", None, b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"), ("urn:9", "metadata", None, "2020-01-02T00:00:00Z", "sha1:A", "urn:2", "application/warc-fields", None, b"via: x\r\n"),
+        ("urn:10", "warcinfo", None, "2020-01-02T00:00:00Z", None, None, "application/warc-fields", None, b"software: y\r\n\r\nz"), ("urn:11", "response", "http://j/", "2020-01-02T00:00:00Z", "sha1:J", None, http, "HTTP/1.1 200 OK\r\nContent-Type: image/jpeg", JPEG),
+        ("urn:12", "response", "http://j2/", "2020-01-03T00:00:00Z", "sha1:J", None, http, "HTTP/1.1 200 OK\r\nX: 2", JPEG),
     ]
-    records = spark.createDataFrame([(*x, "o", "r") for x in rows], RECORD)
+    records = spark.createDataFrame([(*x, "o", "k", 1) for x in rows], RECORD)
     fresh, index, folder = A.write_archives(records, str(tmp_path / "w"))
     by = {x.old_id: x for x in fresh.collect()}
-    assert len(by) == fresh.count() == 7
-    assert {k: v.record_type for k, v in by.items()} == {"urn:1": "revisit", "urn:2": "response", "urn:3": "revisit", "urn:4": "revisit", "urn:5": "response", "urn:6": "response", "urn:7": "response"}
-    assert by["urn:1"].refers_to == by["urn:3"].refers_to == by["urn:2"].record_id and by["urn:3"].refers_to_date == "2020-01-01T00:00:00Z"
-    assert by["urn:4"].refers_to is None and len({x.record_id for x in by.values()}) == 7
+    said = {x[0]: x for x in rows}
+    assert len(by) == fresh.count() == 12 and set(by) == set(said) - {None}
+    assert {k for k, v in by.items() if v.record_type != said[k][1]} == {"urn:1", "urn:12"} and by["urn:1"].record_type == by["urn:12"].record_type == "revisit"
+    assert by["urn:1"].refers_to == by["urn:3"].refers_to == by["urn:2"].record_id and by["urn:3"].refers_to_date == "2020-01-01T00:00:00Z" and by["urn:12"].refers_to_url == "http://j/"
+    assert by["urn:4"].refers_to == "urn:elsewhere" and by["urn:8"].refers_to == by["urn:1"].record_id and by["urn:9"].refers_to == by["urn:2"].record_id and len({x.record_id for x in by.values()}) == 12
     names = sorted({x.file for x in index.collect()})
     back = {x.record_id: x for x in A.read_archives(spark, [f"{folder}/{f}" for f in names]).collect()}
     assert set(back) == {x.record_id for x in by.values()}
     for old, x in by.items():
         y = back[x.record_id]
         assert (y.record_type, y.url, y.date, y.digest, y.refers_to, y.refers_to_url, y.refers_to_date) == (x.record_type, x.url, x.date, x.digest, x.refers_to, x.refers_to_url, x.refers_to_date)
-        payload = next(r[5] for r in rows if r[0] == old)
-        assert y.payload == ((payload or "") if x.record_type == "response" else None)
+        assert y.http_head == said[old][7] and y.content_type == (said[old][6] or "application/octet-stream")
+        assert y.payload == (None if x.record_type == "revisit" else said[old][8] or b"")
     path = folder.removeprefix("file://")
     for x in index.collect():
         import zlib
@@ -252,6 +259,11 @@ def test_archives_round_trip(spark, tmp_path):
             f.seek(x.offset)
             assert A.parse_record(zlib.decompress(f.read(x.length), 31))["record_id"] == x.record_id
     assert A.write_archives(records.limit(0), str(tmp_path / "e"))[0].count() == 0
+    plain = records.select("record_id", "record_type", "url", "date", "digest", F.lit("text").alias("payload"))
+    assert {x.record_type for x in A.write_archives(plain, str(tmp_path / "p"))[0].collect()} == {"response", "revisit", "request", "metadata", "warcinfo"}
+    (tmp_path / "cut.warc.gz").write_bytes(open(f"{path}/{names[-1]}", "rb").read()[:-9])
+    with pytest.raises(Exception, match="ends within a record"):
+        A.read_archives(spark, [f"file://{tmp_path}/cut.warc.gz"]).collect()
 
 
 def test_captures_of_odd_pages(spark):
