@@ -15,7 +15,7 @@ sorted; ``packed`` brings in the texts by one join on doc_id.
 Tokens are words (runs of letters and digits) unless ``length`` names a column of counts.
 
 Defined results: null, empty and wordless texts have no token and are in no pack; a text
-longer than a pack has pieces in several; ties of the key are ordered by doc_id, then by a hash
+longer than a pack has pieces in several, each cut out of the text once, however long it is; ties of the key are ordered by doc_id, then by a hash
 of the text; repeated rows are each packed; an empty table gives no packs; further columns are
 ignored; a null doc_id stays null.
 """
@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from . import common as C
@@ -156,37 +157,49 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, length: str | None = None) -
     return _cut(_placed(docs, length), capacity)
 
 
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of the pieces: from one word's begin to another's; the first has what is before, the last what is after."""
-    for b in C.slices(batches, "text"):
-        texts, starts, ends, ns = (b.column(c).to_pylist() for c in ("text", "doc_start", "doc_end", "n"))
-        out, last, first = [], None, None
-        for t, s, e, n in zip(texts, starts, ends, ns):
-            if s == 0 and e == n:
-                out.append(t)
-                continue
-            if t is not last:
-                data = t.lower().encode() if len(t.lower().encode()) == len(t.encode()) else t.encode()
-                word = C.WORD_BYTE[np.frombuffer(data, np.uint8)]
-                first = np.flatnonzero(word & ~np.r_[False, word[:-1]])
-                last = t
-            raw = t.encode()
-            out.append(raw[0 if s == 0 else first[s] : len(raw) if e == n else first[e]].decode())
-        k = b.schema.get_field_index("text")
-        yield b.set_column(k, b.schema.field(k), pa.array(out, b.schema.field(k).type)).drop_columns(["n"])
+_PIECE = ["pack_id", "pack_start", "doc_id", "doc_start", "doc_end", "text"]
+
+
+def _sliced(capacity: int, kind: pa.DataType, limit: int = 4 << 20):
+    """The pieces of each document with their texts, from one word's begin to another's; the first has what
+    is before, the last what is after. A document's text is there once, whatever its pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int64(), kind, pa.int64(), pa.int64(), pa.string()]
+            batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], _PIECE)
+            rows.clear()
+            return batch
+
+        for b in C.slices(batches, "text", limit):
+            for id_, t, n, at in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "n", "at"))):
+                raw, first = t.encode(), None
+                for p in range(at // capacity, (at + n - 1) // capacity + 1):
+                    s, e = max(p * capacity - at, 0), min((p + 1) * capacity - at, n)
+                    if first is None and e - s < n:
+                        low = t.lower().encode()
+                        word = C.WORD_BYTE[np.frombuffer(low if len(low) == len(raw) else raw, np.uint8)]
+                        first = np.flatnonzero(word & ~np.r_[False, word[:-1]])
+                    rows.append((p, max(at - p * capacity, 0), id_, s, e, raw[0 if s == 0 else first[s] : len(raw) if e == n else first[e]].decode()))
+            yield out()
+
+    return run
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pack`` and the text of each piece. The pieces of a document make up its whole text."""
-    rank = Window.partitionBy("doc_id").orderBy("tie")  # rows that repeat a doc_id are told apart
-    placed = _placed(docs, None).withColumn("nth", F.row_number().over(rank)).withColumnRenamed("doc_id", "id")
+    rank = Window.partitionBy("doc_id", "tie").orderBy("tie")  # repeated rows are told apart; null ids are divided by their texts
+    placed = _placed(docs, None).withColumn("nth", F.row_number().over(rank)).withColumnsRenamed({"doc_id": "id", "tie": "tie_", "nth": "nth_"})
     # rows without a token aren't placed, so they must not be counted here either
     texts = docs.where(F.col("text").rlike("[a-zA-Z0-9\\x{80}-\\x{10ffff}]")).select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tie"))
-    texts = texts.withColumn("nth", F.row_number().over(rank)).select("doc_id", "text", F.col("nth").alias("nth_"))
-    both = texts.join(placed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("nth") == F.col("nth_")))
-    rows = _cut(both.select("doc_id", "text", "n", "at"), capacity, "text", "n")
-    schema = T.StructType([f for f in rows.schema if f.name != "n"])
-    return rows.mapInArrow(_sliced, schema)
+    texts = texts.withColumn("nth", F.row_number().over(rank))
+    both = texts.join(placed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tie") == F.col("tie_")) & (F.col("nth") == F.col("nth_")))
+    rows = both.select("doc_id", "text", "n", "at")
+    kinds = {"doc_id": docs.schema["doc_id"].dataType, "text": T.StringType()}
+    schema = T.StructType([T.StructField(c, kinds.get(c, T.LongType())) for c in _PIECE])
+    return rows.mapInArrow(_sliced(capacity, to_arrow_type(schema["doc_id"].dataType)), schema)
 
 
 def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

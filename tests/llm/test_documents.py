@@ -482,6 +482,19 @@ def test_packs_are_full_and_texts_rejoin(spark, odd):
     assert P.pack(odd.limit(0)).count() == 0 and P.packed(odd.limit(0)).count() == 0
 
 
+def test_very_long_text_is_cut_once(spark):
+    """4 MB in over 200 packs, besides repeated rows without an id."""
+    r = random.Random(41)
+    long = " ".join(r.choice(WORDS) for _ in range(600_000)) + " Ünd"
+    docs = spark.createDataFrame([(1, long), (None, "a b c"), (None, "a b c"), (2, "İ x ß")], "doc_id int, text string")
+    rows = P.packed(docs).collect()
+    got: dict = {}
+    for x in sorted(rows, key=lambda x: (x.pack_id, x.pack_start)):
+        got.setdefault(x.doc_id, []).append(x.text)
+    assert "".join(got[1]) == long and got[None] == ["a b c"] * 2 and "".join(got[2]) == "İ x ß"
+    assert len(got[1]) >= 290
+
+
 def test_neighbours_on_the_curve_are_alike(spark):
     r = random.Random(12)
     topics = [[r.choice(WORDS) + str(k) for _ in range(30)] for k in range(8)]
