@@ -13,10 +13,16 @@ aligned or not, so every node that recurs has a slot and its pages are not split
 
 Two passes over the pages, both without a shuffle of HTML while the longest pages of all hosts
 fit ``SMALL`` bytes, which is checked; beyond it pages and their host's longest page are brought
-together by a shuffle on (host, salt), the salt splitting hosts with very many pages. Only hashes
-of slots, values and pages are grouped in between; the template counts for the bytes that must fit.
+together by a shuffle on (host, salt). A host has a salt for each ``PART`` bytes of its pages, so most have one,
+and the longest page is copied once for each; the hosts with several are broadcast, of which there are at
+most as many as the corpus has parts. Only hashes of slots, values and pages are grouped in between; the
+template counts for the bytes that must fit.
 
-Defined results: a null or empty page has an empty content; a page without a host (null or
+Trees are read and matched without recursion, so their depth is not limited; two subtrees are the same
+where a hash of their labels is, which needs no table that grows with the pages.
+
+Defined results: of equally long pages the one with the greater hash is the host's longest; very long pages are
+read whole; repeated rows are each extracted; a null or empty page has an empty content; a page without a host (null or
 relative URL) stands alone; the only page of a host has no template, so all its text is
 content; copies of a page count as one page, so a host of nothing but copies is all
 content; script, style and comments are dropped and broken markup is repaired as browsers do
@@ -28,6 +34,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,7 +44,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SHARE, PAGES, SMALL, SALTS = 0.01, 2, 64 << 20, 32
+SHARE, PAGES, SMALL, PART = 0.01, 2, 64 << 20, 256 << 20
 DEEP = 500  # characters of a path from which it is hashed, so deep pages take no square time
 _OUT = "page_id bigint, host string, title string, content string, n_template int, n_content int"
 _COUNTS = "host string, key bigint, page bigint"
@@ -47,7 +54,6 @@ _TOKEN = re.compile(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _SIBLING = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-_shapes: dict[tuple, int] = {}
 
 
 class Node:
@@ -61,8 +67,10 @@ def parse(page: str | None) -> Node:
     """DOM of a page; text nodes are leaves labelled #text, white space collapsed."""
     root = Node("#root")
     open_, at = [root], 0
+    depth: Counter[str] = Counter()  # open elements by label, so a stray end tag needs no search
 
     def close(upto: int) -> None:
+        depth.subtract(n.label for n in open_[upto:])
         del open_[upto:]
 
     def text(s: str) -> None:
@@ -80,13 +88,13 @@ def parse(page: str | None) -> Node:
             continue
         name = name.lower()
         if m[2]:
-            for k in range(len(open_) - 1, 0, -1):
+            for k in () if not depth[name] else range(len(open_) - 1, 0, -1):
                 if open_[k].label == name:
                     close(k)
                     break
             continue
         if name in _BLOCK:
-            for k in range(len(open_) - 1, 0, -1):
+            for k in () if not depth["p"] else range(len(open_) - 1, 0, -1):
                 if open_[k].label == "p":
                     close(k)
                     break
@@ -94,7 +102,7 @@ def parse(page: str | None) -> Node:
                     break
         elif name in _SIBLING:
             same, stop = _SIBLING[name]
-            for k in range(len(open_) - 1, 0, -1):
+            for k in () if not any(depth[x] for x in same) else range(len(open_) - 1, 0, -1):
                 if open_[k].label in stop:
                     break
                 if open_[k].label in same:
@@ -103,6 +111,7 @@ def parse(page: str | None) -> Node:
         open_[-1].children.append(node)
         if name not in _VOID and not m[0].endswith("/>"):
             open_.append(node)
+            depth[name] += 1
     text(page[at:])
     _number(root)
     return root
@@ -110,9 +119,6 @@ def parse(page: str | None) -> Node:
 
 def _number(root: Node) -> None:
     """Preorder numbers, sizes, and shapes: two nodes have one shape if their subtrees agree in labels."""
-    if len(_shapes) > 1_000_000:
-        _shapes.clear()
-        _scores.clear()
     todo, order = [root], []
     while todo:
         n = todo.pop()
@@ -121,7 +127,7 @@ def _number(root: Node) -> None:
         todo.extend(reversed(n.children))
     for n in reversed(order):
         n.size = 1 + sum(c.size for c in n.children)
-        n.shape = _shapes.setdefault((n.label, *(c.shape for c in n.children)), len(_shapes))
+        n.shape = xxhash.xxh64_intdigest(b"".join([n.label.encode(), *(c.shape.to_bytes(8, "little") for c in n.children)]))
 
 
 _scores: dict[tuple[int, int], int] = {}
@@ -139,13 +145,18 @@ def _trim(a: list[Node], b: list[Node]) -> tuple[int, int]:
     return i, j
 
 
+def _known(x: Node, y: Node) -> int:
+    return x.size if x.shape == y.shape else _scores[x.shape, y.shape]
+
+
 def _table(a: list[Node], b: list[Node]) -> list[list[int]]:
+    """Scores of the first children of two nodes, those of all their pairs being known."""
     rows = [[0] * (len(b) + 1)]
     for x in a:
         last, row = rows[-1], [0]
         for j, y in enumerate(b):
             best = last[j + 1] if last[j + 1] >= row[j] else row[j]
-            if x.label == y.label and (s := last[j] + score(x, y)) > best:
+            if x.label == y.label and (s := last[j] + _known(x, y)) > best:
                 best = s
             row.append(best)
         rows.append(row)
@@ -158,23 +169,34 @@ def score(a: Node, b: Node) -> int:
         return 0
     if a.shape == b.shape:
         return a.size
-    key = (a.shape, b.shape)
-    if key not in _scores:
-        if len(_scores) > 1_000_000:
-            _scores.clear()
-        i, j = _trim(a.children, b.children)
-        x, y = a.children[i : len(a.children) - j], b.children[i : len(b.children) - j]
-        same = sum(c.size for c in a.children[:i]) + sum(c.size for c in a.children[len(a.children) - j :])
-        _scores[key] = 1 + same + (_table(x, y)[-1][-1] if x and y else 0)
-    return _scores[key]
+    if len(_scores) > 1_000_000:
+        _scores.clear()
+    todo = [(a, b)]
+    while todo:
+        p, q = todo[-1]
+        key = (p.shape, q.shape)
+        if key not in _scores:
+            i, j = _trim(p.children, q.children)
+            x, y = p.children[i : len(p.children) - j], q.children[i : len(q.children) - j]
+            if need := [(c, d) for c in x for d in y if c.label == d.label and c.shape != d.shape and (c.shape, d.shape) not in _scores]:
+                todo += need
+                continue
+            same = sum(c.size for c in p.children[:i]) + sum(c.size for c in p.children[len(p.children) - j :])
+            _scores[key] = 1 + same + (_table(x, y)[-1][-1] if x and y else 0)
+        todo.pop()
+    return _scores[a.shape, b.shape]
 
 
 def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """Pairs of nodes in the largest mapping of two trees with one root label."""
+    score(a, b)  # now those of all pairs below are known
     out, todo = [], [(a, b)]
     while todo:
         x, y = todo.pop()
         out.append((x, y))
+        if x.shape == y.shape:
+            todo += zip(x.children, y.children)
+            continue
         i, j = _trim(x.children, y.children)
         p, q = x.children, y.children
         todo += zip(p[:i], q[:i])
@@ -319,7 +341,7 @@ def host_of(url: str):
     return F.when(h != "", h)
 
 
-def extracted(pages: DataFrame, small: int = SMALL) -> DataFrame:
+def extracted(pages: DataFrame, small: int = SMALL, part: int = PART) -> DataFrame:
     """(page_id, host, title, content, n_template, n_content): a row for each page."""
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), host_of("url").alias("host"), F.col("html").cast("string").alias("html"), F.lit(False).alias("ref"), F.lit(None).cast("array<bigint>").alias("template"))
@@ -327,11 +349,11 @@ def extracted(pages: DataFrame, small: int = SMALL) -> DataFrame:
     longest = (
         rows.where("host is not null and html is not null")
         .groupBy("host")
-        .agg(F.max_by("html", F.struct(F.length("html"), F.xxhash64("html"))).alias("html"), F.count("*").alias("pages"))
+        .agg(F.max_by("html", F.struct(F.octet_length("html"), F.xxhash64("html"))).alias("html"), F.count("*").alias("pages"), F.sum(F.octet_length("html")).alias("bytes"))
         .where("pages > 1")
     )
-    refs = C.written(longest.select(F.lit(None).cast("bigint").alias("page_id"), "host", "html", F.lit(False).alias("ref"), F.lit(None).cast("array<bigint>").alias("template")), "longest")
-    bytes_ = refs.agg(F.sum(F.length("html"))).first()[0] or 0
+    refs = C.written(longest.select(F.lit(None).cast("bigint").alias("page_id"), "host", "html", F.lit(False).alias("ref"), F.lit(None).cast("array<bigint>").alias("template"), F.ceil(F.col("bytes") / part).alias("salts")), "longest")
+    bytes_ = refs.agg(F.sum(F.octet_length("html"))).first()[0] or 0
 
     def run(function, schema: str, template: DataFrame | None) -> DataFrame:
         if bytes_ + (8 * (template.agg(F.sum(F.size("keys"))).first()[0] or 0) if template is not None else 0) <= small:
@@ -339,8 +361,11 @@ def extracted(pages: DataFrame, small: int = SMALL) -> DataFrame:
             shared = spark.sparkContext.broadcast(({r.host: r.html for r in refs.collect()}, chosen))
             return rows.mapInArrow(function(shared), schema)
         with_ = refs.drop("template").join(template, "host", "left").withColumnRenamed("keys", "template") if template is not None else refs
-        salted = with_.select("page_id", "host", "html", F.lit(True).alias("ref"), "template", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        both = rows.withColumn("salt", F.pmod(F.xxhash64("html", "page_id"), F.lit(SALTS)).cast("int")).unionByName(salted)
+        salted = with_.select("page_id", "host", "html", F.lit(True).alias("ref"), "template", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"))
+        large = F.broadcast(refs.where("salts > 1").select(F.col("host").alias("large"), "salts"))
+        # a page without a host meets no other, so these are spread, too
+        spread = F.when(F.col("host").isNull(), F.xxhash64("html", "page_id")).otherwise(F.pmod(F.xxhash64("html", "page_id"), F.coalesce("salts", F.lit(1))))
+        both = rows.join(large, F.col("host") == F.col("large"), "left").withColumn("salt", spread).drop("large", "salts").unionByName(salted)
         together = both.repartition("host", "salt").sortWithinPartitions("host", "salt", F.col("ref").desc())
         return together.drop("salt").mapInArrow(function(None), schema)
 
