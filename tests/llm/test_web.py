@@ -231,16 +231,16 @@ def test_rules_equal_brute_force(spark):
     pages = spark.createDataFrame([(i if i != 7 else None, u, "x") for i, u in enumerate(urls)], "page_id bigint, url string, t string")
     marks = spark.createDataFrame(list(bad.items()) + [(None, 1), (8, 0)], "page_id bigint, bad int").withColumn("bad", F.col("bad") == 1)
     support, confidence = 0.03, 0.5
-    rules = U.mined(pages, marks, support, confidence, 3)
+    rules = U.mined(pages, marks, support, confidence)
     tokens = {i: x.t for i, x in enumerate(pages.select(U.tokens(F.col("url")).alias("t")).collect())}
     known = [(tokens[i], b) for i, b in bad.items() if urls[i] is not None and i != 7]
     n, w = Counter(), Counter()
     for t, b in known:
-        for k in (1, 2, 3):
+        for k in range(1, len(t) + 1):
             for c in combinations(t, k):
                 n[c] += 1
                 w[c] += b
-    every = {c: (w[c] / n[c], w[c] / len(known)) for c in n if w[c] >= max(1, -(-support * len(known) // 1)) and w[c] / n[c] >= confidence}
+    every = {c: (w[c] / n[c], w[c] / len(known)) for c in n if w[c] >= max(U.FEWEST, -(-support * len(known) // 1)) and w[c] / n[c] >= confidence}
     want = {c: v for c, v in every.items() if not any(set(d) < set(c) and every[d][0] >= v[0] for d in every)}
     got = {tuple(x["items"]): (x.confidence, x.support) for x in rules.collect()}
     assert want and set(got) == set(want) and all(got[c] == pytest.approx(want[c]) for c in got)
@@ -265,7 +265,7 @@ def test_long_rules_equal_brute_force(spark):
         for c in (c for k in range(1, len(t) + 1) for c in combinations(t, k)):
             n[c] += 1
             w[c] += b
-    every = {c: (w[c] / n[c], w[c] / len(urls)) for c in n if w[c] >= 0.02 * len(urls) and w[c] / n[c] >= 0.5}
+    every = {c: (w[c] / n[c], w[c] / len(urls)) for c in n if w[c] >= max(U.FEWEST, 0.02 * len(urls)) and w[c] / n[c] >= 0.5}
     want = {c: v for c, v in every.items() if not any(set(d) < set(c) and every[d][0] >= v[0] for d in every)}
     rules = U.mined(pages, marks, 0.02, 0.5).collect()
     got = {tuple(x["items"]): (x.confidence, x.support) for x in rules}
@@ -273,6 +273,33 @@ def test_long_rules_equal_brute_force(spark):
     assert ("path:a", "path:b", "path:c", "path:d") in want
 
 
+def test_long_urls_do_not_make_all_token_sets(spark):
+    """20 labelled URLs with 40 query keys each, on bad and good pages alike: the keys are one token to the mining."""
+    import time
+
+    r = random.Random(3)
+    query = lambda: "&".join(f"k{i}={r.randint(0, 10**6)}" for i in range(40))
+    urls = [f"http://{'ads' if i % 2 else 'news'}.example/{'x' if i % 5 else 'y'}?{query()}" for i in range(20)] + [f"http://news.example/{i}" for i in range(20)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    marks = spark.createDataFrame([(i, int(i < 20 and (i % 2 == 1) ^ (i % 7 == 0))) for i in range(40)], "page_id bigint, bad int").withColumn("bad", F.col("bad") == 1)
+    began = time.time()
+    got = {tuple(x["items"]): (x.confidence, x.support) for x in U.mined(pages, marks).collect()}
+    assert time.time() - began < 60
+    kept = [[t for t in x.t if not re.match(r"pair:|key:k[1-9]", t)] for x in pages.select(U.tokens(F.col("url")).alias("t")).collect()]
+    bad = {x.page_id: x.bad for x in marks.collect()}
+    n, w = Counter(), Counter()
+    for i, t in enumerate(kept):
+        for c in (c for k in range(1, len(t) + 1) for c in combinations(t, k)):
+            n[c] += 1
+            w[c] += bad[i]
+    every = {c: (w[c] / n[c], w[c] / 40) for c in n if w[c] >= U.FEWEST and w[c] / n[c] >= U.CONFIDENCE}
+    want = {c: v for c, v in every.items() if not any(set(d) < set(c) and every[d][0] >= v[0] for d in every)}
+    plain = {c: v for c, v in got.items() if not any(re.match(r"key:k[1-9]", t) for t in c)}
+    assert want and set(plain) == set(want) and all(plain[c] == pytest.approx(want[c]) for c in plain)
+    with_key = [c for c in want if "key:k0" in c]
+    assert with_key and len(got) == len(want) + 39 * len(with_key)
+
+
 def test_rules_without_labels_or_pages(spark):
     pages = spark.createDataFrame([(1, "http://a.example/x"), (None, None)], "page_id bigint, url string")
     none = spark.createDataFrame([], "page_id bigint, bad boolean")
