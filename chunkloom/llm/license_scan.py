@@ -1,29 +1,37 @@
 """Operator 3: licence scans by Dice coefficient over word bigrams.
 
-Each line, each paragraph (lines between blank lines) and the whole of a text is a segment.
-Its words (lower case, runs of letters and digits) give a set A of bigrams, a template's words
-a set B, and the segment carries the licence if 2|A & B| / (|A| + |B|) >= ``LEAST``.
+Each line, each paragraph (lines between blank lines), the whole of a text, and each of its windows is a
+segment. A window has as many words as the template it is compared with (fewer at the text's end) and begins with a
+bigram of it, so a licence in several paragraphs, after code or within a line of prose is
+one segment wherever it stands. A segment's words (lower case, runs of letters and digits) give a set A of
+bigrams, a template's words a set B, and the segment carries the licence if 2|A & B| / (|A| + |B|) >= ``LEAST``.
 
 Two exact bounds leave few comparisons. Size: |A| must lie between |B| t / (2 - t) and
 |B| (2 - t) / t. Overlap: at least t / (2 - t) of B must be in A, so A holds one of any
 |B| - ceil(|B| t / (2 - t)) + 1 bigrams of B; those whose words are least common are looked
-up among all bigrams of the texts at once, and only segments with one of them are compared.
+up among all bigrams of the texts at once, and only segments with one of them, of texts that hold
+enough of B at all, are compared. The windows of a text are counted all at once, by running sums.
 
-Templates ship with the operator (a few dozen short texts); everything happens in one scan,
+Templates ship with the operator: notices and short licences below, and in the folder ``licences`` the
+full texts of Apache-2.0, GPL-2.0 and -3.0, LGPL-2.1 and -3.0, MPL-2.0 and CC0-1.0. There is no full
+text of AGPL-3.0 and of the Creative Commons licences besides CC0; they are known by their notices. Everything happens in one scan,
 without a shuffle.
 
 Defined results: null, empty and one-word texts carry no licence; a licence that repeats in a
-document has one row, with its best coefficient; repeated rows give repeated results; ties
+document has one row, with its best coefficient; very long texts are read whole; repeated rows give repeated results; ties
 between templates of a licence are one row; an empty table gives an empty result; further
 columns are ignored; a null doc_id stays null.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +121,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
 ]
+TEMPLATES += [(p.stem, p.read_text("utf-8")) for p in sorted((Path(__file__).parent / "licences").glob("*.txt"))]
 _COMMON = frozenset("a an and any are as at be by can for from if in is it may no not of on or shall that the this to under with without you".split())
 
 
@@ -126,17 +135,20 @@ def least_overlap(b: int, least: float = LEAST) -> int:
 
 
 @lru_cache(4)
-def _prepared(least: float) -> tuple[list[tuple[str, np.ndarray]], np.ndarray, dict[int, list[int]]]:
-    """(licence and bigrams of each template, sorted bigrams to look up, templates of each of these)."""
+def _prepared(least: float) -> tuple[list[tuple[str, np.ndarray, int]], np.ndarray, dict[int, list[int]]]:
+    """(licence, bigrams and number of bigrams with repeats of each template, sorted bigrams to look up, templates of each of these)."""
     sets, lookup = [], {}
     for k, (name, text) in enumerate(TEMPLATES):
         words = re.findall(r"[a-z0-9]+", text.lower())
         pairs = _pairs(C.word_hashes(pa.array([text]))[1])
-        rare = {int(p): min(sum(w in _COMMON for w in words[i : i + 2]) * 100 - len(words[i]) - len(words[i + 1]) for i in range(len(words) - 1) if pairs[i] == p) for p in pairs}
+        rare: dict[int, int] = {}
+        for i, p in enumerate(pairs.tolist()):
+            r = sum(w in _COMMON for w in words[i : i + 2]) * 100 - len(words[i]) - len(words[i + 1])
+            rare[p] = min(r, rare.get(p, r))
         b = np.unique(pairs)
         for p in sorted(rare, key=lambda p: (rare[p], p))[: len(b) - least_overlap(len(b), least) + 1]:
             lookup.setdefault(p, []).append(k)
-        sets.append((name, b))
+        sets.append((name, b, len(pairs)))
     return sets, np.array(sorted(lookup), np.uint64), lookup
 
 
@@ -150,47 +162,89 @@ def licences(text: pa.Array, least: float = LEAST) -> list[tuple[int, str, float
     at = np.searchsorted(sought, pairs)
     at[at == len(sought)] = 0
     hits = np.flatnonzero((sought[at] == pairs) & (rows[1:] == rows[:-1]))
-    best: dict[tuple[int, str], float] = {}
-    seen: dict[tuple[int, int], np.ndarray] = {}
+    found: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
     for k in hits.tolist():
-        row = int(rows[k])
-        begin, end = int(off[row]), int(off[row + 1])
-        for a, b in _segments(raw, begin, end, int(first[k])):
-            i, j = np.searchsorted(first, [a, b])
-            if j - 1 <= k:
-                continue  # the pair goes over the segment's end
-            if (i, j) not in seen:
-                seen[i, j] = np.unique(pairs[i : j - 1])
-            mine = seen[i, j]
-            for t in lookup[int(pairs[k])]:
-                name, b_ = sets[t]
-                low, high = least_overlap(len(b_), least), math.floor(len(b_) * (2 - least) / least + 1e-9)
-                if low <= len(mine) <= high:
-                    dice = 2.0 * len(np.intersect1d(mine, b_, assume_unique=True)) / (len(mine) + len(b_))
-                    if dice >= least and dice > best.get((row, name), 0.0):
-                        best[row, name] = dice
-    return [(row, name, dice) for (row, name), dice in best.items()]
+        for t in lookup[int(pairs[k])]:
+            found[int(rows[k])][t].append(k)
+    out = []
+    for row, of in found.items():
+        best: dict[str, float] = {}
+        i, j = np.searchsorted(rows, [row, row + 1]).tolist()
+        mine = pairs[i : j - 1]
+        segments = _Segments(raw[int(off[row]) : int(off[row + 1])].tobytes(), first[i:j] - int(off[row]))
+        before = _previous(mine)
+        sizes: dict[tuple[int, int], int] = {}
+        for t, places in of.items():
+            name, b_, n = sets[t]
+            low, high = least_overlap(len(b_), least), math.floor(len(b_) * (2 - least) / least + 1e-9)
+            where = np.searchsorted(b_, mine)
+            where[where == len(b_)] = 0
+            shared = b_[where] == mine
+            if np.count_nonzero(shared & (before < 0)) < low:
+                continue
+            top = _windows(shared, before, n, len(b_))
+            for a, e in {x for k in places for x in segments.around(k - i)}:
+                if low <= e - a - 1:
+                    if (a, e) not in sizes:
+                        sizes[a, e] = len(np.unique(mine[a : e - 1]))
+                    size = sizes[a, e]
+                    if low <= size <= high:
+                        top = max(top, 2.0 * len(np.unique(mine[a : e - 1][shared[a : e - 1]])) / (size + len(b_)))
+            if top >= least and top > best.get(name, 0.0):
+                best[name] = top
+        out += [(row, name, dice) for name, dice in best.items()]
+    return out
+
+
+def _previous(pairs: np.ndarray) -> np.ndarray:
+    """Where each bigram was last before; -1 where it is the first."""
+    order = np.argsort(pairs, kind="stable")
+    out = np.full(len(pairs), -1, np.int64)
+    same = np.flatnonzero(pairs[order[1:]] == pairs[order[:-1]])
+    out[order[same + 1]] = order[same]
+    return out
+
+
+def _windows(shared: np.ndarray, before: np.ndarray, n: int, size: int) -> float:
+    """Greatest coefficient of the windows of ``n`` bigrams that begin with a bigram of the template.
+
+    A window has a bigram for the first time where it was last before the window's begin, so each
+    place counts for a range of windows, and sums over the ends of these ranges give all counts.
+    """
+    length = len(shared)
+
+    def different(at: np.ndarray) -> np.ndarray:
+        begin = np.maximum(before[at] + 1, np.maximum(at - n + 1, 0))
+        return np.cumsum(np.bincount(begin, minlength=length + 1) - np.bincount(at + 1, minlength=length + 1))[:length]
+
+    dice = 2.0 * different(np.flatnonzero(shared)) / (different(np.arange(length)) + size)
+    return float(dice[shared].max())
 
 
 _BLANK = re.compile(rb"\n[ \t\r]*\n")
 
 
-def _segments(raw: np.ndarray, begin: int, end: int, at: int) -> list[tuple[int, int]]:
-    """Line, paragraph and text around the byte ``at``, as byte ranges."""
-    data = memoryview(raw)[begin:end].tobytes()
-    at -= begin
-    line = (data.rfind(b"\n", 0, at) + 1, data.find(b"\n", at) % (len(data) + 1))
-    start = 0
-    stop = len(data)
-    p = at
-    while (p := data.rfind(b"\n", 0, p)) >= 0:  # the last blank line before
-        m = _BLANK.match(data, p)
-        if m and m.end() <= at:
-            start = m.end()
-            break
-    if m := _BLANK.search(data, at):
-        stop = m.start()
-    return [(begin + a, begin + b) for a, b in {line, (start, stop), (0, len(data))}]
+class _Segments:
+    """Words of the line, the paragraph and the text around a bigram; a bigram over a segment's end is not in it."""
+
+    def __init__(self, data: bytes, first: np.ndarray) -> None:
+        self.first, self.n = first, len(first)
+        self.lines = np.flatnonzero(np.frombuffer(data, np.uint8) == 10).tolist()
+        self.starts, self.ends = [0], []
+        for m in _BLANK.finditer(data):
+            self.ends.append(m.start())
+            self.starts.append(m.end())
+        self.ends.append(len(data))
+
+    def around(self, k: int) -> list[tuple[int, int]]:
+        a, b = int(self.first[k]), int(self.first[k + 1])
+        out = [(0, self.n)]
+        i = bisect.bisect_left(self.lines, a)
+        p = bisect.bisect_right(self.starts, a) - 1
+        for begin, end in ((self.lines[i - 1] + 1 if i else 0, self.lines[i] if i < len(self.lines) else math.inf), (self.starts[p], self.ends[p])):
+            if b < end:
+                out.append((int(np.searchsorted(self.first, begin)), self.n if end == math.inf else int(np.searchsorted(self.first, end))))
+        return out
 
 
 def _find(least: float):
@@ -219,20 +273,33 @@ def _literal(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+_LOW = f"len(t.b) * {LEAST} / (2 - {LEAST}) - 1e-9"
 SQL = f"""
 WITH template(license, body) AS (VALUES {", ".join(f"({_literal(n)}, {_literal(t)})" for n, t in TEMPLATES)}),
 segment AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents
   UNION ALL SELECT doc_id, unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')) FROM documents
   UNION ALL SELECT doc_id, text FROM documents),
-word AS (
-  SELECT doc_id, NULL AS license, regexp_extract_all(lower(s), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM segment WHERE s IS NOT NULL
-  UNION ALL SELECT NULL, license, regexp_extract_all(lower(body), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') FROM template),
-bigram AS (
-  SELECT doc_id, license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM word WHERE len(w) > 1)
-SELECT a.doc_id, t.license, max(2.0::DOUBLE * len(list_intersect(a.b, t.b)) / (len(a.b) + len(t.b))) AS dice
-FROM bigram a JOIN bigram t ON a.license IS NULL AND t.license IS NOT NULL
-  AND len(a.b) BETWEEN len(t.b) * {LEAST} / (2 - {LEAST}) - 1e-9 AND len(t.b) * (2 - {LEAST}) / {LEAST} + 1e-9
-WHERE 2.0::DOUBLE * len(list_intersect(a.b, t.b)) / (len(a.b) + len(t.b)) >= {LEAST}
-GROUP BY a.doc_id, t.license
+word AS (SELECT doc_id, regexp_extract_all(lower(s), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM segment WHERE s IS NOT NULL),
+bigram AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM word WHERE len(w) > 1),
+known AS (
+  SELECT license, row_number() OVER () AS t_id, len(w) - 1 AS n, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b
+  FROM (SELECT license, regexp_extract_all(lower(body), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM template)),
+whole AS (
+  SELECT a.doc_id, t.license, 2.0::DOUBLE * len(list_intersect(a.b, t.b)) / (len(a.b) + len(t.b)) AS dice
+  FROM bigram a JOIN known t ON len(a.b) BETWEEN {_LOW} AND len(t.b) * (2 - {LEAST}) / {LEAST} + 1e-9),
+spot AS (
+  SELECT doc_id, unnest(range(1, len(w))) AS pos, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
+  FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) > 1),
+hit AS (SELECT s.doc_id, t.t_id, s.pos, s.g FROM spot s JOIN (SELECT t_id, unnest(b) AS g FROM known) t ON s.g = t.g),
+likely AS (SELECT doc_id, h.t_id FROM hit h JOIN known t ON h.t_id = t.t_id GROUP BY doc_id, h.t_id, t.b HAVING count(DISTINCT g) >= {_LOW}),
+few AS (SELECT h.* FROM hit h JOIN likely l ON h.doc_id = l.doc_id AND h.t_id = l.t_id),
+common AS (
+  SELECT a.doc_id, a.t_id, a.pos, count(DISTINCT b.g) AS both_ FROM (SELECT DISTINCT doc_id, t_id, pos FROM few) a JOIN known t ON a.t_id = t.t_id
+  JOIN few b ON a.doc_id = b.doc_id AND a.t_id = b.t_id AND b.pos BETWEEN a.pos AND a.pos + t.n - 1
+  GROUP BY a.doc_id, a.t_id, a.pos, t.b HAVING count(DISTINCT b.g) >= {_LOW}),
+window_ AS (
+  SELECT c.doc_id, t.license, 2.0::DOUBLE * c.both_ / (count(DISTINCT s.g) + len(t.b)) AS dice FROM common c JOIN known t ON c.t_id = t.t_id
+  JOIN spot s ON c.doc_id = s.doc_id AND s.pos BETWEEN c.pos AND c.pos + t.n - 1 GROUP BY c.doc_id, c.t_id, c.pos, c.both_, t.license, t.b)
+SELECT doc_id, license, max(dice) AS dice FROM (SELECT * FROM whole UNION ALL SELECT * FROM window_) WHERE dice >= {LEAST} GROUP BY doc_id, license
 """
