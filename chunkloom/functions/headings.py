@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,36 +38,48 @@ def slug_base(c: Column) -> Column:
     return F.replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{M}\p{N}\p{Pc}\- ]", ""), F.lit(" "), F.lit("-"))
 
 
-def _slugs(headings: list[tuple[str, str]]) -> dict[str, str]:
-    """Slugs of one document's (cleaned heading, base) in first-seen order."""
-    seen: dict[str, int] = {}
-    out: dict[str, str] = {}
-    for text, base in headings:
-        if text in out:
-            continue
-        slug, n = base, seen.get(base, 0)
-        while slug in seen:
-            n += 1
-            slug = f"{base}-{n}"
-        seen[base] = n
-        seen[slug] = 0 if slug not in seen else seen[slug]
-        out[text] = slug
-    return out
-
-
-def unique_slugs(cleaned: Column) -> Column:
-    """Map from each of a document's cleaned headings (an array in order) to its slug.
+class Slugs:
+    """Slugs of one document's cleaned headings, in the order in which they are asked for.
 
     Equal headings share a slug; other headings with an equal base get -1, -2 and so on, past any
     slug that is already taken.
     """
-    pairs = F.transform(F.array_distinct(cleaned), lambda h: F.struct(h.alias("h"), slug_base(h).alias("b")))
 
-    @F.pandas_udf("map<string,string>")
-    def assign(s: pd.Series) -> pd.Series:
-        return s.map(lambda row: _slugs([(p["h"], p["b"]) for p in row]) if row is not None else None)
+    def __init__(self) -> None:
+        self.seen: dict[str, int] = {}
+        self.of: dict[str, str] = {}
+
+    def slug(self, heading: str, base: str) -> str:
+        if heading not in self.of:
+            slug, n = base, self.seen.get(base, 0)
+            while slug in self.seen:
+                n += 1
+                slug = f"{base}-{n}"
+            self.seen[base] = n
+            self.seen.setdefault(slug, 0)
+            self.of[heading] = slug
+        return self.of[heading]
+
+
+def running_slugs(place: Column, headings: Column) -> Column:
+    """Slugs of each row's cleaned headings; a document begins where ``place`` is 1.
+
+    Rows must come document by document in order, as a window leaves them; what is known of a
+    document is kept from row to row.
+    """
 
-    return assign(pairs)
+    @F.pandas_udf("array<string>")
+    def assign(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known = Slugs()
+        for places, texts, bases in batches:
+            out = []
+            for at, hs, bs in zip(places, texts, bases):
+                if at == 1:
+                    known = Slugs()
+                out.append([known.slug(h, b) for h, b in zip(hs, bs)] if hs is not None else None)
+            yield pd.Series(out, index=places.index, dtype=object)
+
+    return assign.asNondeterministic()(place, headings, F.transform(headings, slug_base))
 
 
 def sniffed_types(c: Column) -> Column:

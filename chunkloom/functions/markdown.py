@@ -8,7 +8,9 @@ Plain Python, used inside Arrow batches only.
 from __future__ import annotations
 
 import html
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 PARENTS = frozenset("root paragraph heading blockquote list listItem table tableRow tableCell emphasis strong delete link linkReference footnoteDefinition".split())
@@ -74,14 +76,20 @@ def _dedent(line: Line, n: int) -> Line:
 
 
 class Reader:
+    """Reads blocks; what containers hold is put aside and read in turn, so nesting needs no recursion."""
+
     def __init__(self) -> None:
-        self.definitions: dict[str, str] = {}
+        self.definitions: dict[str, tuple[int, int]] = {}  # label: place; where it leads is not read
         self.inline_todo: list[tuple[Node, str]] = []
+        self.block_todo: list[tuple[Node, list[Line]]] = []
 
     def read(self, text: str) -> Node:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
         root = Node("root")
-        root.children = self.blocks([(s, i + 1, 1) for i, s in enumerate(text.split("\n"))])
+        self.block_todo.append((root, [(s, i + 1, 1) for i, s in enumerate(text.split("\n"))]))
+        while self.block_todo:
+            node, lines = self.block_todo.pop()
+            node.children = self.blocks(lines)
         for node, s in self.inline_todo:
             node.children = Inline(s, self.definitions).read()
         return root
@@ -130,7 +138,7 @@ class Reader:
         if m := _FOOTNOTE.match(s):
             return self._footnote(lines, i, m, out)
         if m := _DEFINITION.match(s):
-            self.definitions.setdefault(_label(m[1]), m[2].strip("<>"))
+            self.definitions[_label(m[1])] = lines[i][1:]
             out.append(self._node("definition", lines, i, i))
             return i + 1
         return self._paragraph(lines, i, out)
@@ -231,7 +239,7 @@ class Reader:
                 break
             j += 1
         node = self._node("blockquote", lines, i, j - 1)
-        node.children = self.blocks(inner)
+        self.block_todo.append((node, inner))
         out.append(node)
         return j
 
@@ -276,7 +284,7 @@ class Reader:
             if task := re.match(r"\[([ xX])\][ \t]+(?=\S)", inner[0][0]):
                 item.checked = task[1] != " "
                 inner[0] = (inner[0][0][task.end() :], inner[0][1], inner[0][2] + task.end())
-            item.children = self.blocks(inner)
+            self.block_todo.append((item, inner))
             item.start = (number, col + len(m[1]))
             last = next((x for x in reversed(inner) if x[0].strip()), inner[0])
             item.end = (last[1], last[2] + len(last[0].rstrip(" \t")))
@@ -331,27 +339,24 @@ class Reader:
                 break
             j += 1
         node = self._node("footnoteDefinition", lines, i, j - 1)
-        node.children = self.blocks(inner)
+        self.block_todo.append((node, inner))
         out.append(node)
         return j
 
 
+_CELL = re.compile(r"(?:[^|\\]|\\.|\\\Z)*", re.S)
+
+
 def _cells(s: str) -> list[str]:
     s = s.strip(" \t")
     s = s[1:] if s.startswith("|") else s
-    cells, cur, i = [], "", 0
+    cells, i = [], 0
     while i < len(s):
-        if s[i] == "\\" and i + 1 < len(s):
-            cur += "|" if s[i + 1] == "|" else s[i : i + 2]
-            i += 2
-        elif s[i] == "|":
-            cells.append(cur.strip(" \t"))
-            cur, i = "", i + 1
-        else:
-            cur, i = cur + s[i], i + 1
-    if cur.strip(" \t") or not cells:
-        cells.append(cur.strip(" \t"))
-    return cells
+        m = _CELL.match(s, i)
+        i = m.end() + 1
+        if m.end() < len(s) or m[0].strip(" \t"):
+            cells.append(m[0].replace("\\|", "|").strip(" \t"))
+    return cells or [""]
 
 
 def _label(s: str) -> str:
@@ -368,8 +373,14 @@ _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,
 _DEST = re.compile(r"\(\s*(?:<([^<>\n]*)>|((?:[^\s()\\]|\\.|\((?:[^\s()\\]|\\.)*\))*))(?:\s+(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?\s*\)", re.S)
 
 
+_NOTE, _REFERENCE = re.compile(r"\[\^([^\]\s]+)\]"), re.compile(r"\[((?:[^\[\]\\]|\\.){0,999})\]")
+#: Where anything but plain text may begin: a mark, or a link without marks behind a character that may stand before one.
+_STOP = re.compile(r"[\\`<&*_~!\[\]\n]|(?<![\w/@.+-])(?=https?://|www\.)")
+_STOP_MAIL = re.compile(r"[\\`<&*_~!\[\]\n]|(?<![\w/@.+-])(?=https?://|www\.|[\w.+-]+@)")
+
+
 class Inline:
-    def __init__(self, s: str, definitions: dict[str, str]) -> None:
+    def __init__(self, s: str, definitions: dict[str, tuple[int, int]]) -> None:
         self.s, self.definitions = s, definitions
 
     def read(self) -> list[Node]:
@@ -379,19 +390,27 @@ class Inline:
         s = self.s
         out: list = []  # nodes, and open delimiter runs as lists [char, count, can open, can close, original]
         brackets: list[tuple[int, int, bool]] = []  # place in out, place in s, image
-        text = ""
+        text: list[str] = []
+        no_code: set[int] = set()  # lengths of runs of back-ticks that nothing closes any more
+        stop_at = _STOP_MAIL if "@" in s else _STOP
 
         def flush() -> None:
-            nonlocal text
             if text:
-                out.append(Node("text", text))
-                text = ""
+                out.append(Node("text", "".join(text)))
+                text.clear()
+
+        def strip() -> None:
+            while text:
+                text[-1] = text[-1].rstrip(" ")
+                if text[-1]:
+                    return
+                text.pop()
 
         while i < end:
             c = s[i]
             if c == "\\" and i + 1 < end:
                 if s[i + 1] == "\n":
-                    text = text.rstrip(" ")
+                    strip()
                     flush()
                     out.append(Node("break"))
                     i += 2
@@ -399,13 +418,14 @@ class Inline:
                         i += 1
                     continue
                 if s[i + 1] in _PUNCT:
-                    text, i = text + s[i + 1], i + 2
+                    text.append(s[i + 1])
+                    i += 2
                     continue
             elif c == "`":
                 n = 1
                 while i + n < end and s[i + n] == "`":
                     n += 1
-                m = re.compile(rf"(?<!`){'`' * n}(?!`)").search(s, i + n, end)
+                m = None if n in no_code else re.compile(rf"(?<!`)`{{{n}}}(?!`)").search(s, i + n, end)
                 if m:
                     flush()
                     v = s[i + n : m.start()].replace("\n", " ")
@@ -414,7 +434,9 @@ class Inline:
                     out.append(Node("inlineCode", v))
                     i = m.end()
                 else:
-                    text, i = text + s[i : i + n], i + n
+                    no_code.add(n)
+                    text.append(s[i : i + n])
+                    i += n
                 continue
             elif c == "<":
                 if m := _AUTO.match(s, i, end):
@@ -431,7 +453,8 @@ class Inline:
                     continue
             elif c == "&" and (m := _ENTITY.match(s, i, end)):
                 v = html.unescape(m[0])
-                text, i = text + v, m.end()
+                text.append(v)
+                i = m.end()
                 continue
             elif c in "*_~":
                 n = 1
@@ -455,7 +478,7 @@ class Inline:
                 i += 2
                 continue
             elif c == "[":
-                if m := re.compile(r"\[\^([^\]\s]+)\]").match(s, i, end):
+                if m := _NOTE.match(s, i, end):
                     flush()
                     out.append(Node("footnoteReference"))
                     i = m.end()
@@ -468,13 +491,13 @@ class Inline:
             elif c == "]" and brackets:
                 flush()
                 at, begin, image = brackets.pop()
-                label, stop, kind = s[begin:i], i + 1, None
+                label, stop, kind = s[begin:i] if i - begin < 1000 else "", i + 1, None
                 if m := _DEST.match(s, i + 1, end):
                     stop, kind = m.end(), "image" if image else "link"
-                elif m := re.compile(r"\[((?:[^\[\]\\]|\\.)*)\]").match(s, i + 1, end):
-                    if _label(m[1] or label) in self.definitions:
+                elif m := _REFERENCE.match(s, i + 1, end):
+                    if self.definitions and _label(m[1] or label) in self.definitions:
                         stop, kind = m.end(), "imageReference" if image else "linkReference"
-                elif _label(label) in self.definitions:
+                elif self.definitions and _label(label) in self.definitions:
                     kind = "imageReference" if image else "linkReference"
                 if kind:
                     inner = _delimiters(out[at + 1 :])
@@ -486,39 +509,37 @@ class Inline:
                     out.append(node)
                     i = stop
                     continue
-                text += "]"
+                text.append("]")
                 i += 1
                 continue
             elif c == "\n":
-                if text.endswith("  "):
-                    text = text.rstrip(" ")
+                if text and (text[-1].endswith("  ") or text[-1] == " " and len(text) > 1 and text[-2].endswith(" ")):
+                    strip()
                     flush()
                     out.append(Node("break"))
                 else:
-                    text = text.rstrip(" ") + "\n"
+                    strip()
+                    text.append("\n")
                 i += 1
                 while i < end and s[i] in " \t":
                     i += 1
                 continue
-            elif (c in "hw" or c.isalnum()) and not (text and (text[-1].isalnum() or text[-1] in "/@._+-")) and (m := _BARE.match(s, i, end)) and (c in "hw" or "@" in m[0]):
+            elif (c in "hw" or c.isalnum()) and not (text and (text[-1][-1].isalnum() or text[-1][-1] in "/@._+-")) and (m := _BARE.match(s, i, end)) and (c in "hw" or "@" in m[0]):
                 flush()
                 link = Node("link")
                 link.children = [Node("text", m[0])]
                 out.append(link)
                 i = m.end()
                 continue
-            text, i = text + c, i + 1
+            m = stop_at.search(s, i + 1, end)
+            j = m.start() if m else end
+            text.append(s[i:j])
+            i = j
         flush()
         return _delimiters(out)
 
     def _merge(self, nodes: list[Node]) -> list[Node]:
-        out: list[Node] = []
-        for n in nodes:
-            if n.type == "text" and out and out[-1].type == "text":
-                out[-1].value += n.value
-            else:
-                out.append(n)
-        return out
+        return _plain(nodes)
 
 
 def _is_punct(c: str) -> bool:
@@ -526,56 +547,62 @@ def _is_punct(c: str) -> bool:
 
 
 def _delimiters(items: list) -> list[Node]:
-    """Pairs delimiter runs; what is left of them becomes text."""
-    items = list(items)
-    i = 0
-    while i < len(items):
-        d = items[i]
-        if not isinstance(d, list) or not d[3] or not d[1]:
-            i += 1
-            continue
-        for k in range(i - 1, -1, -1):
-            o = items[k]
-            if not isinstance(o, list) or o[0] != d[0] or not o[2] or not o[1]:
-                continue
-            if d[0] == "~":
-                if o[1] != d[1]:
-                    continue
-                use = o[1]
-            else:
-                if (o[3] or d[2]) and (o[4] + d[4]) % 3 == 0 and (o[4] % 3 or d[4] % 3):
-                    continue
-                use = 2 if o[1] > 1 and d[1] > 1 else 1
+    """Pairs delimiter runs; what is left of them becomes text.
+
+    Where a run finds no partner, later runs of its kind don't look further back, so the work is in
+    proportion to the text.
+    """
+    done: list = []  # what is before the run at hand
+    bottom: dict[tuple, int] = {}
+    for d in items:
+        while isinstance(d, list) and d[3] and d[1]:
+            kind = (d[0], d[2], d[4] % 3) if d[0] != "~" else ("~", d[1])
+            k = next((k for k in range(len(done) - 1, bottom.get(kind, 0) - 1, -1) if _pair(done[k], d)), -1)
+            if k < 0:
+                bottom[kind] = len(done)
+                break
+            o = done[k]
+            use = o[1] if d[0] == "~" else 2 if o[1] > 1 and d[1] > 1 else 1
             node = Node("delete" if d[0] == "~" else "strong" if use == 2 else "emphasis")
-            node.children = _plain(items[k + 1 : i])
+            node.children = _plain(done[k + 1 :])
             o[1] -= use
             d[1] -= use
-            items[k + 1 : i] = [node]
-            i = k + 2
-            break
-        else:
-            i += 1
-            continue
-        if not d[1]:
-            i += 1
-    return _plain(items)
+            done[k + 1 :] = [node]
+            bottom = {x: min(at, k + 1) for x, at in bottom.items()}
+        done.append(d)
+    return _plain(done)
+
+
+def _pair(o, d: list) -> bool:
+    """Whether the run ``d`` may close what ``o`` opens."""
+    if not isinstance(o, list) or o[0] != d[0] or not o[2] or not o[1]:
+        return False
+    if d[0] == "~":
+        return o[1] == d[1]
+    return not ((o[3] or d[2]) and (o[4] + d[4]) % 3 == 0 and (o[4] % 3 or d[4] % 3))
 
 
 def _plain(items: list) -> list[Node]:
+    """Nodes, with runs that are left as text, and neighbouring texts as one."""
     out: list[Node] = []
+    texts: list[str] = []
+
+    def flush() -> None:
+        if texts:
+            out.append(Node("text", "".join(texts)))
+            texts.clear()
+
     for x in items:
         if isinstance(x, list):
             if x[1]:
-                out.append(Node("text", x[0] * x[1]))
+                texts.append(x[0] * x[1])
+        elif x.type == "text":
+            texts.append(x.value)
         else:
+            flush()
             out.append(x)
-    merged: list[Node] = []
-    for n in out:
-        if n.type == "text" and merged and merged[-1].type == "text":
-            merged[-1] = Node("text", merged[-1].value + n.value)
-        else:
-            merged.append(n)
-    return merged
+    flush()
+    return out
 
 
 def parse(text: str | None) -> Node:
@@ -589,16 +616,25 @@ _BLOCKS = {"heading": "heading", "paragraph": "paragraph", "code": "code", "list
 
 def text_of(node: Node) -> str:
     """Own value, else the children's texts joined without a separator."""
-    return node.value if node.value else "".join(text_of(c) for c in node.children)
+    out, todo = [], [node]
+    while todo:
+        n = todo.pop()
+        if n.value:
+            out.append(n.value)
+        else:
+            todo.extend(reversed(n.children))
+    return "".join(out)
 
 
 def topmost(node: Node) -> Iterator[tuple[str, Node]]:
     """(block type, node) in order, without going into a block."""
-    for c in node.children:
+    todo = list(reversed(node.children))
+    while todo:
+        c = todo.pop()
         if c.type in _BLOCKS:
             yield _BLOCKS[c.type], c
         else:
-            yield from topmost(c)
+            todo.extend(reversed(c.children))
 
 
 def flatten(root: Node) -> list[dict]:
@@ -625,6 +661,33 @@ def walk(root: Node) -> Iterator[tuple[Node, int, int, int]]:
         n += 1
 
 
+def structure(root: Node) -> dict:
+    """Counts, depths, flags and the types of the top nodes of a document."""
+    n: Counter[str] = Counter()
+    levels: Counter[int] = Counter()
+    top: Counter[str] = Counter()
+    length = deepest = 0
+    contents = False
+    for node, _, _, level in walk(root):
+        kind = node.type
+        n[kind] += 1
+        deepest = max(deepest, level)
+        if not level:
+            top[kind] += 1
+        if kind == "heading":
+            levels[node.depth] += 1
+        elif kind == "paragraph":
+            length += text_length(node)
+        elif kind == "list" and not contents and level <= 2 and n["heading"] <= 2:
+            contents = mainly_links(node)
+    return {
+        "headings": n["heading"], **{f"h{k}": levels[k] for k in range(1, 7)}, "paragraphs": n["paragraph"],
+        "avg_paragraph_length": math.floor(length / n["paragraph"] + 0.5) if n["paragraph"] else None,
+        "code_blocks": n["code"], "lists": n["list"], "tables": n["table"], "links": n["link"], "images": n["image"], "blockquotes": n["blockquote"], "rules": n["thematicBreak"],
+        "max_depth": deepest, "has_front_matter": False, "has_toc": contents, "node_types": dict(sorted(top.items())),
+    }
+
+
 def mainly_links(node: Node) -> bool:
     """Over 0.7 links for each list item in the subtree."""
     links = items = 0

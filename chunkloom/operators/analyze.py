@@ -1,42 +1,36 @@
-"""Structure of Markdown documents, aggregated from tree rows."""
+"""Structure of Markdown documents: one Arrow pass, a row for each document, no shuffle."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..functions import markdown as M
 
-from ..functions import text as X
-from . import parse
-
-
-def structure(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Counts, depths, histograms and flags by document; one partial and one final aggregation."""
-    is_ = lambda *t: F.col("type").isin(*t)
-    level = lambda k: F.count_if(is_("heading") & (F.col("depth") == k))
-    top = nodes.where("level = 0").groupBy(key, "type").agg(F.count(F.lit(1)).alias("n"))
-    histogram = top.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("node_types"))
-    main = nodes.groupBy(key).agg(
-        F.count_if(is_("heading")).alias("headings"),
-        *(level(k).alias(f"h{k}") for k in range(1, 7)),
-        F.count_if(is_("paragraph")).alias("paragraphs"),
-        X.half_up(F.avg(F.when(is_("paragraph"), F.col("text_length")))).alias("avg_paragraph_length"),
-        F.count_if(is_("code")).alias("code_blocks"),
-        F.count_if(is_("list")).alias("lists"),
-        F.count_if(is_("table")).alias("tables"),
-        F.count_if(is_("link")).alias("links"),
-        F.count_if(is_("image")).alias("images"),
-        F.count_if(is_("blockquote")).alias("blockquotes"),
-        F.count_if(is_("thematicBreak")).alias("rules"),
-        F.max("level").alias("max_depth"),
-        F.lit(False).alias("has_front_matter"),
-        F.coalesce(F.bool_or(is_("list") & (F.col("level") <= 2) & (F.col("headings_before") <= 2) & F.col("mainly_links")), F.lit(False)).alias("has_toc"),
-    )
-    return main.join(histogram, key, "left")
+STRUCTURE = (
+    "length int, headings bigint, h1 bigint, h2 bigint, h3 bigint, h4 bigint, h5 bigint, h6 bigint, paragraphs bigint, avg_paragraph_length bigint, code_blocks bigint, lists bigint, tables bigint, "
+    "links bigint, images bigint, blockquotes bigint, rules bigint, max_depth int, has_front_matter boolean, has_toc boolean, node_types map<string,bigint>"
+)
 
 
 def analyze(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Structure of each document; those without a node have zeros."""
-    s = structure(parse.ast_rows(docs, text, key), key)
-    zero = [c for c, t in s.dtypes if t == "bigint" and c != "avg_paragraph_length" and c != key]
-    rows = docs.select(key, X.length(F.coalesce(F.col(text), F.lit(""))).alias("length")).join(s, key, "left")
-    return rows.fillna(0, [*zero, "max_depth"]).fillna(False, ["has_front_matter", "has_toc"])
+    """Counts, depths, histogram and flags of each document; those without a node have zeros, a null text is empty."""
+    schema = T.StructType([docs.schema[key], *T._parse_datatype_string(STRUCTURE).fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for t in b.column(1).to_pylist():
+                found = M.structure(M.parse(t))
+                found["length"] = len((t or "").encode("utf-16-le", "surrogatepass")) // 2
+                found["node_types"] = list(found["node_types"].items())
+                rows.append(found)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[f.name] for r in rows], f.type) for f in list(arrow)[1:])], schema=arrow)
+
+    return docs.select(key, F.col(text).cast("string").alias("text" if key != "text" else "text_")).mapInArrow(run, schema)

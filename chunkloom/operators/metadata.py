@@ -48,12 +48,9 @@ def header_depths(depths: Column, path: Column) -> Column:
 
 
 def with_slugs(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Adds header_slugs; a document's headings are numbered in the order of its chunks."""
-    ordered = F.array_sort(F.collect_list(F.struct("chunk_no", "header_path")))
-    cleaned = F.transform(F.flatten(F.transform(ordered, lambda x: x["header_path"])), H.clean)
-    of = chunks.groupBy(key).agg(cleaned.alias("_c")).select(F.col(key).alias("_k"), H.unique_slugs(F.col("_c")).alias("_slugs"))
-    rows = chunks.join(of, F.col(key).eqNullSafe(F.col("_k")), "left")
-    return rows.withColumn("header_slugs", F.transform("header_path", lambda h: F.element_at("_slugs", H.clean(h)))).drop("_k", "_slugs")
+    """Adds header_slugs; a document's headings are numbered in the order of its chunks, in one pass over them."""
+    rows = chunks.withColumn("_place", F.row_number().over(document(key)))
+    return rows.withColumn("header_slugs", H.running_slugs(F.col("_place"), F.transform("header_path", H.clean))).drop("_place")
 
 
 def attach_metadata(chunks: DataFrame, title: str = "title", source_file: Column | None = None, key: str = "doc_id") -> DataFrame:

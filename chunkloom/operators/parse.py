@@ -65,12 +65,12 @@ def parsed(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t in b.column("_text").to_pylist():
+            for t in b.column(len(own)).to_pylist():
                 point = lambda p: {"line": p[0], "column": p[1]}
                 out.append([{**{k: x[k] for k in ("type", "text", "depth", "lang", "trail", "depths")}, "position": {"start": point(x["start"]), "end": point(x["end"])}} for x in M.flatten(M.parse(t))])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(out, kind)], [*own, "blocks"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], pa.array(out, kind)], [*own, "blocks"])
 
-    return docs.select(*own, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*own, F.col(text).cast("string")).mapInArrow(run, schema)
 
 
 def split_blocks(docs: DataFrame, o: ChunkOptions = DEFAULTS, blocks: str = "blocks") -> DataFrame:

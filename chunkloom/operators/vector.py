@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,51 +31,63 @@ def search(vectors: DataFrame, query: list[float], k: int = 5, id_: str = "vec_i
     return vectors.select(id_, cosine(F.col(vector), q).alias("score")).where("score is not null").orderBy(F.desc("score"), id_).limit(k)
 
 
-def _best(k: int):
-    """Of each pair of blocks, the best ``k`` of the vectors for each query."""
+def _unit(m: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((m * m).sum(axis=1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(norm[:, None] > 0, m / norm[:, None], np.nan)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-            ids, rows = column.flatten().field(0), column.flatten().field(1)
-            m = np.asarray(rows.flatten(), np.float64).reshape(len(ids), -1)
-            norm = np.sqrt((m * m).sum(axis=1))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                return np.asarray(ids), np.where(norm[:, None] > 0, m / norm[:, None], np.nan)
 
+def _best(k: int, shared):
+    """For each query, the best ``k`` vectors of a task: vectors stream past, a few rows for each query stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
-            for i in range(b.num_rows):
-                (ids, v), (qs, q) = unit(b.column("vs").slice(i, 1)), unit(b.column("qs").slice(i, 1))
-                if v.shape[1] != q.shape[1]:
+            size = np.asarray(pc.list_value_length(b.column("v")))
+            for d, (_, q) in shared.value.items():
+                rows = pa.array(np.flatnonzero(size == d))
+                if not len(rows):
                     continue
+                v = _unit(np.asarray(b.column("v").take(rows).flatten(), np.float64).reshape(len(rows), d))
                 score = np.round(q @ v.T, DIGITS)
-                order = np.argsort(ids, kind="stable")
-                score, ids = score[:, order], ids[order]
-                best = np.argsort(-score, axis=1, kind="stable")[:, :k]  # NaN comes last
-                s = np.take_along_axis(score, best, axis=1)
-                ok = ~np.isnan(s)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qs, ok.sum(axis=1))), pa.array(ids[best][ok]), pa.array(s[ok])], ["query_id", "id", "score"])
+                ids = np.broadcast_to(np.asarray(b.column("id").take(rows)), score.shape)
+                if d in best:
+                    score, ids = np.hstack([best[d][0], score]), np.hstack([best[d][1], ids])
+                order = np.lexsort((ids, np.where(np.isnan(score), np.inf, -score)), axis=1)[:, :k]
+                best[d] = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
+        for d, (score, ids) in best.items():
+            ok = ~np.isnan(score)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(shared.value[d][0], ok.sum(axis=1))), pa.array(ids[ok]), pa.array(score[ok])], ["query_id", "id", "score"])
 
     return run
 
 
-def _blocks(rows: DataFrame, id_: str, vector: str, name: str, size: int) -> DataFrame:
-    """Blocks of about ``size`` vectors of one dimension."""
-    n = max(1, -(-rows.count() // size))
+def _sound(rows: DataFrame, id_: str, vector: str) -> DataFrame:
     sound = F.col(id_).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())
-    few = rows.where(sound).select(F.col(id_).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    return few.groupBy(F.size("v").alias("d"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias(name)).select("d", name)
+    return rows.where(sound).select(F.col(id_).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
 
 
-def search_many(vectors: DataFrame, queries: DataFrame, k: int = 5, id_: str = "vec_id", vector: str = "embedding", size: int = 2048) -> DataFrame:
+def search_many(vectors: DataFrame, queries: DataFrame, k: int = 5, id_: str = "vec_id", vector: str = "embedding", most: int = 64 << 20) -> DataFrame:
     """(query_id, id, score, rank) for a table of queries (query_id, query).
 
-    Each pair is compared, which no index avoids when exact: blocks of vectors meet blocks of
-    queries, a pair of blocks is one matrix product, and only its best ``k`` for each query go on.
+    Each pair is compared, which no index avoids when exact. The queries are broadcast, in as many parts as keep
+    each under ``most`` bytes, and the vectors stream past them without a shuffle: one scan for each part. A task
+    sends its best ``k`` for each query.
     Scores that agree to DIGITS digits are ties, ordered by id. Rows without an id or with a null
     in the vector are ignored; vectors of length zero and of another dimension match nothing.
     """
-    pairs = _blocks(vectors, id_, vector, "vs", size).join(_blocks(queries, "query_id", "query", "qs", size), "d")
-    pairs = pairs.select("vs", "qs").repartition(F.xxhash64(F.transform("vs", lambda x: x["id"]), F.transform("qs", lambda x: x["id"])))
-    few = pairs.mapInArrow(_best(k), "query_id bigint, id bigint, score double")
+    spark = vectors.sparkSession
+    q, v = _sound(queries, "query_id", "query"), _sound(vectors, id_, vector)
+    parts = -(-8 * (q.agg(F.sum(F.size("v"))).first()[0] or 0) // most) or 1
+    few = None
+    for p in range(parts):
+        by: dict[int, tuple[list, list]] = {}
+        for r in (q if parts == 1 else q.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == p)).toLocalIterator():
+            ids, rows = by.setdefault(len(r.v), ([], []))
+            ids.append(r.id)
+            rows.append(r.v)
+        shared = spark.sparkContext.broadcast({d: (np.array(ids, np.int64), _unit(np.array(rows, np.float64).reshape(len(ids), d))) for d, (ids, rows) in by.items() if d})
+        found = v.mapInArrow(_best(k, shared), "query_id bigint, id bigint, score double")
+        few = found if few is None else few.unionAll(found)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return few.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -266,11 +266,12 @@ def dedented(source: str, key: str, c: str) -> str:
 # --- guardrails
 
 _LITERALS = {0: f"'  ' || {NL} || ' '", 1: "'###  '", 2: "'-----'", 3: "'``````'", 4: "' ** _ - '", 5: f"'| |' || {NL} || '|'", 6: "'>  >'", 7: f"'## Title' || {NL} || ' ' || {NL}"}
-GUARD = (
-    f"CASE doc_id % 12 WHEN 8 THEN '# Head' || {NL} || '- item `x`' || {NL} || '> ' || substr(text, 1, 90) WHEN 9 THEN '```' || {NL} || 'code' || {NL} || '```' || {NL} || text "
+_SEED = (
+    f"CASE doc_id % 12 WHEN 8 THEN '# Head' || {NL} || '- item `x`' || {NL} || '> ' || text WHEN 9 THEN '```' || {NL} || 'code' || {NL} || '```' || {NL} || text "
     + " ".join(f"WHEN {k} THEN {v}" for k, v in _LITERALS.items())
-    + " ELSE text END"
+    + f" ELSE '```' || {NL} || text || {NL} || '```' END"
 )
+GUARD = f"(SELECT doc_id, false AS seeded, text AS t, doc_id // 3 AS part FROM documents UNION ALL SELECT doc_id, true, {_SEED}, -1 - doc_id FROM documents)"
 
 
 def guarded(o: ChunkOptions = DEFAULTS) -> str:
@@ -291,8 +292,8 @@ def guarded(o: ChunkOptions = DEFAULTS) -> str:
         "ORPHANED_CODE": f"(regexp_matches({c}, '(?s)```.*?```') OR regexp_matches({c}, '`[^`]+`')) AND {n16(trim(rest))} < 200",
     }
     codes = ", ".join(f"CASE WHEN {t} THEN '{k}' END" for k, t in tests.items())
-    a = f"(SELECT doc_id, coalesce(t, '') AS c, coalesce({tok('t')}, 0) AS tokens, count(*) OVER (PARTITION BY doc_id // 3) = 1 AS single FROM (SELECT doc_id, {GUARD} AS t FROM documents))"
-    return f"(SELECT doc_id, tokens, list_filter([{codes}], lambda x: x IS NOT NULL) AS codes FROM {a})"
+    a = f"(SELECT doc_id, coalesce(t, '') AS c, coalesce({tok('t')}, 0) AS tokens, count(*) OVER (PARTITION BY part) = 1 AS single, seeded FROM {GUARD})"
+    return f"(SELECT doc_id, seeded, tokens, list_filter([{codes}], lambda x: x IS NOT NULL) AS codes FROM {a})"
 
 
 # --- statistics
@@ -401,12 +402,17 @@ def split_at(c: str, pattern: str, flags: str = "") -> str:
 CODE = f"('x = 1' || {NL} || 'function f() {{' || {NL} || '}}' || {NL} || '  const y = ' || replace(text, {NL}, {NL} || 'let z = '))"
 
 
-def additive(c: str, most: int) -> str:
+def additive_parts(c: str, most: int) -> str:
+    """{'done': parts} of a greedy cut at words by the sum of their counts."""
     words = f"list_transform(string_split(regexp_replace({trim(c)}, '\\s+', {MARK}, 'g'), {MARK}), lambda w: {{'n': {tok1("(w || ' ')")}::BIGINT, 'cur': [w], 'parts': []::VARCHAR[]}})"
     full = f"(s['n'] + e['n'] > {most} AND len(s['cur']) > 0)"
     step = f"{{'n': CASE WHEN {full} THEN e['n'] ELSE s['n'] + e['n'] END, 'cur': CASE WHEN {full} THEN e['cur'] ELSE list_concat(s['cur'], e['cur']) END, 'parts': CASE WHEN {full} THEN list_append(s['parts'], array_to_string(s['cur'], ' ')) ELSE s['parts'] END}}"
     f = f"list_reduce({words}, lambda s, e: {step}, {{'n': 0::BIGINT, 'cur': []::VARCHAR[], 'parts': []::VARCHAR[]}})"
-    return f"(SELECT doc_id, CASE WHEN len(f['cur']) > 0 THEN list_append(f['parts'], array_to_string(f['cur'], ' ')) ELSE f['parts'] END AS p FROM (SELECT doc_id, {f} AS f FROM {DOCS}))"
+    return f"list_transform([{f}], lambda f: {{'done': CASE WHEN len(f['cur']) > 0 THEN list_append(f['parts'], array_to_string(f['cur'], ' ')) ELSE f['parts'] END}})[1]"
+
+
+def additive(c: str, most: int) -> str:
+    return f"(SELECT doc_id, {additive_parts(c, most)}['done'] AS p FROM {DOCS})"
 
 
 def old_pack(most: int) -> str:
@@ -431,7 +437,7 @@ def old_quality() -> str:
     low = rf"({n} < 100 AND NOT regexp_matches({t}, '\A#+\s+\w')) OR regexp_matches({t}, '\A({marks})\z') OR ({n} < 200 AND regexp_matches({t}, '(?s)\A(```.*```|<script.*</script>)\z'))"
     useless = r"(?s)\A(-+|=+|#+\s*|\s*[`*_-]+\s*|```.*```|\s*\|\s*\|\s*|\s*>\s*|\s*[0-9]+\.\s*|\s*[-*+]\s*)\z"
     words = rf"list_filter(string_split(regexp_replace(regexp_replace({t}, '[#*_`>\-=|]', '', 'g'), '\s+', {MARK}, 'g'), {MARK}), lambda w: w <> '')"
-    return f"SELECT doc_id, {low} AS low, {n} < 50 OR regexp_matches({t}, '{useless}') OR len({words}) < 3 AS useless, {n} <= 10 AS trivial FROM (SELECT doc_id, {GUARD} AS c FROM documents)"
+    return f"SELECT doc_id, seeded, {low} AS low, {n} < 50 OR regexp_matches({t}, '{useless}') OR len({words}) < 3 AS useless, {n} <= 10 AS trivial FROM (SELECT doc_id, seeded, t AS c FROM {GUARD})"
 
 
 def old_sentences(c: str) -> str:
@@ -457,11 +463,76 @@ def parse_blocks() -> str:
     a = (
         f"(SELECT o_orderkey AS doc_id, unnest([{{'n': 0, 'type': 'heading', 'text': {title}}}, "
         f"{{'n': 1, 'type': 'paragraph', 'text': 'Status ' || o_orderstatus || ', priority ' || o_orderpriority || '.'}}, "
-        f"{{'n': 2, 'type': 'table', 'text': 'linepartflagstatus' || cells}}]) AS x, {title} AS trail FROM orders JOIN {_ORDER_LINES} ON l_orderkey = o_orderkey)"
+        f"{{'n': 2, 'type': 'table', 'text': 'linepartflagstatus' || coalesce(cells, '')}}]) AS x, {title} AS trail FROM orders LEFT JOIN {_ORDER_LINES} ON l_orderkey = o_orderkey)"
     )
     return f"SELECT doc_id, x['n']::INT AS block_no, x['type'] AS type, x['text'] AS text, trail, '1' AS depths, {tok("x['text']")} AS tokens FROM {a}"
 
 
+def structure_counts() -> str:
+    line = "concat_ws(' | ', l_linenumber::VARCHAR, l_partkey::VARCHAR, l_returnflag, l_linestatus)"
+    rows_ = f"(SELECT l_orderkey, string_agg('| ' || {line} || ' |', {NL} ORDER BY l_linenumber, {line}) AS r FROM lineitem GROUP BY l_orderkey)"
+    text = (
+        f"'# Order ' || o_orderkey::VARCHAR || {NL} || {NL} || 'Status `' || o_orderstatus || '`, priority **' || o_orderpriority || '**.' || {NL} || {NL} || "
+        f"'| line | part | flag | status |' || {NL} || '| --- | --- | --- | --- |' || {NL} || coalesce(r, '') || {NL}"
+    )
+    return (
+        f"SELECT o_orderkey AS doc_id, {n16(text)}::INT AS length, 1 AS headings, 1 AS h1, 0 AS h2, 1 AS paragraphs, length('Status , priority .') + length(o_orderpriority) AS avg_paragraph_length, 0 AS code_blocks, 0 AS lists, 1 AS tables, "
+        f"0 AS links, 0 AS images, 0 AS blockquotes, 0 AS rules, 3 AS max_depth, false AS has_front_matter, false AS has_toc, 'heading=1|paragraph=1|table=1' AS top_types FROM orders LEFT JOIN {rows_} ON l_orderkey = o_orderkey"
+    )
+
+
+def analyze_conversations() -> str:
+    zero = ", ".join(f"0 AS {c}" for c in "h3 h4 h5 h6 code_blocks lists tables links images blockquotes rules".split())
+    return (
+        f"SELECT conv_id AS doc_id, any_value({n16('t.text')})::INT AS length, count(*) + 1 AS headings, 1 AS h1, count(*) AS h2, count(*) AS paragraphs, {half_up(f'avg({n16("c.text")})')} AS avg_paragraph_length, "
+        f"{zero}, 1 AS max_depth, false AS has_front_matter, false AS has_toc FROM conversations c JOIN {TALK_TEXT} t ON t.doc_id = c.conv_id GROUP BY conv_id"
+    )
+
+
+_RICH = f"(SELECT conv_id AS doc_id, turn, role, text, turn % 4 AS k, string_split(text, {NL}) AS l FROM conversations)"
+
+
+def parse_rich() -> str:
+    title = "'Conversation ' || doc_id::VARCHAR"
+    own = (
+        f"CASE k WHEN 0 THEN list_transform(l, lambda x: {{'type': 'list-item', 'text': x, 'lang': NULL::VARCHAR}}) WHEN 1 THEN [{{'type': 'blockquote', 'text': text, 'lang': NULL::VARCHAR}}] "
+        "WHEN 2 THEN [{'type': 'code', 'text': text, 'lang': 'py'}] ELSE [{'type': 'paragraph', 'text': 'Turn ' || turn::VARCHAR || ' of code and a link or .', 'lang': NULL::VARCHAR}] END"
+    )
+    a = f"SELECT doc_id, turn, {title} || '|' || role AS trail, list_concat([{{'type': 'heading', 'text': role, 'lang': NULL::VARCHAR}}], {own}) AS x FROM {_RICH}"
+    a = f"SELECT doc_id, turn, trail, generate_subscripts(x, 1) AS i, unnest(x) AS x FROM ({a})"
+    ends = f"SELECT doc_id, -1 AS turn, {title} AS trail, 0 AS i, {{'type': 'heading', 'text': {title}, 'lang': NULL::VARCHAR}} AS x FROM (SELECT DISTINCT doc_id FROM {_RICH})"
+    last = f"SELECT doc_id, max(turn) + 1, {title} || '|' || arg_max(role, turn), 0, {{'type': 'table', 'text': 'ab12', 'lang': NULL::VARCHAR}} FROM {_RICH} GROUP BY doc_id"
+    return f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY turn, i) - 1)::INT AS block_no, x['type'] AS type, x['text'] AS text, x['lang'] AS lang, trail, {tok("x['text']")} AS tokens FROM ({a} UNION ALL {ends} UNION ALL {last})"
+
+
+def structure_rich() -> str:
+    has = lambda *k: f"count(*) FILTER (k IN ({', '.join(map(str, k))}))"
+    paragraphs = f"(coalesce(sum(len(l)) FILTER (k = 0), 0) + {has(1, 3)})"
+    # a paragraph of a list item is a line, that of a quote has its lines; marked code is no text
+    chars = f"(coalesce(sum(list_sum(list_transform(l, lambda x: {n16('x')}))) FILTER (k = 0), 0) + coalesce(sum({n16('text')}) FILTER (k = 1), 0) + coalesce(sum(length('Turn  of  and a link or .') + length(turn::VARCHAR)) FILTER (k = 3), 0))"
+    types = f"list_filter([CASE WHEN {has(1)} > 0 THEN 'blockquote=' || {has(1)}::VARCHAR END, CASE WHEN {has(2)} > 0 THEN 'code=' || {has(2)}::VARCHAR END, 'heading=' || (count(*) + 1)::VARCHAR, CASE WHEN {has(0)} > 0 THEN 'list=' || {has(0)}::VARCHAR END, CASE WHEN {has(3)} > 0 THEN 'paragraph=' || {has(3)}::VARCHAR END, 'table=1', 'thematicBreak=1'], lambda x: x IS NOT NULL)"
+    return (
+        f"SELECT doc_id, count(*) + 1 AS headings, {paragraphs}::BIGINT AS paragraphs, CASE WHEN {paragraphs} > 0 THEN {half_up(f'{chars} / {paragraphs}::DOUBLE')} END AS avg_paragraph_length, {has(2)} AS code_blocks, {has(0)} AS lists, 1 AS tables, "
+        f"{has(3)} AS links, {has(3)} AS images, {has(1)} AS blockquotes, 1 AS rules, 3 AS max_depth, false AS has_toc, array_to_string({types}, '|') AS top_types FROM {_RICH} GROUP BY doc_id"
+    )
+
+
+def old_ladder(most: int) -> str:
+    """Paragraphs, then of what is too large sentences, then words."""
+    big = lambda c: f"greatest(1, floor(length({c}) / 3.8::DOUBLE)::INT) > {most}"
+    a = f"(SELECT doc_id, []::BIGINT[] AS o, text AS t, true AS big FROM {DOCS})"
+    paras = not_blank(f"string_split(regexp_replace({trim('t')}, '\\n{{2,}}', {MARK}, 'g'), {MARK})")
+    for parts in (paras, old_sentences("t")):
+        p = f"(SELECT *, CASE WHEN big THEN {parts} END AS p FROM {a})"
+        a = (
+            f"(SELECT doc_id, list_append(o, 0) AS o, t, big AND {big('t')} AS big FROM {p} WHERE p IS NULL OR len(p) = 1 "
+            f"UNION ALL SELECT doc_id, list_append(o, i), x, {big('x')} FROM (SELECT doc_id, o, generate_subscripts(p, 1) AS i, unnest(p) AS x FROM {p} WHERE len(p) <> 1))"
+        )
+    words = f"(SELECT doc_id, o, CASE WHEN big THEN f['done'] ELSE [t] END AS p FROM (SELECT *, CASE WHEN big THEN {additive_parts('t', most)} END AS f FROM {a}))"
+    flat = f"(SELECT doc_id, list_append(o, generate_subscripts(p, 1)) AS o, unnest(p) AS part FROM {words})"
+    return f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1)::INT AS part_no, part FROM {flat}"
+
+
 def front_matter() -> str:
     return "SELECT doc_id, 'Doc ' || doc_id::VARCHAR AS title, 'a, b' AS tags, length(text) AS body_length FROM documents"
 
@@ -524,7 +595,7 @@ SQL: dict[str, str] = {
     "breadcrumb_truncate": f"SELECT doc_id, {truncated('text')} AS crumb FROM documents",
     "char_offsets": f"WITH c AS (SELECT p.doc_id, chunk_no, content, position(content IN d.text) AS e, position(left(content, 100) IN d.text) AS near FROM {packed(SMALL)} p LEFT JOIN documents d ON p.doc_id = d.doc_id), s AS (SELECT *, CASE WHEN e > 0 THEN e - 1 WHEN near > 0 THEN near - 1 ELSE -1 END AS char_start FROM c) SELECT doc_id, chunk_no, char_start, CASE WHEN char_start >= 0 THEN char_start + length(content) ELSE -1 END AS char_end, CASE WHEN e > 0 THEN 1.0::DOUBLE WHEN near > 0 THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM s",
     "content_sha": f"SELECT doc_id, sha256(text) AS sha, sha256('{_src}) AS titled_sha FROM documents",
-    "guardrail_flags": f"SELECT doc_id, tokens, array_to_string(codes, '|') AS codes FROM {guarded()}",
+    "guardrail_flags": f"SELECT doc_id, seeded, tokens, array_to_string(codes, '|') AS codes FROM {guarded()}",
     "guardrail_counts": f"SELECT code, count(*) AS n FROM (SELECT unnest(codes) AS code FROM {guarded()}) GROUP BY code",
     "doc_stats": f"SELECT {_stats} FROM {stats(packed(SMALL), SMALL, 'documents')}",
     "token_distribution": f"SELECT doc_id, under_target, at_target, over_target FROM {stats(packed(SMALL), SMALL)}",
@@ -535,7 +606,7 @@ SQL: dict[str, str] = {
     "pattern_features": f"SELECT {_features} FROM {classified()}",
     "pattern_class": f"SELECT doc_id, section_no, {', '.join(f'score_{p}' for p in P.PATTERNS[:-1])}, pattern FROM {classified()}",
     "merge_decisions": merges(),
-    "topic_jaccard": f"WITH b AS (SELECT item_id, {_words('text')} AS w FROM benchmark) SELECT x.item_id, y.item_id AS other_id, {jaccard('x.w', 'y.w')} AS similarity FROM b x JOIN b y ON x.item_id < y.item_id",
+    "topic_jaccard": f"SELECT conv_id, turn, other_turn, {jaccard('w', 'v')} AS similarity FROM (SELECT conv_id, turn, w, lead(turn) OVER p AS other_turn, lead(w) OVER p AS v FROM (SELECT conv_id, turn, {_words('text')} AS w FROM conversations) WINDOW p AS (PARTITION BY conv_id ORDER BY turn)) WHERE other_turn IS NOT NULL",
     "legacy_heading_split": rows(TALK_TEXT, split_at("text", r"^#{1,6}\s", "(?m)"), "part_no", "part"),
     "legacy_paragraph_split": rows(TALK_TEXT, not_blank(f"string_split(regexp_replace({trim('text')}, '\\n{{2,}}', {MARK}, 'g'), {MARK})"), "part_no", "part"),
     "legacy_symbol_split": rows("documents", split_at(CODE, r"^\s*(?:def|class|function|export|const|let|var) ", "(?m)"), "part_no", "part"),
@@ -545,8 +616,13 @@ SQL: dict[str, str] = {
     "legacy_quality": old_quality(),
     "legacy_sentences": rows(DOCS, old_sentences("text"), "part_no", "part"),
     "knn_cosine": f"SELECT vec_id, {cosine('embedding', 'list_transform(range(len(embedding)), lambda i: CASE WHEN i % 2 = 1 THEN 1.0 ELSE -0.5 END)')} AS score FROM embeddings ORDER BY score DESC NULLS LAST, vec_id LIMIT 5",
-    "knn_many": f"SELECT query_id, id, rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({cosine('v.embedding', 'q.embedding')}, 12) DESC, v.vec_id) AS rank FROM embeddings v, embeddings q WHERE {cosine('v.embedding', 'q.embedding')} IS NOT NULL) WHERE rank <= 5",
+    "knn_many": f"SELECT query_id, id, rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({cosine('v.embedding', 'q.embedding')}, 12) DESC, v.vec_id) AS rank FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q WHERE {cosine('v.embedding', 'q.embedding')} IS NOT NULL) WHERE rank <= 5",
     "parse_blocks": parse_blocks(),
+    "parse_rich": parse_rich(),
+    "structure_counts": structure_counts(),
+    "structure_rich": structure_rich(),
+    "analyze_conversations": analyze_conversations(),
+    "legacy_ladder": old_ladder(400),
     "report_boxes": _boxes(),
     "report_listing": _listing(),
     "chunk_json": f"SELECT doc_id, chunk_no, '{{\"id\":' || {_json('id')} || ',\"prev_id\":' || {_json('prev_id')} || ',\"next_id\":' || {_json('next_id')} || ',\"tokens\":' || tokens::VARCHAR || '}}' AS json FROM {_linked("'doc:' || doc_id::VARCHAR")}",

@@ -212,22 +212,31 @@ def content_sha(s, d):
 
 
 def _guard_seed() -> Column:
-    k = F.col("doc_id") % 12
+    """A text with one fault each, by the document's number."""
+    k = F.pmod("doc_id", F.lit(12))
     t = F.col("text")
     lit = {0: "  \n ", 1: "###  ", 2: "-----", 3: "``````", 4: " ** _ - ", 5: "| |\n|", 6: ">  >", 7: "## Title\n \n"}
-    out = F.when(k == 8, F.concat(F.lit("# Head\n- item `x`\n> "), F.substring(t, 1, 90))).when(k == 9, F.concat(F.lit("```\ncode\n```\n"), t))
+    out = F.when(k == 8, F.concat(F.lit("# Head\n- item `x`\n> "), t)).when(k == 9, F.concat(F.lit("```\ncode\n```\n"), t))
     for i, v in lit.items():
         out = out.when(k == i, F.lit(v))
-    return out.otherwise(t)
+    return out.otherwise(F.concat(F.lit("```\n"), t, F.lit("\n```")))
+
+
+def _with_faults(s: SparkSession, d: str) -> DataFrame:
+    """Each document's whole text, and for each document a further row with a fault put in."""
+    docs = _docs(s, d)
+    part = F.floor(F.col("doc_id") / 3)
+    seeds = docs.select("doc_id", F.lit(True).alias("seeded"), _guard_seed().alias("original_text"), (-F.col("doc_id") - 1).alias("part"))
+    return docs.select("doc_id", F.lit(False).alias("seeded"), F.col("text").alias("original_text"), part.alias("part")).unionAll(seeds)
 
 
 def guarded(s, d):
-    rows = _docs(s, d).withColumn("original_text", _guard_seed()).withColumn("tokens", K.heuristic(F.col("original_text"))).withColumn("part", F.floor(F.col("doc_id") / 3))
+    rows = _with_faults(s, d).withColumn("tokens", K.heuristic(F.col("original_text")))
     return guardrails.validate(rows, DEFAULTS, key="part")
 
 
 def guardrail_flags(s, d):
-    return guarded(s, d).select("doc_id", "tokens", F.array_join(F.transform("violations", lambda v: v["code"]), "|").alias("codes"))
+    return guarded(s, d).select("doc_id", "seeded", "tokens", F.array_join(F.transform("violations", lambda v: v["code"]), "|").alias("codes"))
 
 
 def guardrail_counts(s, d):
@@ -297,10 +306,12 @@ def merge_decisions(s, d):
 
 
 def topic_jaccard(s, d):
-    b = Y.table(s, d, "benchmark").select("item_id", F.split(F.lower("text"), "[^A-Za-z0-9_]+").alias("w"))
-    b = b.select("item_id", F.array_distinct(F.filter("w", lambda x: F.length(x) > 3)).alias("w"))
-    o = b.select(F.col("item_id").alias("other_id"), F.col("w").alias("v"))
-    return b.join(o, F.col("item_id") < F.col("other_id")).select("item_id", "other_id", patterns.jaccard(F.col("w"), F.col("v")).alias("similarity"))
+    """Each turn of a conversation against the next."""
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^A-Za-z0-9_]+"), lambda x: F.length(x) > 3))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = Y.table(s, d, "conversations").select("conv_id", "turn", words.alias("w"))
+    rows = rows.withColumn("other_turn", F.lead("turn").over(w)).withColumn("v", F.lead("w").over(w)).where("other_turn is not null")
+    return rows.select("conv_id", "turn", "other_turn", patterns.jaccard(F.col("w"), F.col("v")).alias("similarity"))
 
 
 # --- older operators
@@ -336,8 +347,8 @@ def legacy_overlap(s, d):
 
 
 def legacy_quality(s, d):
-    t = _guard_seed()
-    return _docs(s, d).select("doc_id", legacy.low_quality(t).alias("low"), legacy.useless(t).alias("useless"), legacy.trivial(t).alias("trivial"))
+    t = F.col("original_text")
+    return _with_faults(s, d).select("doc_id", "seeded", legacy.low_quality(t).alias("low"), legacy.useless(t).alias("useless"), legacy.trivial(t).alias("trivial"))
 
 
 def legacy_sentences(s, d):
@@ -367,7 +378,7 @@ def _dimension(v: DataFrame) -> int:
 
 def knn_many(s, d):
     v = Y.table(s, d, "embeddings")
-    q = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))  # the stated set of queries, against all
     return vector.search_many(v, q, 5).select("query_id", "id", "rank")
 
 
@@ -380,16 +391,29 @@ def parse_blocks(s, d):
     return rows.select("doc_id", "block_no", "type", "text", _join("trail"), _join("depths"), "tokens")
 
 
+def _top_types() -> Column:
+    return F.array_join(F.transform(F.map_entries("node_types"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), "|").alias("top_types")
+
+
 def structure_counts(s, d):
     a = analyze.analyze(_orders(s, d))
-    top = F.array_join(F.transform(F.map_entries("node_types"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), "|").alias("top_types")
-    return a.select("doc_id", "length", "headings", "h1", "h2", "paragraphs", "avg_paragraph_length", "code_blocks", "lists", "tables", "links", "images", "blockquotes", "rules", "max_depth", "has_front_matter", "has_toc", top)
+    return a.select("doc_id", "length", "headings", "h1", "h2", "paragraphs", "avg_paragraph_length", "code_blocks", "lists", "tables", "links", "images", "blockquotes", "rules", "max_depth", "has_front_matter", "has_toc", _top_types())
 
 
 def analyze_conversations(s, d):
     return analyze.analyze(Y.conversation_markdown(Y.table(s, d, "conversations"))).drop("node_types")
 
 
+def parse_rich(s, d):
+    rows = parse.block_rows(parse.parsed(Y.rich_markdown(Y.table(s, d, "conversations")).select("doc_id", "text")))
+    return rows.select("doc_id", "block_no", "type", "text", "lang", _join("trail"), "tokens")
+
+
+def structure_rich(s, d):
+    a = analyze.analyze(Y.rich_markdown(Y.table(s, d, "conversations")))
+    return a.select("doc_id", "headings", "paragraphs", "avg_paragraph_length", "code_blocks", "lists", "tables", "links", "images", "blockquotes", "rules", "max_depth", "has_toc", _top_types())
+
+
 def pipeline_chunks(s, d):
     m = Y.conversation_markdown(Y.table(s, d, "conversations"))
     c = pipeline.chunks(m, SMALL)
@@ -481,7 +505,9 @@ QUERIES: dict[str, Query] = {
     "knn_cosine": knn_cosine,
     "knn_many": knn_many,
     "parse_blocks": parse_blocks,
+    "parse_rich": parse_rich,
     "structure_counts": structure_counts,
+    "structure_rich": structure_rich,
     "analyze_conversations": analyze_conversations,
     "pipeline_chunks": pipeline_chunks,
     "pipeline_documents": pipeline_documents,

@@ -19,13 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` over all cores where it has fewer files than these, as a small file is one task.
+    """``df`` over all cores where its scan has fewer tasks than these, so at most some splits for each core are moved.
 
-    Tables of many files stay as they are scanned, without a shuffle. Where there is one, it is by
-    the key that later windows and groups need, so they add none.
+    A table of more splits stays as it is scanned, without a shuffle, however few files it has. Where there is one, it
+    is by the key that later windows and groups need, so they add none.
     """
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n, key) if len(df.inputFiles()) < n else df
+    return df.repartition(n, key) if df.rdd.getNumPartitions() < n else df
 
 
 def conversation_blocks(conversations: DataFrame) -> DataFrame:
@@ -74,11 +74,29 @@ def order_markdown(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """(doc_id, title, text): an order as H1, a paragraph, and a table of its lines."""
     line = F.concat_ws(" | ", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_returnflag"), F.col("l_linestatus"))
     rows = lineitem.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("t")))), lambda x: F.concat(F.lit("| "), x["t"], F.lit(" |"))).alias("rows"))
-    body = orders.join(rows, F.col("o_orderkey") == F.col("l_orderkey"))
+    body = orders.join(rows, F.col("o_orderkey") == F.col("l_orderkey"), "left")  # an order without lines has a table without rows
     title = F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"))
-    text = F.concat(F.lit("# "), title, F.lit("\n\nStatus `"), F.col("o_orderstatus"), F.lit("`, priority **"), F.col("o_orderpriority"), F.lit("**.\n\n| line | part | flag | status |\n| --- | --- | --- | --- |\n"), F.array_join("rows", "\n"), F.lit("\n"))
+    text = F.concat(F.lit("# "), title, F.lit("\n\nStatus `"), F.col("o_orderstatus"), F.lit("`, priority **"), F.col("o_orderpriority"), F.lit("**.\n\n| line | part | flag | status |\n| --- | --- | --- | --- |\n"), F.coalesce(F.array_join("rows", "\n"), F.lit("")), F.lit("\n"))
     return body.select(F.col("o_orderkey").alias("doc_id"), title.alias("title"), text.alias("text"))
 
 
+def rich_markdown(conversations: DataFrame) -> DataFrame:
+    """(doc_id, title, text): a conversation as H1 and a rule; a turn as H2, then as a list of its lines, a quote, fenced
+    code or a paragraph with marks and a link, by the turn's number; a table in the end."""
+    lines = F.split("text", "\n")
+    kinds = [
+        F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- "), x)), "\n"),
+        F.array_join(F.transform(lines, lambda x: F.concat(F.lit("> "), x)), "\n"),
+        F.concat(F.lit("```py title\n"), F.col("text"), F.lit("\n```")),
+        F.concat(F.lit("**Turn** "), F.col("turn").cast("string"), F.lit(" of `code` and [a link](http://x.example/a) or ![an image](b.png).")),
+    ]
+    body = F.element_at(F.array(*kinds), (F.pmod("turn", F.lit(4)) + 1).cast("int"))
+    part = F.concat(F.lit("## "), F.col("role"), F.lit("\n\n"), body)
+    rows = conversations.groupBy(F.col("conv_id").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("t")))), lambda x: x["t"]).alias("parts"))
+    title = F.concat(F.lit("Conversation "), F.col("doc_id").cast("string"))
+    text = F.concat(F.lit("# "), title, F.lit("\n\n---\n\n"), F.array_join("parts", "\n\n"), F.lit("\n\n| a | b |\n|---|:-:|\n| 1 | 2 |\n"))
+    return rows.select("doc_id", title.alias("title"), text.alias("text"))
+
+
 def with_tokens(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("tokens", K.heuristic(F.col("text")))

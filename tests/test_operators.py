@@ -78,6 +78,15 @@ def test_parse_any(text):
         assert len(b["trail"]) == len(b["depths"]) and b["depths"] == sorted(set(b["depths"]))
 
 
+@pytest.mark.parametrize("text", [">" * 5000 + " x", "word " * 400_000, "*a " * 60_000, "a* " * 60_000, "[" * 30_000 + "]" * 30_000, "foo_ " * 60_000, "some words here\n" * 30_000, "".join("  " * i + "- a\n" for i in range(250)), "|" + " a |" * 60_000 + "\n" + "|-" * 60_000 + "|"])
+def test_parse_is_linear_and_deep(text):
+    import time
+
+    began = time.time()
+    blocks = M.flatten(M.parse(text))
+    assert time.time() - began < 20 and "".join(b["text"] for b in blocks).strip()
+
+
 def test_analyze(spark):
     rows = spark.createDataFrame([(1, TEXT), (2, ""), (3, None)], "doc_id bigint, text string")
     got = {r.doc_id: r for r in analyze.analyze(rows).collect()}
@@ -156,7 +165,8 @@ def test_normalize(spark):
 
 
 def test_slugs():
-    assert H._slugs([("A", "a"), ("A!", "a"), ("A-1", "a-1"), ("A?", "a"), ("A", "a")]) == {"A": "a", "A!": "a-1", "A-1": "a-1-1", "A?": "a-2"}
+    known = H.Slugs()
+    assert [known.slug(*x) for x in [("A", "a"), ("A!", "a"), ("A-1", "a-1"), ("A?", "a"), ("A", "a")]] == ["a", "a-1", "a-1-1", "a-2", "a"]
 
 
 def test_metadata_and_embedding(spark):
@@ -248,7 +258,7 @@ def test_search_many_equals_search(spark):
     v = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     q = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     got = {}
-    for x in vector.search_many(v, q, 3, size=7).collect():
+    for x in [*vector.search_many(v, q, 3).collect(), *vector.search_many(v, q, 3, most=200).collect()]:
         got.setdefault(x.query_id, {})[x["rank"]] = (x.id, round(x.score, 9))
 
     def cos(a, b):
