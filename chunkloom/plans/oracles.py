@@ -196,11 +196,11 @@ def slugs(paths: str) -> str:
     return f"SELECT doc_id, h, CASE WHEN r = 1 THEN base ELSE base || '-' || (r - 1)::VARCHAR END AS s FROM {ranked}"
 
 
-def described() -> str:
+def described(chunks: str = TALK_CHUNKS, title: str = "Talk ") -> str:
     """Chunks of the conversations with all metadata."""
     before = f"coalesce(sum({n16('content')}) OVER (PARTITION BY doc_id ORDER BY chunk_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT"
     first = f"coalesce(list_filter(list_transform(string_split(content, {NL}), lambda x: {trim('x')}), lambda x: starts_with(x, '#'))[1], '')"
-    a = f"(SELECT *, 'doc:' || doc_id::VARCHAR || '.md' AS parent_id, {before} AS char_start, sum({n16('content')}) OVER (PARTITION BY doc_id)::BIGINT AS total_chars, {first} AS own FROM {TALK_CHUNKS})"
+    a = f"(SELECT *, 'doc:' || doc_id::VARCHAR || '.md' AS parent_id, {before} AS char_start, sum({n16('content')}) OVER (PARTITION BY doc_id)::BIGINT AS total_chars, {first} AS own FROM {chunks})"
     a = f"(SELECT *, char_start + {n16('content')} AS char_end, parent_id || '::ch' || chunk_no::VARCHAR AS id, CASE WHEN len(trail) > 0 THEN trail WHEN own <> '' THEN [own] ELSE [] END AS header_path FROM {a})"
     a = f"(SELECT *, lag(id) OVER w AS prev_id, lead(id) OVER w AS next_id, CASE WHEN len(depths) > 0 THEN depths ELSE range(1, len(header_path) + 1) END AS header_depths FROM {a} WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_no))"
     s = f"(SELECT doc_id AS k, list({{'h': h, 's': s}}) AS m FROM ({slugs(a)}) GROUP BY doc_id)"
@@ -208,11 +208,11 @@ def described() -> str:
     return (
         f"(SELECT * EXCLUDE (own, m, k), CASE WHEN len(types) > 0 THEN types ELSE {sniffed('content')} END AS node_types, array_to_string(header_path, ' > ') AS header_breadcrumb, "
         f"coalesce(header_path[-1], '') AS section_title, coalesce(header_slugs[-1], '') AS section_slug, ceil({n16('content')} / 3.8::DOUBLE)::INT AS estimated_tokens, "
-        f"'Talk ' || doc_id::VARCHAR AS file_title, {trim('content')} AS original_text FROM {a})"
+        f"'{title}' || doc_id::VARCHAR AS file_title, {trim('content')} AS original_text FROM {a})"
     )
 
 
-def embedded(mode: str, o: ChunkOptions = SMALL) -> str:
+def embedded(mode: str, o: ChunkOptions = SMALL, source: str | None = None) -> str:
     full = "(CASE WHEN file_title IS NOT DISTINCT FROM header_path[1] THEN header_breadcrumb WHEN header_breadcrumb <> '' THEN file_title || ' > ' || header_breadcrumb ELSE file_title END)"
     whole = f"(CASE WHEN {full} <> '' THEN {truncated(full)} || {NL} || {NL} || original_text ELSE original_text END)"
     begins = f"(section_title <> '' AND starts_with({trim('original_text')}, '#') AND starts_with(lower(regexp_replace({trim('original_text')}, '\\A#+{W}*', '')), lower(section_title)))"
@@ -223,7 +223,7 @@ def embedded(mode: str, o: ChunkOptions = SMALL) -> str:
         "always": f"CASE WHEN {begins} THEN original_text ELSE {whole} END",
         "conditional": f"CASE WHEN {begins} THEN original_text WHEN {needs} THEN {whole} WHEN {title} THEN file_title || {NL} || {NL} || original_text ELSE original_text END",
     }
-    return f"(SELECT *, {of[mode]} AS embed_text FROM {described()})"
+    return f"(SELECT *, {of[mode]} AS embed_text FROM {source or described()})"
 
 
 def truncated(c: str, longest: int = 160) -> str:
@@ -274,7 +274,8 @@ _SEED = (
 GUARD = f"(SELECT doc_id, false AS seeded, text AS t, doc_id // 3 AS part FROM documents UNION ALL SELECT doc_id, true, {_SEED}, -1 - doc_id FROM documents)"
 
 
-def guarded(o: ChunkOptions = DEFAULTS) -> str:
+def codes(o: ChunkOptions) -> str:
+    """Codes of what is wrong with a chunk: of its text c, its tokens, and whether it is single."""
     inner = W[1:-1]
     c = "c"
     begin = r"(\A|[\n\r\x{2028}\x{2029}])"
@@ -291,9 +292,12 @@ def guarded(o: ChunkOptions = DEFAULTS) -> str:
         "EMPTY_HEADER": rf"regexp_matches({trim(l + '[1]')}, '\A#{{1,6}}{W}*\z') OR (regexp_matches({trim(l + '[1]')}, '\A#{{1,6}}{W}+[^\n\r\x{{2028}}\x{{2029}}]+') AND len({l}) > 1 AND len(list_filter({l}[2:], lambda x: length({trim('x')}) > 0)) = 0)",
         "ORPHANED_CODE": f"(regexp_matches({c}, '(?s)```.*?```') OR regexp_matches({c}, '`[^`]+`')) AND {n16(trim(rest))} < 200",
     }
-    codes = ", ".join(f"CASE WHEN {t} THEN '{k}' END" for k, t in tests.items())
+    return "list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{k}' END" for k, t in tests.items()) + "], lambda x: x IS NOT NULL)"
+
+
+def guarded(o: ChunkOptions = DEFAULTS) -> str:
     a = f"(SELECT doc_id, coalesce(t, '') AS c, coalesce({tok('t')}, 0) AS tokens, count(*) OVER (PARTITION BY part) = 1 AS single, seeded FROM {GUARD})"
-    return f"(SELECT doc_id, seeded, tokens, list_filter([{codes}], lambda x: x IS NOT NULL) AS codes FROM {a})"
+    return f"(SELECT doc_id, seeded, tokens, {codes(o)} AS codes FROM {a})"
 
 
 # --- statistics
@@ -554,6 +558,16 @@ def _listing() -> str:
     )
 
 
+def talk_pipeline() -> str:
+    """The whole run over the conversations: split, pack, overlap, normalise, metadata, text to embed."""
+    cut = ladder(f"(SELECT doc_id * 100000 + block_no AS doc_id, text FROM {TALK_BLOCKS})", SMALL.max_tokens)
+    parts = f"(SELECT b.doc_id, list({{'text': c.text, 'type': b.type, 'trail': b.trail, 'depths': b.depths}} ORDER BY b.block_no, c.block_no) AS b FROM ({cut}) c JOIN {TALK_BLOCKS} b ON c.doc_id = b.doc_id * 100000 + b.block_no GROUP BY b.doc_id)"
+    longer = f"({overlapped(f'({pack(parts, SMALL)})', SMALL)})"
+    plain = dedented(spaces(longer, "doc_id, chunk_no", collapse_blank(strip_ends("content"))), "doc_id, chunk_no", "text")
+    chunks = f"(SELECT c.* EXCLUDE (content), coalesce({trim('x.text')}, '') AS content FROM {longer} c LEFT JOIN {plain} x ON c.doc_id = x.doc_id AND c.chunk_no = x.chunk_no)"
+    return embedded("conditional", SMALL, described(chunks, "Conversation "))
+
+
 _linked = lambda parent: f"(SELECT *, {parent} || '::ch' || chunk_no::VARCHAR AS id, {parent} AS parent_id, lag({parent} || '::ch' || chunk_no::VARCHAR) OVER w AS prev_id, lead({parent} || '::ch' || chunk_no::VARCHAR) OVER w AS next_id FROM {packed(SMALL)} WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_no))"
 _chunk = "doc_id, chunk_no, content, tokens, node_count"
 _with_tokens = lambda sql: f"SELECT *, {tok('text')} AS tokens FROM ({sql})"
@@ -623,6 +637,8 @@ SQL: dict[str, str] = {
     "structure_rich": structure_rich(),
     "analyze_conversations": analyze_conversations(),
     "legacy_ladder": old_ladder(400),
+    "pipeline_chunks": f"WITH run AS (SELECT *, original_text AS c, count(*) OVER (PARTITION BY doc_id) = 1 AS single FROM {talk_pipeline()}) SELECT doc_id, chunk_no, id, prev_id, next_id, content, embed_text, tokens, header_breadcrumb, section_slug, array_to_string({codes(SMALL)}, '|') AS codes FROM run",
+    "pipeline_stats": f"SELECT * FROM {stats(talk_pipeline(), SMALL, '(SELECT conv_id AS doc_id FROM conversations)', 'original_text')}",
     "report_boxes": _boxes(),
     "report_listing": _listing(),
     "chunk_json": f"SELECT doc_id, chunk_no, '{{\"id\":' || {_json('id')} || ',\"prev_id\":' || {_json('prev_id')} || ',\"next_id\":' || {_json('next_id')} || ',\"tokens\":' || tokens::VARCHAR || '}}' AS json FROM {_linked("'doc:' || doc_id::VARCHAR")}",
