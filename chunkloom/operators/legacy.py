@@ -127,11 +127,21 @@ def cumulative_overlap(contents: Column, sentences: int) -> Column:
     return F.aggregate(contents, init, lambda acc, x: F.concat(acc, F.array(joined(acc, x))))
 
 
+_MARKUP = [(r"(?m)^[ \t]*(?:#{1,6}[ \t]+|>[ \t]?|[-*+][ \t]+|```.*$)", ""), (r"!?\[([^\]]*)\]\([^)]*\)", r"\1"), (r"`([^`]+)`", r"\1"), (r"(\*\*|__|~~)(.+?)\1", r"\2"), (r"\*([^*]+)\*", r"\1")]
+
+
+def without_marks(text: str) -> str:
+    """A text as it is counted against the least size: without Markdown's marks."""
+    for pattern, to in _MARKUP:
+        text = re.sub(pattern, to, text)
+    return text.strip()
+
+
 SEPARATORS = ["\n## ", "\n### ", "\n#### ", "\n##### ", "\n###### ", "\n\n", "\n", ". ", "! ", "? ", " ", ""]
 
 
 def recursive_characters(text: str, size: int = 625, overlap: int = 100, least: int = 50, count: Callable[[str], int] = lambda s: len(s) // 4) -> list[str]:
-    """Recursive split by a list of separators that stay at the begin of what follows; neighbours are merged up to ``size``."""
+    """Recursive split by a list of separators that stay at the begin of what follows; neighbours are merged up to ``size``; parts under ``least`` without their marks are left out."""
 
     def cut(t: str, seps: list[str]) -> list[str]:
         sep = next((s for s in seps if s == "" or s in t), "")
@@ -163,7 +173,7 @@ def recursive_characters(text: str, size: int = 625, overlap: int = 100, least:
             n += k
         return out + (["".join(cur)] if cur else [])
 
-    return [s for s in (x.strip() for x in cut(text, SEPARATORS)) if count(s) >= least]
+    return [s for s in (x.strip() for x in cut(text, SEPARATORS)) if count(without_marks(s)) >= least]
 
 
 def recursive_parts(c: Column, size: int = 625, overlap: int = 100) -> Column:

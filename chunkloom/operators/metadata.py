@@ -86,3 +86,29 @@ def char_offsets(full: Column, part: Column) -> tuple[Column, Column, Column]:
     exact, near = F.instr(full, part), F.instr(full, F.substring(part, 1, 100))
     start = F.when(exact > 0, exact - 1).when(near > 0, near - 1).otherwise(-1)
     return start, F.when(start >= 0, start + F.length(part)).otherwise(-1), F.when(exact > 0, 1.0).when(near > 0, 0.8).otherwise(0.0)
+
+
+_HEADER = rf"\A(#{{1,6}}){X.WHITE}+([^\n\r\u2028\u2029]+)\z"
+
+
+def _headers(text: Column) -> Column:
+    """Header lines of a text: (line, level, text, full)."""
+    at = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), X.trim(x).alias("full")))
+    found = F.filter(at, lambda h: h["full"].rlike(_HEADER))
+    return F.transform(found, lambda h: F.struct(h["line"].alias("line"), F.length(F.regexp_extract(h["full"], _HEADER, 1)).alias("level"), F.regexp_extract(h["full"], _HEADER, 2).alias("text"), h["full"].alias("full")))
+
+
+def header_hierarchy(full: Column, part: Column) -> Column:
+    """(header_path, hierarchy) of a part by its place in the text: the open headers there, then its own one if deeper.
+
+    Null without a part, empty where the part is not found.
+    """
+    start = F.instr(full, X.trim(part))
+    before = F.size(F.split(F.substring(full, F.lit(1), start - 1), "\n"))
+    empty = F.filter(_headers(F.lit("")), lambda h: F.lit(False))
+    push = lambda stack, h: F.concat(F.filter(stack, lambda x: x["level"] < h["level"]), F.array(h))
+    open_ = F.aggregate(F.filter(_headers(full), lambda h: h["line"] < before), empty, push)
+    own = F.slice(_headers(part), 1, 1)
+    deeper = lambda st: F.when((F.size(own) > 0) & ((F.size(st) == 0) | (own[0]["level"] > F.element_at(st, -1)["level"])), F.concat(st, own)).otherwise(st)
+    path = X.let(F.when(start > 0, open_).otherwise(empty), lambda st: F.when(start > 0, deeper(st)).otherwise(st))
+    return X.let(path, lambda p: F.struct(F.transform(p, lambda h: h["full"]).alias("header_path"), F.array_join(F.transform(p, lambda h: h["text"]), " > ").alias("hierarchy")))

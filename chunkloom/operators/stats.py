@@ -79,3 +79,13 @@ def source_rollup(chunks: DataFrame, source: str = "source") -> DataFrame:
         F.bool_or(F.coalesce(F.size("header_path"), F.lit(0)) > 0).alias("has_hierarchy"),
         F.count_if(F.col("prev_id").isNotNull() | F.col("next_id").isNotNull()).alias("linked"),
     )
+
+
+def relationship_counts(chunks: DataFrame, key: str | None = None) -> DataFrame:
+    """Chunks that are linked, have a header hierarchy, or were found in their text (confidence over 0.8), over all or by a key."""
+    return chunks.groupBy(*([key] if key else [])).agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(F.col("prev_id").isNotNull() | F.col("next_id").isNotNull()).alias("linked"),
+        F.count_if(F.coalesce(F.col("hierarchy"), F.lit("")) != "").alias("with_hierarchy"),
+        F.count_if(F.col("confidence") > 0.8).alias("located"),
+    )

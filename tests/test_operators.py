@@ -324,6 +324,45 @@ def test_files_and_stream(spark, tmp_path):
     assert key(spark.read.parquet(str(tmp_path / "table"))) == key(stream.packed(docs.select("doc_id", "title", "text"), o))
 
 
+def test_header_hierarchy(spark):
+    full = "intro\n# A\ntext a\n### B\ntext b\n## C\ntext c\n"
+    df = spark.createDataFrame([(full, "text b"), (full, "text c"), (full, "intro"), (full, "### B\ntext b"), (full, "gone"), (full, None), ("x\ny", "y\n# Z")], "f string, p string")
+    got = [r.h and (r.h.header_path, r.h.hierarchy) for r in df.select(metadata.header_hierarchy(F.col("f"), F.col("p")).alias("h")).collect()]
+    assert got[:5] == [(["# A", "### B"], "A > B"), (["# A", "## C"], "A > C"), ([], ""), (["# A", "### B"], "A > B"), ([], "")]
+
+
+def test_errors_and_stages(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "doc_id int, text string")
+    out = pipeline.add_error(pipeline.add_error(df, "read", F.col("text").isNull(), F.lit("no text"), True), "read", F.col("doc_id") > 1, F.lit("late"))
+    got = {r.doc_id: [(e.stage, e.message, e.recoverable) for e in r.errors] for r in out.collect()}
+    assert got == {1: [], 2: [("read", "no text", True), ("read", "late", False)]}
+    assert out.where(pipeline.has_errors(out)).count() == 1 and df.where(pipeline.has_errors(df)).count() == 0
+    import chunkloom
+
+    o = ChunkOptions(min_tokens=5, max_tokens=64, target_tokens=40)
+    docs = spark.createDataFrame([(1, "T", TEXT)], "doc_id bigint, title string, text string")
+    one = docs
+    for stage in chunkloom.stages(o).values():
+        one = stage(one)
+    key = lambda d: sorted((r.doc_id, r.chunk_no, r.embed_text) for r in d.collect())
+    assert key(one) == key(chunkloom.chunk_markdown(docs, o)[0])
+
+
+def test_summary_file(spark, tmp_path):
+    rows = spark.createDataFrame([("s", "# A", ["# A"], "x", None), ("s", "text", [], None, None), ("t", "b", None, None, None)], "source string, content string, header_path array<string>, prev_id string, next_id string")
+    out = {r.source: (r.n_chunks, r.linked, r.with_hierarchy) for r in files.write_summary(rows, str(tmp_path / "s")).collect()}
+    assert out == {"s": (2, 1, 1), "t": (1, 0, 0), None: (3, 1, 1)}
+    assert spark.read.json(str(tmp_path / "s")).count() == 3
+
+
+def test_parsed_with_clashing_columns(spark):
+    from chunkloom.operators import parse
+
+    df = spark.createDataFrame([(1, "# A", "x", "y")], "doc_id int, text string, _text string, text_ string")
+    row = parse.parsed(df).collect()[0]
+    assert (row._text, row.text_, row.blocks[0].text) == ("x", "y", "A") and analyze.analyze(df).collect()[0].h1 == 1
+
+
 def test_front_matter(spark):
     t = "---\ntitle: A\ntags: x\n---\nBody"
     assert values(spark, files.front_matter, t, "none", None) == [{"title": "A", "tags": "x"}, {}, {}]
