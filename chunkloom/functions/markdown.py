@@ -91,7 +91,10 @@ class Reader:
             node, lines = self.block_todo.pop()
             node.children = self.blocks(lines)
         for node, s in self.inline_todo:
-            node.children = Inline(s, self.definitions).read()
+            if "@" in s or _STOP.search(s):
+                node.children = Inline(s, self.definitions).read()
+            elif s:
+                node.children = [Node("text", s)]  # most cells and lines: nothing in them but text
         return root
 
     # --- blocks
