@@ -4,34 +4,29 @@ A document's fingerprint has 256 bits: each distinct word, hashed to one of 2**1
 adds its bucket's sign vector with weight 1 + log2(count); a bit is a sum's sign. Fingerprints
 are cut into 128 segments of two bits, and a segment is represented by its number of ones.
 The Manhattan distance of two such vectors never exceeds the Hamming distance of the
-fingerprints, so it may reject pairs before the exact test. The candidates come from a grid
-join in that space: each of ``tables`` grids takes ``cells`` segments, fingerprints with equal
-counts in all of them share a cell, and within a cell Manhattan distance, then Hamming
-distance, decide. Equal fingerprints are merged before, so copies cost nothing.
+fingerprints, so it rejects pairs before the exact test. No pair within the limit is left out:
+the fingerprint is cut into 33 pieces, one more than the limit of 32 bits, so such a pair agrees
+in a piece at least. Moreover (cycle lemma) there is a piece from which on, in a circle, every run
+of k pieces differs in k - 1 bits at most. Fingerprints that agree in a piece share a cell, and
+within a cell the pairs are compared whose next two pieces differ in one bit and two bits at most
+and the eight pieces in seven (``piece_edges``). Manhattan distance, then Hamming distance,
+decide. Equal fingerprints are merged before, so copies cost nothing.
 
 Counts are stored as sorted segments (00, 01, 11): Manhattan distance is then the number of
 ones of an XOR, as Hamming distance is.
 
-A pair at Hamming distance d meets in a grid with probability p(d)**cells, where
-p(d) = (1-q)**2 + q**2/2 and q = d/256. With 12 segments and 52 grids 0.91 of the pairs exactly
-at the limit of 32 bits meet, and over 0.99 of those at 24. Unrelated fingerprints share a
-cell with probability 0.375**12, one in 130,000. Cells follow from the number of distinct
-fingerprints (``cells_for``: one more for each factor of 2.7 beyond 10 million) and grids from
-the cells (``tables_for``), so both the unrelated partners in a cell and the chance that a pair
-meets are the same at every size; shuffled rows grow with the number of grids. The join is by equal
-counts in a grid's segments, where a range join would visit the neighbouring cells, too: by the same
-reckoning, ranges of one step need 11 grids and 10 rows a fingerprint and grid for the same chance, twice the rows.
-
-A cell that holds over ``HOT`` fingerprints is found by a frequent-items sketch over all cells
-and divided into blocks; each pair of blocks is a group of its own, so every pair of the cell
-still meets, in tasks of bounded size. Large groups are divided once more inside their task
-(``_large_cell``), so unrelated fingerprints in one cell take no square time.
+Shuffled rows are 33 a fingerprint at every size. Compared pairs grow with the square of the number
+of fingerprints: in the check tables 0.013 of all pairs pass the first three pieces, at some 15 ns each.
+
+Cells are counted exactly, and one of over ``HOT`` fingerprints is divided into blocks; each pair
+of blocks is a group of its own, so every pair of the cell still meets, in tasks of bounded size.
+Within a cell only components are kept, not pairs, so memory follows the cell's fingerprints.
 
 Near duplicates are the connected components of pairs within the limit. One row of each stays:
 the one with the least doc_id (null ids last), of repeated rows the first. Rows are told apart
 by their place in the input (partition and position), so ``docs`` must give the same rows in
 the same order whenever it is read, as a table does. Cells yield a spanning forest of their
-verified pairs, not the pairs, so a group of m copies gives some m edges and not m * m / 2.
+verified pairs, not the pairs, so a group of m near copies gives some m edges and not m * m / 2.
 
 Defined results: null, empty and wordless texts have no fingerprint and are no duplicates, so
 all their rows stay; repeated rows and rows with a null id are rows like any other, and exactly
@@ -55,15 +50,19 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BITS, LIMIT, CELLS = 256, 32, 12
-#: Fingerprints in a cell from which it is divided into blocks, and in a group from which it is divided in its task.
-HOT, LARGE = 20_000, 2048
+#: Fingerprints in a cell from which it is divided into blocks.
+HOT = 200_000
 _FP = ["f0", "f1", "f2", "f3"]
 _FP_SCHEMA = "row bigint, doc_id bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint"
-#: Cells with more fingerprints than this are joined through pivots, smaller ones pair by pair.
-_PAIRWISE = 192
+#: Cells up to the first size are compared together, pair by pair; up to the second all pairs' heads are compared, beyond it those of like pieces.
+#: This is for speed only: all three find every pair.
+_PAIRWISE, _DIRECT = 48, 512
 _signs: np.ndarray | None = None
 
 
+# What a join by equality in grids would need and miss; no query uses it any more.
+
+
 def meeting(distance: int, cells: int = CELLS) -> float:
     """Probability that a pair at this Hamming distance shares a cell of one grid."""
     q = distance / BITS
@@ -127,30 +126,21 @@ def sorted_segments(x: np.ndarray) -> np.ndarray:
     return ((x & y & m) << np.uint64(1)) | ((x | y) & m)
 
 
-def _sorted_segments_sql(c: str) -> str:
-    m = 0x5555555555555555
-    return f"shiftleft({c} & shiftrightunsigned({c}, 1) & {m}L, 1) | (({c} | shiftrightunsigned({c}, 1)) & {m}L)"
-
-
 @lru_cache(16)
-def masks(tables: int, cells: int = CELLS, seed: int = 20) -> list[list[int]]:
-    """For each grid, the bits of its segments in the four words, as signed integers."""
-    rng, out = np.random.default_rng(seed), []
-    for _ in range(tables):
-        words = [0, 0, 0, 0]
-        for s in rng.choice(BITS // 2, cells, replace=False).tolist():
-            words[s // 32] |= 3 << (2 * (s % 32))
-        out.append([w - (1 << 64) if w >> 63 else w for w in words])
+def pieces(limit: int = LIMIT) -> list[tuple[int, int, int]]:
+    """(word, first bit, bits) of ``limit`` + 1 disjoint pieces, none across two words, of eight bits at most."""
+    out = []
+    for w in range(4):
+        n = (limit + 1 + w) // 4
+        edges = [64 * i // n for i in range(n + 1)] if n else []
+        out += [(w, a, min(8, b - a)) for a, b in zip(edges, edges[1:])]
     return out
 
 
-def cell_entries(reps: DataFrame, tables: int, cells: int = CELLS) -> DataFrame:
-    """A row for each fingerprint and grid: the cell's key, and the fingerprint."""
-    sorted_ = reps.select("rep", *_FP, *(F.expr(_sorted_segments_sql(c)).alias(f"c{i}") for i, c in enumerate(_FP)))
-    # as text: thousands of calls for single nodes of the expression would take longer than the job
-    long = lambda m: f"({m + 1}L - 1L)" if m == -(1 << 63) else f"{m}L"
-    key = lambda t, words: f"xxhash64({t}, {', '.join(f'c{i} & {long(m)}' for i, m in enumerate(words) if m)})"
-    return sorted_.selectExpr(f"explode(array({', '.join(key(t, words) for t, words in enumerate(masks(tables, cells)))})) AS cell", "rep", *_FP)
+def cell_entries(reps: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """A row for each fingerprint and piece: the cell (piece * 256 + the piece's bits), and the fingerprint."""
+    keys = (f"{256 * k}L + (shiftrightunsigned({_FP[w]}, {a}) & {(1 << n) - 1}L)" for k, (w, a, n) in enumerate(pieces(limit)))
+    return reps.selectExpr(f"explode(array({', '.join(keys)})) AS cell", "rep", *_FP)
 
 
 def near(a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
@@ -163,94 +153,125 @@ def near(a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
     return out
 
 
-def _pivoted(ids: np.ndarray, fp: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges of one group. Pivots gather whole neighbourhoods; then only pairs of
-    different components are compared, so no verified link between components is lost."""
-    n = len(ids)
-    label = np.arange(n)
-    left, right = [], []
-
-    def join(i: int, others: np.ndarray) -> None:
-        nonlocal label
-        for c in np.unique(label[others]).tolist():
-            if c != label[i]:
-                j = int(others[label[others] == c][0])
-                left.append(i)
-                right.append(j)
-                label[label == c] = label[i]
-
-    open_ = np.ones(n, bool)
-    pivots = []
-    while open_.any():
-        i = int(np.flatnonzero(open_)[0])
-        hit = near(fp[i][None, :], fp, limit)
-        join(i, np.flatnonzero(hit))
-        open_ &= ~hit
-        open_[i] = False
-        pivots.append(i)
-    # each fingerprint that is no pivot, against those of other components
-    if len(np.unique(label)) > 1:
-        pivot = np.zeros(n, bool)
-        pivot[pivots] = True
-        for i in np.flatnonzero(~pivot).tolist():
-            others = np.flatnonzero((label != label[i]) & ~pivot)
-            others = others[others > i]
-            if len(others):
-                join(i, others[near(fp[i][None, :], fp[others], limit)])
-    return ids[np.array(left, int)], ids[np.array(right, int)]
-
-
-def _large_cell(ids: np.ndarray, fp: np.ndarray, limit: int, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges of one group. Over ``LARGE`` fingerprints are divided by grids of more segments,
-    so many that unrelated ones share a cell with some 16 others; a pair at the limit meets with probability 0.99."""
-    n = len(ids)
-    if n <= LARGE or depth > 3:
-        return _pivoted(ids, fp, limit)
-    cells = math.ceil(math.log(n / 16) / -math.log(0.375))
-    tables = masks(tables_for(cells, limit, 0.99), cells, 100 + depth)
-    left, right = [], []
-    for words in tables:
-        key = np.zeros(n, np.uint64)
-        for i, m in enumerate(words):
-            if m:
-                key = C.mix(key + (fp[:, 4 + i] & np.uint64(m & C._MASK64)))
-        order = np.argsort(key, kind="stable")
-        a, b = cell_edges(key[order], ids[order], fp[order], limit, depth + 1)
-        left.append(a)
-        right.append(b)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def cell_edges(cell: np.ndarray, ids: np.ndarray, fp: np.ndarray, limit: int, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Verified edges of whole cells that lie together; rows of a cell are consecutive."""
-    if fp.shape[1] == 4:
-        fp = np.hstack([fp, sorted_segments(fp)])
+def cell_edges(cell: np.ndarray, ids: np.ndarray, fp: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every pair within ``limit`` of whole cells that lie together; rows of a cell are consecutive."""
+    fp = np.hstack([fp, sorted_segments(fp)])
     start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     size = np.diff(np.r_[start, len(cell)])
-    left, right = [], []
-    for m in np.unique(size).tolist():
-        if m < 2:
-            continue
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for m in np.unique(size[size > 1]).tolist():
         first = start[size == m]
-        if m > _PAIRWISE:
-            for s in first.tolist():
-                a, b = _large_cell(ids[s : s + m], fp[s : s + m], limit, depth)
-                left.append(a)
-                right.append(b)
-            continue
-        i, j = np.triu_indices(m, 1)
-        step = max(1, (1 << 18) // len(i))
+        step = max(1, (1 << 18) // (m * m))
+        rows = max(1, (1 << 18) // m)  # of a cell at once
         for k in range(0, len(first), step):
-            part = first[k : k + step, None]
-            x, y = (part + i).ravel(), (part + j).ravel()
-            ok = near(fp[x], fp[y], limit)
-            left.append(ids[x[ok]])
-            right.append(ids[y[ok]])
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for r in range(0, m, rows):
+                i, j = np.triu_indices(min(rows, m - r), 1, m - r)
+                part = first[k : k + step, None] + r
+                x, y = (part + i).ravel(), (part + j).ravel()
+                ok = near(fp[x], fp[y], limit)
+                left.append(ids[x[ok]])
+                right.append(ids[y[ok]])
     return np.concatenate(left), np.concatenate(right)
 
 
+@lru_cache(64)
+def _flips(one: int, two: int) -> np.ndarray:
+    """Masks over two pieces on end, not 0: one bit at most in the first, two bits in all."""
+    low, high = [1 << i for i in range(one)], [1 << (one + i) for i in range(two)]
+    return np.array([*low, *high, *(x | y for x in low for y in high), *(x | y for k, x in enumerate(high) for y in high[:k])], np.int64)
+
+
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[k], start[k] + 1 and so on, count[k] numbers for each k, on end."""
+    end = np.cumsum(count)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(start - end + count, count)
+
+
+def _parts(weight: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of consecutive entries that weigh about ``most``, or of one entry."""
+    edges = np.cumsum(weight) // most
+    cuts = [0, *(np.flatnonzero(np.diff(edges)) + 1).tolist(), len(weight)]
+    return (slice(a, b) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
+def piece_edges(ids: np.ndarray, fp: np.ndarray, piece: int, limit: int, direct: int = _DIRECT) -> tuple[np.ndarray, np.ndarray]:
+    """(first, other) of each component of fingerprints that agree in ``piece``, over all pairs within ``limit`` that
+    differ in k - 1 bits at most in each run of k pieces from this one on."""
+    n, cut = len(ids), pieces(limit)
+    run = [cut[(piece + k) % len(cut)] for k in range(min(8, len(cut)))]
+    head, at = np.zeros(n, np.uint64), 0
+    for w, a, b in run:
+        head |= ((fp[:, w] >> np.uint64(a)) & np.uint64((1 << b) - 1)) << np.uint64(at)
+        at += b
+    label = np.arange(n)
+
+    def join(i: np.ndarray, j: np.ndarray) -> None:
+        """Components of rows i and j, whose heads are alike, become one where a pair is within the limit."""
+        nonlocal label
+        for s in range(0, len(i), 1 << 18):
+            x, y = i[s : s + (1 << 18)], j[s : s + (1 << 18)]
+            open_ = label[x] != label[y]
+            x, y = x[open_], y[open_]
+            a, b = fp[x], fp[y]
+            ok = near(np.hstack([a, sorted_segments(a)]), np.hstack([b, sorted_segments(b)]), limit)
+            if ok.any():
+                least, other = stars(label[x[ok]], label[y[ok]])
+                to = np.arange(n)
+                to[other] = least
+                label = to[label]
+
+    alike = lambda x, y: np.bitwise_count(x ^ y) < len(run)
+    if n <= direct or len(run) < 3:
+        step = max(1, (1 << 19) // max(n, 1))
+        for k in range(0, n, step):
+            i, j = np.nonzero(alike(head[k : k + step, None], head[None, k:]))
+            join(i[i < j] + k, j[i < j] + k)
+        other = np.flatnonzero(label != np.arange(n))
+        return ids[label[other]], ids[other]
+
+    # buckets of rows whose next two pieces agree, and pairs of buckets that differ in few bits there
+    bits = run[1][2] + run[2][2]
+    rest = ((head >> np.uint64(run[0][2])) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    order = np.argsort(rest, kind="stable")
+    ids, fp, head, rest = ids[order], fp[order], head[order], rest[order]
+    start = np.flatnonzero(np.r_[True, rest[1:] != rest[:-1]])
+    size = np.diff(np.r_[start, n])
+    value, own = rest[start], np.arange(len(start))
+    place = np.full(1 << bits, -1)
+    place[value] = own
+
+    def compare(p: np.ndarray, q: np.ndarray) -> None:
+        """All pairs of a row of bucket p and one of q; first those of first rows of large buckets, as then one component may hold both."""
+        big = size[p] * size[q] > 64
+        if big.any():
+            x = _ranges(start[p[big]], np.where(p == q, size[p], 1)[big])
+            y = np.repeat(start[q[big]], np.where(p == q, size[p], 1)[big])
+            ok = alike(head[x], head[y])
+            join(x[ok], y[ok])
+            low, high = np.minimum.reduceat(label, start), np.maximum.reduceat(label, start)
+            open_ = (low[p] != high[p]) | (low[q] != high[q]) | (low[p] != low[q])
+            p, q = p[open_], q[open_]
+        for s in _parts(size[p], 1 << 18):
+            i, to = _ranges(start[p[s]], size[p[s]]), np.repeat(q[s], size[p[s]])
+            first = np.where(np.repeat(p[s], size[p[s]]) == to, i + 1, start[to])
+            count = start[to] + size[to] - first
+            for r in _parts(count, 1 << 18):
+                y = _ranges(first[r], count[r])
+                ok = np.flatnonzero(alike(np.repeat(head[i[r]], count[r]), head[y]))
+                join(np.repeat(i[r], count[r])[ok], y[ok])
+
+    many = own[size > 1]
+    for s in _parts(size[many] ** 2, 1 << 22):
+        compare(many[s], many[s])
+    flips = _flips(run[1][2], run[2][2])
+    for k in range(0, len(own), 2048):
+        q = place[value[k : k + 2048, None] ^ flips]
+        p, c = np.nonzero(q > own[k : k + 2048, None])
+        compare(p + k, q[p, c])
+    other = np.flatnonzero(label != np.arange(n))
+    return ids[label[other]], ids[other]
+
+
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(least, node) for each other node of the components of these edges: as few edges as will do."""
     ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -271,7 +292,14 @@ def _edge_batches(limit: int):
         held: list[tuple] = []
 
         def out(parts: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in stars(*cell_edges(*(np.concatenate(x) for x in zip(*parts)), limit))], ["a", "b"])
+            cell, ids, fp = (np.concatenate(x) for x in zip(*parts))
+            start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            size = np.diff(np.r_[start, len(cell)])
+            few = np.repeat(size <= _PAIRWISE, size)
+            edges = [cell_edges(cell[few], ids[few], fp[few], limit)] if few.any() else []
+            for s, m in zip(start[size > _PAIRWISE].tolist(), size[size > _PAIRWISE].tolist()):
+                edges.append(piece_edges(ids[s : s + m], fp[s : s + m], int(cell[s] & 0xFFFF) >> 8, limit))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in stars(*(np.concatenate(x) for x in zip(*edges)))], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -316,31 +344,34 @@ def components(edges: DataFrame) -> DataFrame:
         mark = tuple(new)
 
 
-def divided(entries: DataFrame, hot: int = HOT, tracked: int = 100_000) -> DataFrame:
-    """``entries`` with each cell of over ``hot`` rows divided into blocks, a key for each pair of blocks.
-
-    The sketch follows ``tracked`` cells: those with more than one part in 75,000 of all rows are
-    surely found. At most 10,000 cells are divided.
-    """
-    found = entries.agg(F.expr(f"approx_top_k(cell, 10000, {tracked})").alias("top")).select(F.explode("top").alias("t")).where(F.col("t.count") > hot)
-    parts = [(r[0][0], -(-2 * r[0][1] // hot)) for r in found.collect()]
-    if not parts:
+def divided(entries: DataFrame, hot: int = HOT) -> DataFrame:
+    """``entries`` with each cell of over ``hot`` rows divided into blocks, a key for each pair of blocks. A key's low 16 bits are the cell."""
+    found = entries.groupBy("cell").count().where(F.col("count") > hot).collect()
+    if not found:
         return entries
+    parts = [(r[0], -(-2 * r[1] // hot)) for r in found]
     blocks = F.broadcast(entries.sparkSession.createDataFrame(parts, "hot bigint, blocks bigint"))
     rows = entries.join(blocks, F.col("cell") == F.col("hot"), "left").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("cell", F.least("own", j), F.greatest("own", j)))
+    others = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda j: j != F.col("own"))
+    pairs = F.transform(others, lambda j: F.col("cell") + 65536 * (1 + F.least("own", j) * F.col("blocks") + F.greatest("own", j)))
     keys = F.when(F.col("blocks").isNull(), F.array("cell")).otherwise(pairs)
     return rows.select(F.explode(keys).alias("cell"), "rep", *_FP)
 
 
-def grouped(docs: DataFrame, limit: int = LIMIT, cells: int | None = None, tables: int | None = None, hot: int = HOT) -> DataFrame:
+def links(reps: DataFrame, limit: int = LIMIT, hot: int = HOT) -> DataFrame:
+    """(a, b), a < b: edges between fingerprints (rep, f0..f3) whose components are those of all pairs within ``limit``."""
+    entries = cell_entries(reps, limit)
+    if reps.count() > hot:  # else no cell has more
+        entries = divided(entries, hot)
+    return entries.repartition("cell").sortWithinPartitions("cell").mapInArrow(_edge_batches(limit), "a bigint, b bigint")
+
+
+def grouped(docs: DataFrame, limit: int = LIMIT, hot: int = HOT) -> DataFrame:
     """(row, doc_id, kept_row, duplicate_of, group_size) of each row in a group of more than one."""
     fps = C.written(fingerprints(docs), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
     reps = C.written(fps.groupBy(*_FP).agg(F.min("row").alias("rep"), first.alias("best"), F.count(F.lit(1)).alias("n")), "reps")
-    cells = cells or cells_for(reps.count())
-    entries = divided(cell_entries(reps, tables or tables_for(cells, limit), cells), hot).repartition("cell").sortWithinPartitions("cell", "rep")
-    of = components(entries.mapInArrow(_edge_batches(limit), "a bigint, b bigint"))
+    of = components(links(reps, limit, hot))
     member = reps.join(of, reps.rep == of.node, "left").select(*_FP, F.coalesce("least", "rep").alias("g"), "best", "n")
     groups = member.groupBy("g").agg(F.min("best").alias("kept"), F.sum("n").alias("group_size")).where("group_size > 1")
     rows = fps.join(member.select(*_FP, "g").join(groups, "g"), _FP)
