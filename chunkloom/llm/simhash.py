@@ -52,6 +52,10 @@ from . import common as C
 BITS, LIMIT, CELLS = 256, 32, 12
 #: Fingerprints in a cell from which it is divided into blocks.
 HOT = 200_000
+#: Fingerprints, about, whose cell entries one task writes: a row becomes 33, and a task holds and sorts them before it spills.
+TASK = 16_384
+#: Bytes of text and pairs of fingerprints that a worker takes at once; it keeps most of what it once took.
+_TEXT, _PAIRS = 1 << 20, 1 << 16
 _FP = ["f0", "f1", "f2", "f3"]
 _FP_SCHEMA = "row bigint, doc_id bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint"
 #: Cells up to the first size are compared together, pair by pair; up to the second all pairs' heads are compared, beyond it those of like pieces.
@@ -82,9 +86,12 @@ def signs() -> np.ndarray:
     """Sign vectors of the word buckets, -1 and 1; the same in every process."""
     global _signs
     if _signs is None:
-        n = 1 << C.BUCKET_BITS
-        h = C.mix(np.arange(1, n * BITS // 64 + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-        _signs = (np.unpackbits(h.view(np.uint8)).reshape(n, BITS).astype(np.int8) * 2) - 1
+        n, words, some = 1 << C.BUCKET_BITS, BITS // 64, 1 << 12
+        table = np.empty((n, BITS), np.int8)
+        for a in range(0, n, some):
+            h = C.mix(np.arange(a * words + 1, (a + some) * words + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+            table[a : a + some] = (np.unpackbits(h.view(np.uint8)).reshape(some, BITS).astype(np.int8) * 2) - 1
+        _signs = table
     return _signs
 
 
@@ -105,7 +112,7 @@ def fingerprint_array(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in C.slices(batches, "text"):
+    for b in C.slices(batches, "text", _TEXT):
         fp, some = fingerprint_array(b.column("text"))
         keep = pa.array(some)
         yield pa.RecordBatch.from_arrays(
@@ -137,8 +144,10 @@ def pieces(limit: int = LIMIT) -> list[tuple[int, int, int]]:
     return out
 
 
-def cell_entries(reps: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """A row for each fingerprint and piece: the cell (piece * 256 + the piece's bits), and the fingerprint."""
+def cell_entries(reps: DataFrame, limit: int = LIMIT, tasks: int | None = None) -> DataFrame:
+    """A row for each fingerprint and piece: the cell (piece * 256 + the piece's bits), and the fingerprint. ``tasks``: made in so many."""
+    if tasks:
+        reps = reps.repartition(tasks, "rep")
     keys = (f"{256 * k}L + (shiftrightunsigned({_FP[w]}, {a}) & {(1 << n) - 1}L)" for k, (w, a, n) in enumerate(pieces(limit)))
     return reps.selectExpr(f"explode(array({', '.join(keys)})) AS cell", "rep", *_FP)
 
@@ -161,8 +170,8 @@ def cell_edges(cell: np.ndarray, ids: np.ndarray, fp: np.ndarray, limit: int) ->
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for m in np.unique(size[size > 1]).tolist():
         first = start[size == m]
-        step = max(1, (1 << 18) // (m * m))
-        rows = max(1, (1 << 18) // m)  # of a cell at once
+        step = max(1, _PAIRS // (m * m))
+        rows = max(1, _PAIRS // m)  # of a cell at once
         for k in range(0, len(first), step):
             for r in range(0, m, rows):
                 i, j = np.triu_indices(min(rows, m - r), 1, m - r)
@@ -208,8 +217,8 @@ def piece_edges(ids: np.ndarray, fp: np.ndarray, piece: int, limit: int, direct:
     def join(i: np.ndarray, j: np.ndarray) -> None:
         """Components of rows i and j, whose heads are alike, become one where a pair is within the limit."""
         nonlocal label
-        for s in range(0, len(i), 1 << 18):
-            x, y = i[s : s + (1 << 18)], j[s : s + (1 << 18)]
+        for s in range(0, len(i), _PAIRS):
+            x, y = i[s : s + _PAIRS], j[s : s + _PAIRS]
             open_ = label[x] != label[y]
             x, y = x[open_], y[open_]
             a, b = fp[x], fp[y]
@@ -360,8 +369,9 @@ def divided(entries: DataFrame, hot: int = HOT) -> DataFrame:
 
 def links(reps: DataFrame, limit: int = LIMIT, hot: int = HOT) -> DataFrame:
     """(a, b), a < b: edges between fingerprints (rep, f0..f3) whose components are those of all pairs within ``limit``."""
-    entries = cell_entries(reps, limit)
-    if reps.count() > hot:  # else no cell has more
+    n = reps.count()
+    entries = cell_entries(reps, limit, 1 + n // TASK)
+    if n > hot:  # else no cell has more
         entries = divided(entries, hot)
     return entries.repartition("cell").sortWithinPartitions("cell").mapInArrow(_edge_batches(limit), "a bigint, b bigint")
 
