@@ -10,7 +10,7 @@ the curve share packs. A document may go on in the next pack.
 Places are global without a global step: each sorted partition numbers its own tokens, and
 the partitions' bases are prefix sums of their totals (one row for each partition). The
 result does not depend on how the rows are partitioned. Only ids, keys and lengths are
-sorted; ``packed`` brings in the texts by one join on doc_id.
+sorted; ``packed`` brings the texts to their places by one shuffle and one sort on doc_id.
 
 Tokens are words (runs of letters and digits) unless ``length`` names a column of counts.
 
@@ -22,6 +22,7 @@ ignored; a null doc_id stays null.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,7 @@ from pyspark.sql.window import Window
 from . import common as C
 
 DIMS, BITS, CAPACITY = 4, 12, 2048
+_TEXT = 1 << 20  # bytes of text that a worker takes at once; it keeps most of what it once took
 _projection: np.ndarray | None = None
 
 
@@ -98,7 +100,7 @@ def keys_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in C.slices(batches, "text"):
+    for b in C.slices(batches, "text", _TEXT):
         key, n = keys_of(b.column("text"))
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), b.column("tie"), pa.array(key), b.column("given") if "given" in b.schema.names else pa.array(n)], ["doc_id", "tie", "key", "n"]
@@ -160,12 +162,16 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, length: str | None = None) -
 _PIECE = ["pack_id", "pack_start", "doc_id", "doc_start", "doc_end", "text"]
 
 
-def _sliced(capacity: int, kind: pa.DataType, limit: int = 4 << 20):
+def _sliced(capacity: int, kind: pa.DataType, limit: int = _TEXT):
     """The pieces of each document with their texts, from one word's begin to another's; the first has what
-    is before, the last what is after. A document's text is there once, whatever its pieces."""
+    is before, the last what is after. A document's text is there once, whatever its pieces.
+
+    Rows of a doc_id and tie lie together, its places (without a text) before its texts, which are alike:
+    each text takes a place of its own, and one without a token finds none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        last_id, last_tie, places = None, None, deque()
 
         def out() -> pa.RecordBatch:
             kinds = [pa.int64(), pa.int64(), kind, pa.int64(), pa.int64(), pa.string()]
@@ -174,7 +180,16 @@ def _sliced(capacity: int, kind: pa.DataType, limit: int = 4 << 20):
             return batch
 
         for b in C.slices(batches, "text", limit):
-            for id_, t, n, at in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "n", "at"))):
+            for id_, tie, t, n, at in zip(*(b.column(c).to_pylist() for c in ("doc_id", "tie", "text", "n", "at"))):
+                if tie != last_tie or id_ != last_id and (id_ == id_ or last_id == last_id):  # NaN is one id
+                    last_id, last_tie = id_, tie
+                    places.clear()
+                if t is None:
+                    places.append((n, at))
+                    continue
+                if not places:
+                    continue
+                n, at = places.popleft()
                 raw, first = t.encode(), None
                 for p in range(at // capacity, (at + n - 1) // capacity + 1):
                     s, e = max(p * capacity - at, 0), min((p + 1) * capacity - at, n)
@@ -190,13 +205,11 @@ def _sliced(capacity: int, kind: pa.DataType, limit: int = 4 << 20):
 
 def packed(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pack`` and the text of each piece. The pieces of a document make up its whole text."""
-    rank = Window.partitionBy("doc_id", "tie").orderBy("tie")  # repeated rows are told apart; null ids are divided by their texts
-    placed = _placed(docs, None).withColumn("nth", F.row_number().over(rank)).withColumnsRenamed({"doc_id": "id", "tie": "tie_", "nth": "nth_"})
-    # rows without a token aren't placed, so they must not be counted here either
-    texts = docs.where(F.col("text").rlike("[a-zA-Z0-9\\x{80}-\\x{10ffff}]")).select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tie"))
-    texts = texts.withColumn("nth", F.row_number().over(rank))
-    both = texts.join(placed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tie") == F.col("tie_")) & (F.col("nth") == F.col("nth_")))
-    rows = both.select("doc_id", "text", "n", "at")
+    texts = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tie"))
+    none = F.lit(None).cast("bigint")
+    both = texts.select("doc_id", "tie", "text", none.alias("n"), none.alias("at")).unionAll(_placed(docs, None).select("doc_id", "tie", F.lit(None).cast("string").alias("text"), "n", "at"))
+    # null ids are divided by their texts
+    rows = both.repartition("doc_id", "tie").sortWithinPartitions("doc_id", "tie", F.col("at").asc_nulls_last())
     kinds = {"doc_id": docs.schema["doc_id"].dataType, "text": T.StringType()}
     schema = T.StructType([T.StructField(c, kinds.get(c, T.LongType())) for c in _PIECE])
     return rows.mapInArrow(_sliced(capacity, to_arrow_type(schema["doc_id"].dataType)), schema)

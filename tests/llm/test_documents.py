@@ -572,6 +572,32 @@ def test_very_long_text_is_cut_once(spark):
     assert len(got[1]) >= 290
 
 
+def test_texts_are_shuffled_once(spark):
+    docs = spark.createDataFrame([(i, f"word{i} " * 40) for i in range(200)], "doc_id bigint, text string")
+
+    def walk(p):
+        yield p
+        for k in range(p.children().size()):
+            yield from walk(p.children().apply(k))
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = P.packed(docs)._jdf.queryExecution().executedPlan().initialPlan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sum(p.nodeName() == "Exchange" and "text#" in p.output().mkString(",") for p in walk(plan)) == 1
+
+
+def test_repeated_rows_take_a_place_each(spark):
+    nan = float("nan")
+    long = " ".join(f"w{i}" for i in range(150))
+    docs = spark.createDataFrame([*[(nan, long)] * 3, *[(None, long)] * 2, (1.0, long), (1.0, "other words"), (2.0, " . "), (3.0, None)], "doc_id double, text string").repartition(3)
+    rows = sorted(P.packed(docs, capacity=64).collect(), key=lambda r: (r.pack_id, r.pack_start))
+    assert "".join(r.text for r in rows if r.doc_id != 1).count(long) == 5 and sum(r.doc_end - r.doc_start for r in rows) == 6 * 150 + 2
+    assert [r.pack_id * 64 + r.pack_start for r in rows[1:]] == np.cumsum([r.doc_end - r.doc_start for r in rows])[:-1].tolist()
+
+
 def test_neighbours_on_the_curve_are_alike(spark):
     r = random.Random(12)
     topics = [[r.choice(WORDS) + str(k) for _ in range(30)] for k in range(8)]
