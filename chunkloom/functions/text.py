@@ -6,6 +6,7 @@ goes away from zero; the functions here follow the language the chunking rules w
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -17,6 +18,8 @@ WHITE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\
 WHITE_RE2 = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 #: The same for Python.
 WHITE_PY = "[\t\n\x0b\x0c\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+#: Its characters.
+WHITES = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -25,7 +28,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{WHITE}+|{WHITE}+\z", "")
+    return F.btrim(c, F.lit(WHITES))
 
 
 def length(c: Column) -> Column:
@@ -44,7 +47,7 @@ def round2(c: Column) -> Column:
 
 
 def not_blank(parts: Column) -> Column:
-    return F.filter(parts, lambda x: F.length(trim(x)) > 0)
+    return F.filter(parts, lambda x: x.rlike(f"[^{WHITE[1:]}"))
 
 
 def sentences(c: Column) -> Column:
@@ -61,5 +64,35 @@ def paragraphs(c: Column) -> Column:
     return not_blank(F.split(c, "\n\n"))
 
 
+# --- the same for Python, inside Arrow batches
+
+_SENTENCE_END = re.compile(rf"[.!?]({WHITE_PY}+)")
+
+
+def units(s: str) -> int:
+    """Number of UTF-16 units."""
+    return len(s) if s.isascii() else len(s.encode("utf-16-le", "surrogatepass")) // 2
+
+
+def counter(s: str) -> Callable[[str], int]:
+    """``units`` for parts of ``s``: plain ``len`` where all its characters have one unit."""
+    return len if units(s) == len(s) else units
+
+
+def cut_sentences(s: str) -> list[str]:
+    """``sentences`` of one text."""
+    out, at = [], 0
+    for m in _SENTENCE_END.finditer(s):
+        i, j = m.span(1)
+        out.append(s[at:i])
+        at = j
+    out.append(s[at:])
+    return [p for p in out if p.strip(WHITES)] or [s]
+
+
+def last_sentences(s: str, n: int) -> list[str]:
+    return cut_sentences(s)[-n:] if n > 0 else []
+
+
 def shortened(c: Column, n: int, tail: str = "...") -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit(tail))).otherwise(c)

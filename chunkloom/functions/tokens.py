@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import arrow as A
 from . import text as X
 
 PER_TOKEN = 3.8
@@ -46,10 +46,22 @@ def estimated(n: Column) -> Column:
 
 
 def count_heuristic(s: str) -> int:
-    n = len(s.encode("utf-16-le", "surrogatepass")) // 2
+    return count_of_length(X.units(s))
+
+
+def count_of_length(n: int) -> int:
+    """``of_length`` of one number."""
     return max(1, int(n / PER_TOKEN)) if n else 0
 
 
+def most_units(max_tokens: int) -> int:
+    """The greatest length whose count is at most ``max_tokens``; -1 where none is."""
+    n = max(int((max_tokens + 2) * PER_TOKEN), 0)
+    while n >= 0 and count_of_length(n) > max_tokens:
+        n -= 1
+    return n
+
+
 def encoder(ranks_file: str):
     if ranks_file not in _encoders:
         import tiktoken
@@ -69,14 +81,7 @@ def counter(ranks_file: str | None) -> Callable[[str], int]:
 
 def bpe(c: Column, ranks_file: str) -> Column:
     """Exact token count with the byte-pair vocabulary in ``ranks_file``."""
-
-    @F.pandas_udf("int")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = encoder(ranks_file).encode_ordinary
-        for s in batches:
-            yield s.map(lambda t: len(encode(t)) if t is not None else None).astype("Int32")
-
-    return count(c)
+    return A.each(c, lambda t: len(encoder(ranks_file).encode_ordinary(t)), "int")
 
 
 def count(c: Column, ranks_file: str | None) -> Column:

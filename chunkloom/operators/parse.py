@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions import arrow as A
 from ..functions import markdown as M
 from ..functions import tokens as K
 from ..plans.options import DEFAULTS, ChunkOptions
@@ -75,23 +75,17 @@ def parsed(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def split_blocks(docs: DataFrame, o: ChunkOptions = DEFAULTS, blocks: str = "blocks") -> DataFrame:
     """Oversized blocks in parts that keep type, trail and place."""
+    kind, most = docs.schema[blocks].dataType, K.most_units(o.max_tokens)
     if o.ranks_file:
-        kind = docs.schema[blocks].dataType
-
-        @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-        def cut_texts(texts: pd.Series) -> pd.Series:
-            count = K.counter(o.ranks_file)
-            return texts.map(lambda ts: [S.split_counted(t, o.max_tokens, count) for t in ts] if ts is not None else None)
-
-        # else the optimiser moves the call into a lambda, where Python can't run
-        cut_texts = cut_texts.asNondeterministic()
-        rows = docs.withColumn("_parts", cut_texts(F.transform(blocks, lambda b: b["text"])))
-        whole = F.flatten(F.transform(blocks, lambda b, i: F.transform(F.get("_parts", i), lambda t: b.withField("text", t))))
-        return rows.withColumn(blocks, whole.cast(kind)).drop("_parts")
-    parts = lambda b: F.transform(S.split_oversized(b["text"], o.max_tokens), lambda t: b.withField("text", t))
-    big = lambda b: K.heuristic(b["text"]) > o.max_tokens
-    cut = F.flatten(F.transform(blocks, lambda b: F.when(big(b), parts(b)).otherwise(F.array(b))))
-    return docs.withColumn(blocks, F.when(F.exists(blocks, big), cut).otherwise(F.col(blocks)))
+        cut_one = lambda t: S.split_counted(t, o.max_tokens, K.counter(o.ranks_file))
+        some = F.lit(True)
+    else:
+        cut_one = lambda t: S.cut_oversized(t, most)
+        some = F.exists(blocks, lambda b: K.heuristic(b["text"]) > o.max_tokens)
+    texts = F.when(some, F.transform(blocks, lambda b: b["text"]))
+    rows = docs.withColumn("_parts", A.each(texts, lambda ts: [[t] if t is None else cut_one(t) for t in ts], "array<array<string>>"))
+    whole = F.flatten(F.transform(blocks, lambda b, i: F.transform(F.get("_parts", i), lambda t: b.withField("text", t))))
+    return rows.withColumn(blocks, F.when(F.col("_parts").isNull(), F.col(blocks)).otherwise(whole).cast(kind)).drop("_parts")
 
 
 def block_rows(docs: DataFrame, blocks: str = "blocks", key: str = "doc_id") -> DataFrame:

@@ -1,8 +1,8 @@
 """Splitting of oversized texts: paragraphs, then sentences, then lines, then words.
 
-The ladder is one nested expression. A part that a rung makes small enough goes no further, and
-no part of a lower rung can be split by a higher one, so four rungs in a row equal a recursion
-from the top.
+A part that a rung makes small enough goes no further, and no part of a lower rung can be split by
+a higher one, so four rungs in a row equal a recursion from the top. The cuts run in Python workers:
+the heuristic needs lengths only, so the work is in proportion to the text.
 """
 
 from __future__ import annotations
@@ -13,44 +13,74 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrow as A
 from ..functions import text as X
 from ..functions import tokens as K
 
 
+_RUN = re.compile(f"{X.WHITE_PY}+")
+#: White space that is no single blank between two words.
+_OTHER_RUN = re.compile(f" {X.WHITE_PY}+|[{X.WHITE_PY[1:-1].replace(' ', '')}]{X.WHITE_PY}*")
+
+
+def cut_words(t: str, most: int) -> list[str]:
+    """Greedy cuts between words into parts of at most ``most`` UTF-16 units, rejoined with one space; a word over that stays whole."""
+    length = X.counter(t)
+    if length is len and t and t[0] not in X.WHITES and t[-1] not in X.WHITES:
+        s, out, i = _OTHER_RUN.sub(" ", t), [], 0
+        n = len(s)
+        while n - i > most:
+            j = s.rfind(" ", i, i + most + 1) if most > 0 else -1
+            if j < 0 and (j := s.find(" ", i + max(most, 0))) < 0:
+                j = n
+            out.append(s[i:j])
+            i = j + 1
+        return [*out, s[i:]] if i < n else out
+    out, cur, n = [], [], 0
+    for w in _RUN.split(t):
+        k = length(w)
+        more = n + 1 + k if n else k
+        if more <= most:
+            if not n:
+                cur = []
+            cur.append(w)
+            n = more
+        elif n:
+            out.append(" ".join(cur))
+            cur, n = [w], k
+        else:
+            out.append(w)
+    return [*out, " ".join(cur)] if n else out or [t]
+
+
 def hard_cut(c: Column, max_tokens: int) -> Column:
     """Greedy cuts between words, rejoined with one space; a word over the limit stays whole."""
-    words = F.split(c, X.WHITE + "+")
-    state = F.struct(F.lit("").alias("cur"), F.array().cast("array<string>").alias("parts"))
-
-    def step(s: Column, w: Column) -> Column:
-        cur = s["cur"]
-        test = F.when(cur == "", w).otherwise(F.concat(cur, F.lit(" "), w))
-        fits = K.heuristic(test) <= max_tokens
-        return F.struct(
-            F.when(fits, test).when(cur != "", w).otherwise(F.lit("")).alias("cur"),
-            F.when(fits, s["parts"]).when(cur != "", F.concat(s["parts"], F.array(cur))).otherwise(F.concat(s["parts"], F.array(w))).alias("parts"),
-        )
+    most = K.most_units(max_tokens)
+    return A.each(c, lambda t: cut_words(t, most), "array<string>")
 
-    def done(s: Column) -> Column:
-        parts = F.when(s["cur"] == "", s["parts"]).otherwise(F.concat(s["parts"], F.array(s["cur"])))
-        return F.when(F.size(parts) > 0, parts).otherwise(F.array(c))
 
-    return F.aggregate(words, state, step, done)
+def cut_oversized(t: str, most: int) -> list[str]:
+    """``split_counted`` by lengths, of which parts have at most ``most``."""
+    length = X.counter(t)
+    if length(t) <= most:
+        return [t]
+    cuts = [lambda s: s.split("\n\n"), X.cut_sentences, lambda s: s.split("\n")]
 
+    def go(s: str, k: int) -> list[str]:
+        if length(s) <= most:
+            return [s]
+        if k == len(cuts):
+            return [p.strip(X.WHITES) for p in cut_words(s, most)]
+        parts = [p for x in cuts[k](s) if (p := x.strip(X.WHITES))]
+        return [q for p in parts for q in go(p, k + 1)] if len(parts) > 1 else go(s, k + 1)
 
-def _rung(c: Column, cut: Callable[[Column], Column], below: Callable[[Column], Column], max_tokens: int) -> Column:
-    # one part is the text itself: ``below`` stands once in the plan, or the ladder would double at each rung
-    whole = lambda parts: F.when(F.size(parts) > 1, F.transform(parts, X.trim)).otherwise(F.array(c))
-    return F.when(K.heuristic(c) <= max_tokens, F.array(c)).otherwise(F.flatten(F.transform(X.let(cut(c), whole), below)))
+    return [p for p in go(t, 0) if p]
 
 
 def split_oversized(c: Column, max_tokens: int) -> Column:
     """Parts of a text, each of at most ``max_tokens`` where words allow it; empty parts are dropped."""
-    by_word = lambda t: F.when(K.heuristic(t) <= max_tokens, F.array(t)).otherwise(F.transform(hard_cut(t, max_tokens), X.trim))
-    by_line = lambda t: _rung(t, X.lines, by_word, max_tokens)
-    by_sentence = lambda t: _rung(t, X.sentences, by_line, max_tokens)
-    parts = _rung(c, X.paragraphs, by_sentence, max_tokens)
-    return F.when(K.heuristic(c) <= max_tokens, F.array(c)).otherwise(F.filter(parts, lambda p: F.length(p) > 0))
+    most = K.most_units(max_tokens)
+    return A.each(c, lambda t: cut_oversized(t, most), "array<string>")
 
 
 def split_blocks(docs: DataFrame, max_tokens: int, text: str = "text") -> DataFrame:
