@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrow as A
 from ..functions import text as X
 from ..functions import tokens as K
 
@@ -47,28 +47,25 @@ def code_aware_sentences(text: str) -> list[str]:
 
 
 def sentence_parts(c: Column) -> Column:
-    @F.pandas_udf("array<string>")
-    def cut(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: code_aware_sentences(t) if t is not None else None)
+    return A.each(c, code_aware_sentences, "array<string>")
 
-    return cut(c)
+
+def cut_additive(t: str, max_tokens: int) -> list[str]:
+    """``additive_cut`` of one text."""
+    length, out, cur, n = X.counter(t), [], [], 0
+    for w in re.split(r"[ \t\n\x0b\f\r]+", t):
+        k = int((length(w) + 1) / K.PER_TOKEN) or 1
+        if n + k > max_tokens and cur:
+            out.append(" ".join(cur))
+            cur, n = [], 0
+        cur.append(w)
+        n += k
+    return [*out, " ".join(cur)]
 
 
 def additive_cut(c: Column, max_tokens: int) -> Column:
     """Greedy cut at words by the sum of the words' own counts, each with a space."""
-    words = F.split(c, r"\s+")
-    init = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("cur"), F.array().cast("array<string>").alias("parts"))
-
-    def step(s: Column, w: Column) -> Column:
-        t = K.at_least_one(F.concat(w, F.lit(" ")))
-        full = (s["n"] + t > max_tokens) & (F.size(s["cur"]) > 0)
-        return F.struct(
-            F.when(full, t).otherwise(s["n"] + t).alias("n"),
-            F.when(full, F.array(w)).otherwise(F.concat(s["cur"], F.array(w))).alias("cur"),
-            F.when(full, F.concat(s["parts"], F.array(F.array_join(s["cur"], " ")))).otherwise(s["parts"]).alias("parts"),
-        )
-
-    return F.aggregate(words, init, step, lambda s: F.when(F.size(s["cur"]) > 0, F.concat(s["parts"], F.array(F.array_join(s["cur"], " ")))).otherwise(s["parts"]))
+    return A.each(c, lambda t: cut_additive(t, max_tokens), "array<string>")
 
 
 def ladder(text: str, structure: str, max_tokens: int, count: Callable[[str], int] = lambda s: max(1, int(len(s) / K.PER_TOKEN))) -> list[str]:
@@ -100,11 +97,7 @@ def ladder(text: str, structure: str, max_tokens: int, count: Callable[[str], in
 
 
 def ladder_parts(c: Column, structure: str, max_tokens: int) -> Column:
-    @F.pandas_udf("array<string>")
-    def cut(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: ladder(t, structure, max_tokens) if t is not None else None)
-
-    return cut(c)
+    return A.each(c, lambda t: ladder(t, structure, max_tokens), "array<string>")
 
 
 def additive_starts(counts: Column, max_tokens: int) -> Column:
@@ -120,11 +113,17 @@ def additive_starts(counts: Column, max_tokens: int) -> Column:
 
 def cumulative_overlap(contents: Column, sentences: int) -> Column:
     """Each chunk gets the last sentences of the chunk before it as that one already is."""
-    from .overlap import trailing_sentences
 
-    init = F.array().cast("array<string>")
-    joined = lambda acc, x: F.when(F.size(acc) == 0, x).otherwise(F.concat(trailing_sentences(F.element_at(acc, -1), sentences), F.lit(" "), x))
-    return F.aggregate(contents, init, lambda acc, x: F.concat(acc, F.array(joined(acc, x))))
+    def run(cs: list[str | None]) -> list[str | None]:
+        out, tail = [], None
+        for i, x in enumerate(cs):
+            # without sentences to take there is nothing but a blank; after a null all is null
+            new = x if not i else None if x is None or tail is None else f"{tail} {x}"
+            tail = None if new is None else " ".join(X.last_sentences(new, sentences))
+            out.append(new)
+        return out
+
+    return A.each(contents, run, "array<string>")
 
 
 _MARKUP = [(r"(?m)^[ \t]*(?:#{1,6}[ \t]+|>[ \t]?|[-*+][ \t]+|```.*$)", ""), (r"!?\[([^\]]*)\]\([^)]*\)", r"\1"), (r"`([^`]+)`", r"\1"), (r"(\*\*|__|~~)(.+?)\1", r"\2"), (r"\*([^*]+)\*", r"\1")]
@@ -177,11 +176,7 @@ def recursive_characters(text: str, size: int = 625, overlap: int = 100, least:
 
 
 def recursive_parts(c: Column, size: int = 625, overlap: int = 100) -> Column:
-    @F.pandas_udf("array<string>")
-    def cut(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: recursive_characters(t, size, overlap) if t is not None else None)
-
-    return cut(c)
+    return A.each(c, lambda t: recursive_characters(t, size, overlap), "array<string>")
 
 
 #: Rules of dashes, bare # signs, marks of emphasis, an open fence.

@@ -6,11 +6,13 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from chunkloom.functions import arrow as A
 from chunkloom.functions import text as X
 from chunkloom.functions import tokens as K
-from chunkloom.operators import split
+from chunkloom.operators import legacy, pack, split
+from chunkloom.plans.options import ChunkOptions
 
 ODD = ["", " ", "a", "  a  b ", "a b", "x" * 50, "x" * 50 + " y", "y " + "x" * 50, "é b c", "𝄞 𝄞𝄞𝄞𝄞𝄞𝄞 b", "a\n\nb. c! d?\ne", "　", "a \t\n b", "aaaa bbbb cccc dddd"]
 
@@ -71,3 +73,40 @@ def test_slices_are_bounded_and_whole():
     assert [i for s in got for i in range(*s)] == list(range(7)) and len(got) == 2
     assert A.sizes(pa.array([["ab", None], None, [], ["c"] * 3], pa.list_(pa.string()))).tolist() == [5, 1, 1, 7]
     assert A.texts(pa.array([b"a\xff", None], pa.binary()).view(pa.string())) == ["a�", None]
+
+
+# --- older operators
+
+
+def test_additive_cut_of_a_long_text_takes_little(spark):
+    text = ("lorem ipsum dolor sit amet " * 80_000).strip()
+    column(spark, lambda c: legacy.additive_cut(c, 128), ["a b"])
+    began = time.time()
+    (parts,) = column(spark, lambda c: legacy.additive_cut(c, 128), [text])
+    assert time.time() - began < 10  # 2 MB
+    assert " ".join(parts) == text
+
+
+def test_additive_cut_counts_units_and_keeps_ends():
+    assert legacy.cut_additive("", 3) == [""]
+    assert legacy.cut_additive(" a  b ", 1) == ["", "a", "b", ""]
+    assert legacy.cut_additive("𝄞𝄞𝄞𝄞 bbb c", 2) == ["𝄞𝄞𝄞𝄞", "bbb c"]
+
+
+def test_cumulative_overlap_equals_the_fold(spark):
+    rows = [(0, ["A one. B two.", "C three.", "d", "E. f"]), (1, []), (2, ["a.", None, "b"]), (3, None)]
+    df = spark.createDataFrame(rows, "i int, c array<string>")
+    got = {r[0]: r[1] for r in df.select("i", legacy.cumulative_overlap(F.col("c"), 1)).collect()}
+    assert got[0] == ["A one. B two.", "B two. C three.", "C three. d", "d E. f"]
+    assert got[1] == [] and got[2] == ["a.", None, None] and got[3] is None
+
+
+@pytest.mark.parametrize("o", [ChunkOptions(), ChunkOptions(min_tokens=3, max_tokens=8, target_tokens=6), ChunkOptions(min_tokens=0, max_tokens=2, target_tokens=0), ChunkOptions(min_tokens=5, max_tokens=6)])
+def test_packing_sentences_equals_packing_arrays(spark, o):
+    df = spark.createDataFrame(list(enumerate([*random_texts(), None])), "doc_id int, text string")
+    blocks = F.filter(X.sentences(F.col("text")), lambda x: F.length(X.trim(x)) > 0)
+    block = lambda x: F.struct(x.alias("text"), F.lit("paragraph").alias("type"), F.array().cast("array<string>").alias("trail"), F.array().cast("array<int>").alias("depths"))
+    one = pack.pack_arrays(df.where("text is not null").select("doc_id", F.transform(blocks, block).alias("blocks")), "blocks", o)
+    other = pack.pack_sentences(df, "text", o)
+    assert one.columns == other.columns
+    assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
