@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrow as A
 from ..functions import text as X
 from ..functions import tokens as K
 from ..plans.options import DEFAULTS, ChunkOptions
@@ -68,12 +69,13 @@ def pack_arrays(docs: DataFrame, blocks: str = "blocks", o: ChunkOptions = DEFAU
     rows = packed.select(*own, (F.size("_at") == 1).alias("_one"), F.posexplode(chunk_arrays(F.col(blocks), F.col("_at"))).alias("chunk_no", "_b"))
     b = F.col("_b")
     closed = F.when(F.col("_one"), b).otherwise(_unmerged(b, o))
-    content = F.array_join(F.transform(b, lambda x: x["text"]), SEPARATOR)
+    # a step of its own: the count uses the content more than once
+    rows = rows.withColumn("content", F.array_join(F.transform(b, lambda x: x["text"]), SEPARATOR))
     return rows.select(
         *own,
         "chunk_no",
-        content.alias("content"),
-        K.heuristic(content).alias("tokens"),
+        "content",
+        K.heuristic(F.col("content")).alias("tokens"),
         F.size(closed).alias("node_count"),
         F.array_distinct(F.transform(closed, lambda x: x["type"])).alias("types"),
         b[0]["trail"].alias("trail"),
@@ -94,6 +96,48 @@ def _unmerged(b: Column, o: ChunkOptions) -> Column:
     return F.slice(b, F.lit(1), F.greatest(F.aggregate(b, init, step, lambda s: s["n"]), F.lit(1)))
 
 
+def starts_of_lengths(lengths: list[int], o: ChunkOptions = DEFAULTS) -> tuple[list[int], list[int]]:
+    """``starts`` of one document, and how many blocks each chunk had when it closed."""
+    if not lengths:
+        return [], []
+    if K.count_of_length(sum(lengths) + 2 * (len(lengths) - 1)) <= o.max_tokens:
+        return [0], [len(lengths)]
+    most, nearly, at, size, is_open = K.most_units(o.max_tokens), o.max_tokens * 0.9, [], 0, False
+    for i, x in enumerate(lengths):
+        if is_open and size + 2 + x <= most:
+            size += 2 + x
+        else:
+            at.append(i)
+            size = x
+        n = K.count_of_length(size)
+        is_open = not (n >= nearly or (n >= o.min_tokens and n >= o.pack_target))
+    closed = [j - i for i, j in zip(at, [*at[1:], len(lengths)])]
+    if is_open and len(at) > 1 and K.count_of_length(size) < o.min_tokens:
+        before = sum(lengths[at[-2] : at[-1]]) + 2 * (at[-1] - at[-2] - 1)
+        if K.count_of_length(before + 2 + size) <= o.max_tokens:
+            at.pop()
+            closed.pop()
+    return at, closed
+
+
+def packed_sentences(t: str, o: ChunkOptions = DEFAULTS) -> list[dict]:
+    """Chunks of one text whose blocks are its sentences."""
+    length = X.counter(t)
+    sentences = [s for s in X.cut_sentences(t) if s.strip(X.WHITES)]
+    at, closed = starts_of_lengths([length(s) for s in sentences], o)
+    whole = [SEPARATOR.join(sentences[i:j]) for i, j in zip(at, [*at[1:], len(sentences)])]
+    return [{"content": c, "tokens": K.count_of_length(length(c)), "node_count": n} for c, n in zip(whole, closed)]
+
+
+def pack_sentences(docs: DataFrame, text: str = "text", o: ChunkOptions = DEFAULTS) -> DataFrame:
+    """``pack_arrays`` of texts whose blocks are their sentences, without trail: one pass over each text."""
+    own = [c for c in docs.columns if c != text]
+    cut = A.each(F.col(text), lambda t: packed_sentences(t, o), "array<struct<content:string,tokens:int,node_count:int>>")
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    rows = docs.select(*own, F.posexplode(cut).alias("chunk_no", "_c"))
+    return rows.select(*own, "chunk_no", "_c.*", F.array(F.lit("paragraph")).alias("types"), none("string").alias("trail"), none("int").alias("depths"))
+
+
 def pack_rows(blocks: DataFrame, o: ChunkOptions = DEFAULTS) -> DataFrame:
     """``pack_arrays`` for rows (doc_id, block_no, text, type, trail, depths): one shuffle by doc_id."""
     one = F.struct("block_no", "text", "type", "trail", "depths")

@@ -27,15 +27,8 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
     return Y.spread(Y.table(s, d, "documents").select("doc_id", "text", "source"), "doc_id")
 
 
-def sentence_blocks(docs: DataFrame) -> DataFrame:
-    """Documents with their sentences as an array of blocks."""
-    sentences = F.filter(X.sentences(F.col("text")), lambda x: F.length(X.trim(x)) > 0)
-    empty = lambda x: F.struct(x.alias("text"), F.lit("paragraph").alias("type"), F.array().cast("array<string>").alias("trail"), F.array().cast("array<int>").alias("depths"))
-    return docs.where("text is not null").withColumn("blocks", F.transform(sentences, empty)).drop("text")
-
-
 def packed(s: SparkSession, d: str, o: ChunkOptions = DEFAULTS) -> DataFrame:
-    return pack.pack_arrays(sentence_blocks(_docs(s, d)), "blocks", o)
+    return pack.pack_sentences(_docs(s, d), "text", o)
 
 
 def conversation_chunks(s: SparkSession, d: str, o: ChunkOptions = SMALL) -> DataFrame:
