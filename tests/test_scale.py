@@ -5,13 +5,14 @@ from __future__ import annotations
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from chunkloom.functions import arrow as A
 from chunkloom.functions import text as X
 from chunkloom.functions import tokens as K
-from chunkloom.operators import legacy, pack, split
+from chunkloom.operators import legacy, pack, split, vector
 from chunkloom.plans.options import ChunkOptions
 
 ODD = ["", " ", "a", "  a  b ", "a b", "x" * 50, "x" * 50 + " y", "y " + "x" * 50, "é b c", "𝄞 𝄞𝄞𝄞𝄞𝄞𝄞 b", "a\n\nb. c! d?\ne", "　", "a \t\n b", "aaaa bbbb cccc dddd"]
@@ -110,3 +111,38 @@ def test_packing_sentences_equals_packing_arrays(spark, o):
     other = pack.pack_sentences(df, "text", o)
     assert one.columns == other.columns
     assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+
+
+# --- vectors
+
+
+@pytest.mark.parametrize("k", [1, 3, 40])
+def test_tiles_find_the_best(k, monkeypatch):
+    monkeypatch.setattr(vector, "_TILE", (4, 16))
+    r = np.random.default_rng(5)
+    v = r.integers(-2, 3, (300, 3)).astype(float)  # many ties
+    v = v[(v != 0).any(axis=1)]
+    q, ids, v = vector._unit(v[:11]), r.permutation(len(v)), vector._unit(v)
+    best = vector.Best(k, q)
+    for a in range(0, len(v), 37):
+        best.add(v[a : a + 37], ids[a : a + 37])
+    got = {}
+    for t, (row, score, found) in enumerate(best.kept):
+        for x, s, i in zip(row, score, found):
+            got.setdefault(int(x) + 4 * t, []).append((-s, i))
+    score = np.round(q @ v.T, vector.DIGITS)
+    assert got == {x: sorted(zip(-score[x], ids))[:k] for x in range(len(q))}
+
+
+def test_many_queries_take_little_memory():
+    import tracemalloc
+
+    r = np.random.default_rng(1)
+    q, v = vector._unit(r.normal(size=(4000, 8))), vector._unit(r.normal(size=(10_000, 8)))
+    tracemalloc.start()
+    best = vector.Best(5, q)
+    best.add(v, np.arange(len(v)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 64 << 20  # all scores at once are 320 MB
+    assert sum(len(x[0]) for x in best.kept) == 5 * len(q)
