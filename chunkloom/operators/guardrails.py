@@ -2,47 +2,62 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import arrow as A
 from ..functions import text as X
 from ..plans.options import DEFAULTS, ChunkOptions
 
 CODES = ["EMPTY_CONTENT", "TOO_SHORT", "TOO_LONG", "FORMATTING_ONLY", "EMPTY_HEADER", "ORPHANED_CODE"]
 PROSE = 200
-_W = X.WHITE
+_W = X.WHITE_PY
 _INNER = _W[1:-1]
+_END = r"\n\r\u2028\u2029"
+
+_MARKS = re.compile(rf"#{{1,6}}{_W}*|-{{3,}}|`{{3,}}|[*_\-{_INNER}]*|[|{_INNER}]*|[>{_INNER}]*")
+_BARE_HEADER, _HEADER = re.compile(rf"#{{1,6}}{_W}*\Z"), re.compile(rf"#{{1,6}}{_W}+[^{_END}]+")
+_BLOCK, _INLINE = re.compile(r"(?s)```.*?```"), re.compile(r"`[^`]+`")
+# white space at the begin of a line that leads to no mark is gone through once, and stays
+_AT_LINE = [re.compile(rf"(?:(?<=[{_END}])|\A)(?:{_W}*{mark}|({_W}+))") for mark in (rf"#{{1,6}}{_W}*[^{_END}]*", rf"[-*+]{_W}+", rf">{_W}+")]
+
+
+def is_empty(c: str) -> bool:
+    return not c.strip(X.WHITES)
 
 
-def is_empty(c: Column) -> Column:
-    return F.length(X.trim(c)) == 0
+def formatting_only(c: str) -> bool:
+    return bool(_MARKS.fullmatch(c.strip(X.WHITES)))
 
 
-def formatting_only(c: Column) -> Column:
-    return X.trim(c).rlike(rf"\A(?:#{{1,6}}{_W}*|-{{3,}}|`{{3,}}|[*_\-{_INNER}]*|[|{_INNER}]*|[>{_INNER}]*)\z")
+def empty_header(c: str) -> bool:
+    first, more, rest = c.partition("\n")
+    first = first.strip(X.WHITES)
+    return bool(_BARE_HEADER.match(first) or (more and not rest.strip(X.WHITES) and _HEADER.match(first)))
 
 
-def empty_header(c: Column) -> Column:
-    lines = F.split(c, "\n")
-    first = X.trim(F.get(lines, F.lit(0)))
-    rest_blank = F.forall(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.length(X.trim(x)) == 0)
-    return first.rlike(rf"\A#{{1,6}}{_W}*\z") | (first.rlike(rf"\A#{{1,6}}{_W}+[^\n\r\u2028\u2029]+") & (F.size(lines) > 1) & rest_blank)
+def orphaned_code(c: str, prose: int = PROSE) -> bool:
+    if "`" not in c or not (_BLOCK.search(c) or _INLINE.search(c)):
+        return False
+    rest = _INLINE.sub("", _BLOCK.sub("", c))
+    for mark in _AT_LINE:
+        rest = mark.sub(lambda m: m[1] or "", rest)
+    return X.units(rest.strip(X.WHITES)) < prose
 
 
-def orphaned_code(c: Column, prose: int = PROSE) -> Column:
-    block, inline = r"(?s)```.*?```", r"`[^`]+`"
-    rest = F.regexp_replace(F.regexp_replace(c, block, ""), inline, "")
-    begin = r"(?:(?<=[\n\r\u2028\u2029])|\A)"
-    rest = F.regexp_replace(rest, rf"{begin}{_W}*#{{1,6}}{_W}*[^\n\r\u2028\u2029]*", "")
-    rest = F.regexp_replace(rest, rf"{begin}{_W}*[-*+]{_W}+", "")
-    rest = F.regexp_replace(rest, rf"{begin}{_W}*>{_W}+", "")
-    return (c.rlike(block) | c.rlike(inline)) & (X.length(X.trim(rest)) < prose)
+def faults(content: Column) -> Column:
+    """What is wrong with a text by itself, as bits: empty, marks only, header without content, code without prose."""
+    tests = (is_empty, formatting_only, empty_header, orphaned_code)
+    return A.each(content, lambda c: sum(f(c) << i for i, f in enumerate(tests)), "int")
 
 
-def violations(content: Column, tokens: Column, single: Column, o: ChunkOptions = DEFAULTS) -> Column:
-    """Codes of what is wrong with a chunk, in a fixed order."""
-    tests = [is_empty(content), ~single & (tokens < o.min_tokens), tokens > o.max_tokens, formatting_only(content), empty_header(content), orphaned_code(content)]
+def violations(bits: Column, tokens: Column, single: Column, o: ChunkOptions = DEFAULTS) -> Column:
+    """Codes of what is wrong with a chunk, in a fixed order, from its ``faults``."""
+    bit = lambda i: F.getbit(bits, F.lit(i)) == 1
+    tests = [bit(0), ~single & (tokens < o.min_tokens), tokens > o.max_tokens, bit(1), bit(2), bit(3)]
     return F.array_compact(F.array(*(F.when(t, F.lit(code)) for t, code in zip(tests, CODES))))
 
 
@@ -62,8 +77,10 @@ def messages(codes: Column, tokens: Column, o: ChunkOptions = DEFAULTS) -> Colum
 def validate(chunks: DataFrame, o: ChunkOptions = DEFAULTS, content: str = "original_text", key: str = "doc_id") -> DataFrame:
     """Adds violations and returns every chunk; in strict mode the first violation fails the job."""
     single = F.count(F.lit(1)).over(Window.partitionBy(key)) == 1
-    codes = violations(F.coalesce(F.col(content), F.lit("")), F.coalesce(F.col("tokens"), F.lit(0)), F.col("_single"), o)
-    rows = chunks.withColumn("_single", single).withColumn("violations", messages(codes, F.coalesce(F.col("tokens"), F.lit(0)), o)).drop("_single")
+    codes = violations(F.col("_faults"), F.coalesce(F.col("tokens"), F.lit(0)), F.col("_single"), o)
+    # before the window, so the text need not be shuffled for it
+    rows = chunks.withColumn("_faults", faults(F.coalesce(F.col(content), F.lit(""))))
+    rows = rows.withColumn("_single", single).withColumn("violations", messages(codes, F.coalesce(F.col("tokens"), F.lit(0)), o)).drop("_single", "_faults")
     if o.strict:
         first = F.get("violations", F.lit(0))
         failed = F.raise_error(F.concat(F.lit("chunk validation failed: "), first["code"], F.lit(": "), first["message"]))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrow as A
 from ..functions import text as X
 
 _FENCE = rf"\A{X.WHITE}*```"
@@ -51,8 +54,38 @@ def dedent(c: Column) -> Column:
     return X.let(fenced(F.split(c, "\n")), lambda ms: X.let(least(ms), lambda n: cut(ms, n)))
 
 
+_BLANK_LINES, _RUN, _LEAD = re.compile(rf"\n{X.WHITE_PY}*\n{X.WHITE_PY}*\n+"), re.compile(f"{X.WHITE_PY}+"), re.compile(f"{X.WHITE_PY}*")
+
+
+def _free_lines(lines: list[str]) -> list[int]:
+    """Places of the lines that may be changed, as ``_free``."""
+    out, inside = [], False
+    for i, x in enumerate(lines):
+        t = x.lstrip(X.WHITES)
+        if t.startswith("```"):
+            inside = not inside
+        elif t and not inside:
+            out.append(i)
+    return out
+
+
+def normalized(t: str) -> str:
+    """``normalize`` of one text."""
+    t = "\n".join([x.rstrip(X.WHITES) for x in t.split("\n")])
+    lines = _BLANK_LINES.sub("\n\n", t).split("\n")
+    free = _free_lines(lines)
+    for i in free:
+        lines[i] = _RUN.sub(" ", lines[i])
+    n = min((_LEAD.match(lines[i]).end() for i in free), default=0)
+    if n:
+        for i in free:
+            lines[i] = lines[i][n:]
+    return "\n".join(lines).strip(X.WHITES)
+
+
 def normalize(c: Column) -> Column:
-    return F.coalesce(X.trim(dedent(collapse_inner_spaces(collapse_blank_lines(strip_line_ends(c))))), F.lit(""))
+    """Line ends, blank lines, inner spaces, indents and ends of a text, in one pass over its lines."""
+    return F.coalesce(A.each(c, normalized, "string"), F.lit(""))
 
 
 def normalize_chunks(chunks: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from chunkloom.functions import arrow as A
 from chunkloom.functions import text as X
 from chunkloom.functions import tokens as K
-from chunkloom.operators import legacy, pack, split, vector
+from chunkloom.operators import guardrails, legacy, normalize, pack, split, vector
 from chunkloom.plans.options import ChunkOptions
 
 ODD = ["", " ", "a", "  a  b ", "a b", "x" * 50, "x" * 50 + " y", "y " + "x" * 50, "é b c", "𝄞 𝄞𝄞𝄞𝄞𝄞𝄞 b", "a\n\nb. c! d?\ne", "　", "a \t\n b", "aaaa bbbb cccc dddd"]
@@ -146,3 +146,62 @@ def test_many_queries_take_little_memory():
     tracemalloc.stop()
     assert most < 64 << 20  # all scores at once are 320 MB
     assert sum(len(x[0]) for x in best.kept) == 5 * len(q)
+
+
+# --- normalisation, guardrails
+
+
+def marked_texts(n: int = 400) -> list[str]:
+    r = random.Random(4)
+    pieces = ["a", "bb c", "#", "##", "# T", "\n", "\n", "\n\n", " ", "  ", "\t", "`", "```", "```\n", "x = 1", ">", "> ", "- ", "* ", "|", "_", "---", " ", "\r", " ", "w" * 150, "𝄞" * 60]
+    return [*ODD, "#" * 7, "# a\n \n", "# a", "#\n", "\n\n# a\n\n`b`", "```\na\n```", *("".join(r.choice(pieces) for _ in range(r.randrange(14))) for _ in range(n))]
+
+
+def test_normalize_equals_its_steps(spark):
+    def steps(c):
+        c = normalize.collapse_blank_lines(normalize.strip_line_ends(c))
+        return F.coalesce(X.trim(normalize.dedent(normalize.collapse_inner_spaces(c))), F.lit(""))
+
+    texts = [*marked_texts(), None]
+    assert column(spark, normalize.normalize, texts) == column(spark, steps, texts)
+
+
+def test_faults_equal_the_patterns_of_the_jvm(spark):
+    w, inner = X.WHITE, X.WHITE[1:-1]
+
+    def orphaned(c):
+        block, inline, begin = r"(?s)```.*?```", r"`[^`]+`", r"(?:(?<=[\n\r  ])|\A)"
+        rest = F.regexp_replace(F.regexp_replace(c, block, ""), inline, "")
+        for mark in (rf"#{{1,6}}{w}*[^\n\r  ]*", rf"[-*+]{w}+", rf">{w}+"):
+            rest = F.regexp_replace(rest, rf"{begin}{w}*{mark}", "")
+        return (c.rlike(block) | c.rlike(inline)) & (X.length(X.trim(rest)) < 200)
+
+    def header(c):
+        lines = F.split(c, "\n")
+        first = X.trim(F.get(lines, F.lit(0)))
+        blank = F.forall(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.length(X.trim(x)) == 0)
+        return first.rlike(rf"\A#{{1,6}}{w}*\z") | (first.rlike(rf"\A#{{1,6}}{w}+[^\n\r  ]+") & (F.size(lines) > 1) & blank)
+
+    def bits(c):
+        marks = X.trim(c).rlike(rf"\A(?:#{{1,6}}{w}*|-{{3,}}|`{{3,}}|[*_\-{inner}]*|[|{inner}]*|[>{inner}]*)\z")
+        tests = [F.length(X.trim(c)) == 0, marks, header(c), orphaned(c)]
+        return sum((t.cast("int") * (1 << i) for i, t in enumerate(tests)), F.lit(0))
+
+    texts = marked_texts()
+    got = column(spark, guardrails.faults, texts)
+    assert got == column(spark, bits, texts) and len(set(got)) > 5
+
+
+def test_checks_shuffle_no_text(spark):
+    rows = spark.range(10).selectExpr("id", "id part", "repeat('x ', 20) original_text", "1 tokens")
+    n = guardrails.validate(rows, key="part").select(F.explode("violations").alias("v")).groupBy("v.code").count()
+    plan = n._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[plan.index("Window") :].split("\n")
+    assert "original_text" not in window[0] and "_faults" in window[1]
+    assert plan.count("regexp_replace") == 0
+
+
+def test_orphaned_code_with_long_white_space():
+    began = time.time()
+    assert guardrails.orphaned_code("`a`" + "\n" * 200_000 + "x")
+    assert time.time() - began < 2  # each line began a search to the end
