@@ -48,15 +48,24 @@ def texts(a: pa.Array) -> list:
         return [decode(x) for x in a.cast(flat(a.type)).to_pylist()]
 
 
-def each(c: Column, f: Callable[[str], object], kind: str) -> Column:
-    """``f`` of each row that is not null, as a column of the type ``kind``."""
+def each(c: Column, f: Callable[..., object], kind: str, *more: Column) -> Column:
+    """``f`` of each row, as a column of the type ``kind``; null where ``c`` is. ``f`` also gets the values of ``more``."""
     to = to_arrow_type(T._parse_datatype_string(kind))
 
+    def made(arrays: tuple[pa.Array, ...]) -> Iterator[pa.Array]:
+        for i, j in cuts(sum(map(sizes, arrays))):
+            rows = zip(*(texts(a.slice(i, j - i)) for a in arrays))
+            yield pa.array([None if r[0] is None else f(*r) for r in rows], to)
+
     @F.arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for a in batches:
-            for i, j in cuts(sizes(a)):
-                yield pa.array([None if t is None else f(t) for t in texts(a.slice(i, j - i))], to)
+            yield from made((a,))
+
+    @F.arrow_udf(kind)
+    def run_more(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for arrays in batches:
+            yield from made(arrays)
 
     # not deterministic in name only: else the optimiser may move the call into a lambda, where Python can't run, or repeat it
-    return run.asNondeterministic()(c)
+    return (run_more if more else run).asNondeterministic()(c, *more)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import arrow as A
 from ..functions import headings as H
 from ..functions import text as X
 from ..functions import tokens as K
@@ -88,6 +89,22 @@ def char_offsets(full: Column, part: Column) -> tuple[Column, Column, Column]:
     return start, F.when(start >= 0, start + F.length(part)).otherwise(-1), F.when(exact > 0, 1.0).when(near > 0, 0.8).otherwise(0.0)
 
 
+def _placed(parts: list[str], full: str | None) -> list[dict]:
+    out = []
+    for p in parts:
+        # where the first characters are not, the whole is not either, nor is it before them
+        near = -1 if full is None else full.find(p[:100])
+        exact = full.find(p, near) if near >= 0 else -1
+        start = exact if exact >= 0 else near
+        out.append({"char_start": start, "char_end": start + len(p) if start >= 0 else -1, "confidence": 1.0 if exact >= 0 else 0.8 if near >= 0 else 0.0})
+    return out
+
+
+def all_char_offsets(full: Column, parts: Column) -> Column:
+    """``char_offsets`` of all parts of a text, which is then there once and not beside each of them."""
+    return A.each(parts, _placed, "array<struct<char_start:int,char_end:int,confidence:double>>", full)
+
+
 _HEADER = rf"\A(#{{1,6}}){X.WHITE}+([^\n\r\u2028\u2029]+)\z"
 
 

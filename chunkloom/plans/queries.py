@@ -191,9 +191,11 @@ def breadcrumb_truncate(s, d):
 
 
 def char_offsets(s, d):
-    rows = files.with_parent(packed(s, d, SMALL).select("doc_id", "chunk_no", "content"), _docs(s, d))
-    start, end, sure = metadata.char_offsets(F.col("parent_text"), F.col("content"))
-    return rows.select("doc_id", "chunk_no", start.alias("char_start"), end.alias("char_end"), sure.alias("confidence"))
+    chunks = packed(s, d, SMALL).groupBy("doc_id").agg(F.collect_list(F.struct("chunk_no", "content")).alias("c"))
+    rows = files.with_parent(chunks, _docs(s, d))
+    at = metadata.all_char_offsets(F.col("parent_text"), F.transform("c", lambda x: x["content"]))
+    rows = rows.select("doc_id", F.explode(F.arrays_zip(F.transform("c", lambda x: x["chunk_no"]).alias("n"), at.alias("at"))).alias("x"))
+    return rows.select("doc_id", F.col("x.n").alias("chunk_no"), "x.at.char_start", "x.at.char_end", "x.at.confidence")
 
 
 def content_sha(s, d):

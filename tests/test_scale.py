@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from chunkloom.functions import arrow as A
 from chunkloom.functions import text as X
 from chunkloom.functions import tokens as K
-from chunkloom.operators import guardrails, legacy, normalize, pack, split, vector
+from chunkloom.operators import guardrails, legacy, metadata, normalize, pack, split, vector
 from chunkloom.plans.options import ChunkOptions
 
 ODD = ["", " ", "a", "  a  b ", "a b", "x" * 50, "x" * 50 + " y", "y " + "x" * 50, "é b c", "𝄞 𝄞𝄞𝄞𝄞𝄞𝄞 b", "a\n\nb. c! d?\ne", "　", "a \t\n b", "aaaa bbbb cccc dddd"]
@@ -205,3 +205,24 @@ def test_orphaned_code_with_long_white_space():
     began = time.time()
     assert guardrails.orphaned_code("`a`" + "\n" * 200_000 + "x")
     assert time.time() - began < 2  # each line began a search to the end
+
+
+# --- offsets
+
+
+def test_offsets_of_all_parts_equal_those_of_each(spark):
+    full = "𝄞 one two. " + "x" * 150 + " three " + "x" * 149 + "y"
+    parts = ["one", "", "no", "x" * 150, "x" * 149 + "y", "x" * 149 + "z", "𝄞", "two."]
+    rows = [(full, parts), (None, parts), (full, []), ("", ["", "a"])]
+    df = spark.createDataFrame(rows, "f string, ps array<string>")
+    start, end, sure = metadata.char_offsets(F.col("f"), F.col("p"))
+    one = df.select("f", F.explode("ps").alias("p")).select(start, end, sure).collect()
+    many = df.select(F.explode(metadata.all_char_offsets(F.col("f"), F.col("ps"))).alias("x")).select("x.*").collect()
+    assert list(map(tuple, one)) == list(map(tuple, many))
+
+
+def test_offsets_carry_a_text_once(spark, sf_dir):
+    from chunkloom.plans import queries
+
+    plan = queries.char_offsets(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "instr" not in plan and plan.index("Join") < plan.index("collect_list")
