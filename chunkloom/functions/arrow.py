@@ -38,6 +38,13 @@ def cuts(size: np.ndarray, limit: int = LIMIT) -> list[tuple[int, int]]:
     return list(zip(edges, edges[1:]))
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose text in the column with that number has about LIMIT bytes at most, or in one row."""
+    for b in batches:
+        for i, j in cuts(sizes(b.column(column))):
+            yield b.slice(i, j - i)
+
+
 def texts(a: pa.Array) -> list:
     """The rows as Python values; bytes that are no UTF-8 become the mark for that, as in the JVM."""
     try:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions import arrow as A
 from ..functions import markdown as M
+from ..functions import text as X
 
 STRUCTURE = (
     "length int, headings bigint, h1 bigint, h2 bigint, h3 bigint, h4 bigint, h5 bigint, h6 bigint, paragraphs bigint, avg_paragraph_length bigint, code_blocks bigint, lists bigint, tables bigint, "
@@ -24,11 +26,11 @@ def analyze(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in A.slices(batches, 1):
             rows = []
-            for t in b.column(1).to_pylist():
+            for t in A.texts(b.column(1)):
                 found = M.structure(M.parse(t))
-                found["length"] = len((t or "").encode("utf-16-le", "surrogatepass")) // 2
+                found["length"] = X.units(t or "")
                 found["node_types"] = list(found["node_types"].items())
                 rows.append(found)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[f.name] for r in rows], f.type) for f in list(arrow)[1:])], schema=arrow)

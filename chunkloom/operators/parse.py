@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,9 +36,9 @@ def ast_rows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in A.slices(batches, 1):
             rows = []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for k, t in zip(b.column(0).to_pylist(), A.texts(b.column(1))):
                 headings = 0
                 for node, i, parent, level in M.walk(M.parse(t)):
                     headings += node.type == "heading"
@@ -56,6 +57,20 @@ def ast_rows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     return docs.select(key, F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def _block_arrays(found: list[list[dict]], kind: pa.ListType) -> pa.ListArray:
+    """Blocks of documents as an array of lists of structs, made field by field: a row of Python values for each block takes several times that."""
+    flat = [x for blocks in found for x in blocks]
+    to = {f.name: f.type for f in kind.value_type}
+
+    def point(name: str, of: pa.StructType) -> pa.StructArray:
+        return pa.StructArray.from_arrays([pa.array([x[name][i] for x in flat], pa.int32()) for i in (0, 1)], fields=list(of))
+
+    place = pa.StructArray.from_arrays([point(f.name, f.type) for f in to["position"]], fields=list(to["position"]))
+    fields = [place if name == "position" else pa.array([x[name] for x in flat], t) for name, t in to.items()]
+    ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(fields, fields=list(kind.value_type))).cast(kind)
+
+
 def parsed(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with an array of blocks instead of the text."""
     own = [c for c in docs.columns if c != text]
@@ -63,12 +78,9 @@ def parsed(docs: DataFrame, text: str = "text") -> DataFrame:
     kind = to_arrow_schema(schema).field("blocks").type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for t in b.column(len(own)).to_pylist():
-                point = lambda p: {"line": p[0], "column": p[1]}
-                out.append([{**{k: x[k] for k in ("type", "text", "depth", "lang", "trail", "depths")}, "position": {"start": point(x["start"]), "end": point(x["end"])}} for x in M.flatten(M.parse(t))])
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], pa.array(out, kind)], [*own, "blocks"])
+        for b in A.slices(batches, len(own)):
+            found = [M.flatten(M.parse(t)) for t in A.texts(b.column(len(own)))]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], _block_arrays(found, kind)], [*own, "blocks"])
 
     return docs.select(*own, F.col(text).cast("string")).mapInArrow(run, schema)
 
