@@ -21,11 +21,13 @@ LIMIT = 1 << 20
 
 
 def sizes(a: pa.Array) -> np.ndarray:
-    """Bytes of each row of an array of texts, or of lists of texts."""
+    """Bytes of each row of an array of texts or numbers, or of lists of these."""
     if pa.types.is_list(a.type) or pa.types.is_large_list(a.type):
         inner = np.r_[0, np.cumsum(sizes(a.flatten()))]
         ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(a), 0)).astype(np.int64))
         return inner[ends] - inner[np.r_[0, ends[:-1]]] + 1 if len(a) else np.zeros(0, np.int64)
+    if pa.types.is_primitive(a.type):
+        return np.full(len(a), 8, np.int64)
     return np.asarray(pc.fill_null(pc.binary_length(a), 0)).astype(np.int64) + 1
 
 

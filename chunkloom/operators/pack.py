@@ -4,8 +4,8 @@ A buffer takes blocks in order. It closes before a block that would take it over
 and after a block with which it reaches nine tenths of the maximum, or minimum and target. A
 short rest joins the chunk before it if both fit. A document that fits as a whole is one chunk.
 
-Blocks of a document are one array, so packing needs no shuffle. The fold keeps integers only:
-the open buffer's length and the index of each chunk's first block.
+Blocks of a document are one array, so packing needs no shuffle. Python workers get lengths only
+and give the index of each chunk's first block.
 """
 
 from __future__ import annotations
@@ -25,30 +25,7 @@ SEPARATOR = "\n\n"
 
 def starts(lengths: Column, o: ChunkOptions = DEFAULTS) -> Column:
     """Index of the first block of each chunk, from the blocks' lengths."""
-    n = F.size(lengths)
-    total = F.aggregate(lengths, F.lit(0), lambda a, x: a + x) + 2 * F.greatest(n - 1, F.lit(0))
-    init = F.struct(F.lit(0).alias("i"), F.lit(0).alias("len"), F.lit(False).alias("open"), F.array().cast("array<int>").alias("at"))
-
-    def step(s: Column, x: Column) -> Column:
-        joined = s["len"] + 2 + x
-        more = s["open"] & (K.of_length(joined) <= o.max_tokens)
-        size = F.when(more, joined).otherwise(x)
-        tokens = K.of_length(size)
-        full = (tokens >= F.lit(o.max_tokens * 0.9)) | ((tokens >= o.min_tokens) & (tokens >= F.lit(float(o.pack_target))))
-        return F.struct((s["i"] + 1).alias("i"), size.alias("len"), (~full).alias("open"), F.when(more, s["at"]).otherwise(F.concat(s["at"], F.array(s["i"]))).alias("at"))
-
-    def done(s: Column) -> Column:
-        k = F.size(s["at"])
-        first, last = F.element_at(s["at"], -1), F.get(s["at"], k - 2)
-        before = F.aggregate(F.slice(lengths, last + 1, first - last), F.lit(0), lambda a, x: a + x) + 2 * (first - last - 1)
-        short = s["open"] & (K.of_length(s["len"]) < o.min_tokens) & (k > 1)
-        return F.when(short & (K.of_length(before + 2 + s["len"]) <= o.max_tokens), F.slice(s["at"], 1, k - 1)).otherwise(s["at"])
-
-    return (
-        F.when(n == 0, F.array().cast("array<int>"))
-        .when(K.of_length(total) <= o.max_tokens, F.array(F.lit(0)))
-        .otherwise(F.aggregate(lengths, init, step, done))
-    )
+    return A.each(lengths, lambda ns: starts_of_lengths(ns, o)[0], "array<int>")
 
 
 def chunk_arrays(blocks: Column, at: Column) -> Column:
@@ -65,10 +42,11 @@ def pack_arrays(docs: DataFrame, blocks: str = "blocks", o: ChunkOptions = DEFAU
     """
     own = [c for c in docs.columns if c != blocks]
     lengths = F.transform(F.col(blocks), lambda b: X.length(b["text"]))
-    packed = docs.withColumn("_at", X.let(lengths, lambda ns: starts(ns, o)))
-    rows = packed.select(*own, (F.size("_at") == 1).alias("_one"), F.posexplode(chunk_arrays(F.col(blocks), F.col("_at"))).alias("chunk_no", "_b"))
+    cut = docs.withColumn("_at", A.each(lengths, lambda ns: starts_of_lengths(ns, o), "array<array<int>>"))
+    chunks = F.arrays_zip(chunk_arrays(F.col(blocks), F.col("_at")[0]).alias("b"), F.col("_at")[1].alias("n"))
+    rows = cut.select(*own, F.posexplode(chunks).alias("chunk_no", "_x")).select(*own, "chunk_no", F.col("_x.b").alias("_b"), F.col("_x.n").alias("_n"))
     b = F.col("_b")
-    closed = F.when(F.col("_one"), b).otherwise(_unmerged(b, o))
+    closed = F.slice(b, F.lit(1), F.col("_n"))
     # a step of its own: the count uses the content more than once
     rows = rows.withColumn("content", F.array_join(F.transform(b, lambda x: x["text"]), SEPARATOR))
     return rows.select(
@@ -83,24 +61,14 @@ def pack_arrays(docs: DataFrame, blocks: str = "blocks", o: ChunkOptions = DEFAU
     )
 
 
-def _unmerged(b: Column, o: ChunkOptions) -> Column:
-    """Blocks that a chunk had when it closed: without a short rest that joined it at the end."""
-    init = F.struct(F.lit(0).alias("len"), F.lit(0).alias("n"), F.lit(False).alias("full"))
-
-    def step(s: Column, x: Column) -> Column:
-        size = F.when(s["n"] == 0, X.length(x["text"])).otherwise(s["len"] + 2 + X.length(x["text"]))
-        t = K.of_length(size)
-        full = (t >= F.lit(o.max_tokens * 0.9)) | ((t >= o.min_tokens) & (t >= F.lit(float(o.pack_target))))
-        return F.when(s["full"], s).otherwise(F.struct(size.alias("len"), (s["n"] + 1).alias("n"), full.alias("full")))
-
-    return F.slice(b, F.lit(1), F.greatest(F.aggregate(b, init, step, lambda s: s["n"]), F.lit(1)))
+def starts_of_lengths(lengths: list[int | None], o: ChunkOptions = DEFAULTS) -> tuple[list[int], list[int]]:
+    """Index of the first block of each chunk, from the blocks' lengths, and how many blocks each had when it closed.
 
-
-def starts_of_lengths(lengths: list[int], o: ChunkOptions = DEFAULTS) -> tuple[list[int], list[int]]:
-    """``starts`` of one document, and how many blocks each chunk had when it closed."""
+    A document with a block of no text (null) has no length, so it is one chunk.
+    """
     if not lengths:
         return [], []
-    if K.count_of_length(sum(lengths) + 2 * (len(lengths) - 1)) <= o.max_tokens:
+    if None in lengths or K.count_of_length(sum(lengths) + 2 * (len(lengths) - 1)) <= o.max_tokens:
         return [0], [len(lengths)]
     most, nearly, at, size, is_open = K.most_units(o.max_tokens), o.max_tokens * 0.9, [], 0, False
     for i, x in enumerate(lengths):
@@ -145,7 +113,7 @@ def pack_rows(blocks: DataFrame, o: ChunkOptions = DEFAULTS) -> DataFrame:
 
 
 def starts_with_counter(texts: list[str], o: ChunkOptions, count: Callable[[str], int]) -> list[int]:
-    """``starts`` for any token counter: fits are tested on the joined text, as counts don't add up."""
+    """``starts_of_lengths`` for any token counter: fits are tested on the joined text, as counts don't add up."""
     if not texts:
         return []
     if count(SEPARATOR.join(texts)) <= o.max_tokens:
